@@ -208,7 +208,7 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     joined = components(lifted.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
     nodes = labels.unionByName(lifted.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("p")).select("p.*")).distinct()
-    nodes = nodes.unionByName(joined.select(F.col("final").alias("node"), F.col("final").alias("component"))).distinct()
+    nodes = nodes.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()
     return saved(nodes.join(joined, "component", "left").select("node", F.coalesce("final", "component").alias("component")).distinct(), "labels")
 
 

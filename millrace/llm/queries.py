@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, sharding
+from . import decontam, exact_dedup, minhash, packing, sharding, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_minhash": minhash.op5_minhash,
+    "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
 }
 
