@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, minhash, packing, sharding, token_counts
+from . import decontam, exact_dedup, line_dedup, minhash, packing, sharding, substring, suffix, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_minhash": minhash.op5_minhash,
+    "op6_suffix_dedup": suffix.op6_suffix_dedup,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
 }
 
-SQL = {**decontam.SQL, **exact_dedup.SQL}
+SQL = {**decontam.SQL, **exact_dedup.SQL, **line_dedup.SQL}
