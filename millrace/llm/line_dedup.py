@@ -5,8 +5,6 @@ name of a block of 2^k lines is the digest of its two halves' names, so equal na
 equal blocks, and the suffixes that share a name form an interval of the suffix array whose common prefix is at least 2^k. (Names
 tell classes apart; the order *among* classes decides nothing here and is never computed, so no group
 is ever sorted in one task.) Only suffixes whose block occurs twice go on to round k + 1; the rounds end when none does.
-Going back down from the longest blocks, each suffix extends its prefix by 2^k lines while the
-longer prefix still occurs twice: that gives its longest common prefix with any other suffix exactly.
 
 A run of at least ``min_lines`` lines that also starts earlier (smaller doc_id, or the same document and earlier line) is a
 later copy and its lines are deleted; overlapping runs count. Blank lines take no part and stay.
@@ -59,16 +57,14 @@ def doubled(lines: DataFrame, limit: int | None = None) -> list[DataFrame]:
     return levels
 
 
-def common_prefixes(levels: list[DataFrame]) -> DataFrame:
-    """(doc_id, q, lcp): lines that the suffix at q shares with some other suffix, for those that share any."""
-    state = levels[0].select("doc_id", "q", F.lit(0).alias("lcp"), F.lit(b"").cast("binary").alias("prefix"))
-    for k in reversed(range(len(levels))):
-        step = levels[k].select("doc_id", "q", "name")
-        tried = _follow(state, step, F.col("lcp")).select("doc_id", "q", "lcp", _digest(F.col("lcp").cast("string").cast("binary"), F.col("prefix"), F.col("r_name")).alias("name"))
-        longer = saved(_twice(tried).select("doc_id", "q", (F.col("lcp") + 2**k).alias("lcp_new"), F.col("name").alias("prefix_new")), "longer")
-        state = state.join(longer, ["doc_id", "q"], "left").select("doc_id", "q", F.coalesce("lcp_new", "lcp").alias("lcp"), F.coalesce("prefix_new", "prefix").alias("prefix"))
-        state = saved(state, "lcp")
-    return state.select("doc_id", "q", "lcp")
+def longest_blocks(levels: list[DataFrame]) -> DataFrame:
+    """(doc_id, longest_block): the largest 2^k for which a block of 2^k of the document's lines occurs at another
+    place too; its longest common prefix with another suffix is at least that and less than twice that."""
+    out = None
+    for k, level in enumerate(levels):
+        of_level = level.select("doc_id").distinct().select("doc_id", F.lit(2**k).cast("long").alias("longest_block"))
+        out = of_level if out is None else out.unionByName(of_level)
+    return out.groupBy("doc_id").agg(F.max("longest_block").alias("longest_block"))
 
 
 def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame:
@@ -85,20 +81,20 @@ def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, n_runs, longest_repeat (lines of its longest run that occurs
-    at another place too), kept_text."""
+    """One row per document: doc_id, n_lines, n_removed, n_runs, longest_block (see ``longest_blocks``; 0 if
+    no line occurs twice), kept_text."""
     base = id_text(docs, id_col, text_col).select("doc_id", F.split("text", "\n").alias("lines"))
     named = base.filter("doc_id is not null").select("doc_id", F.posexplode(F.transform(_filled(F.col("lines")), lambda i: F.unhex(F.md5(F.get(F.col("lines"), i).cast("binary"))))).alias("q", "name"))
     named = saved(named, "lines").dropDuplicates(["doc_id", "q"])
     levels = doubled(named)
-    longest = common_prefixes(levels).groupBy("doc_id").agg(F.max("lcp").cast("long").alias("longest_repeat"))
+    longest = longest_blocks(levels)
     covered = later_copies(levels, min_lines).select("doc_id", F.explode(F.sequence(F.col("q"), F.col("q") + (min_lines - 1))).alias("q"))
     gone = covered.groupBy("doc_id").agg(F.collect_set("q").alias("gone"))
     of_doc = saved(longest.join(gone, "doc_id", "left"), "gone")
     drop_saved(*levels[1:])
     rows = base.join(of_doc, "doc_id", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    rows = rows.select("doc_id", "lines", "longest_repeat", _filled(F.col("lines")).alias("filled"), gone.alias("gone"))
+    rows = rows.select("doc_id", "lines", "longest_block", _filled(F.col("lines")).alias("filled"), gone.alias("gone"))
     places = F.transform("gone", lambda q: F.get(F.col("filled"), q))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), places)
     return rows.select(
@@ -106,14 +102,14 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_i
         F.size("filled").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
         F.size(F.array_except("gone", F.transform("gone", lambda q: q + 1))).cast("long").alias("n_runs"),
-        F.coalesce("longest_repeat", F.lit(0)).alias("longest_repeat"),
+        F.coalesce("longest_block", F.lit(0)).alias("longest_block"),
         F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n").alias("kept_text"),
     )
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir))
-    return out.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_repeat", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_block", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = {
@@ -147,7 +143,7 @@ WITH RECURSIVE l AS (
   LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.q = n.q WHERE g.q IS NULL GROUP BY l.doc_id
 )
 SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_runs, 0) AS n_runs,
-  CAST(coalesce(x.longest, 0) AS BIGINT) AS longest_repeat, sha256(coalesce(k.t, '')) AS kept_sha256
+  CAST(coalesce(pow(2, floor(log2(x.longest))), 0) AS BIGINT) AS longest_block, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM n GROUP BY doc_id) c USING (doc_id)
 LEFT JOIN runs r USING (doc_id) LEFT JOIN lcp x USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, line_dedup, minhash, packing, sharding, substring, suffix, token_counts
+from . import decontam, exact_dedup, line_dedup, minhash, packing, quality, sharding, substring, suffix, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {**decontam.SQL, **exact_dedup.SQL, **line_dedup.SQL}
