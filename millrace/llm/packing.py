@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -31,17 +31,17 @@ from .common import documents, id_text, partitions, saved
 
 LENGTH = 2048
 END_ID = 0
-_ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n |\n\n|[ \n]\Z|\A[ \n]")
 
 
 class IdEncoder:
     """Ids of whole texts by the ``tokenizers`` library, as little-endian 32-bit integers.
 
     Byte-level BPE with the usual pattern splits before every single space and around every single line feed, so
-    words are encoded once and kept (at most ``keep``; then the table starts anew). Texts with any other white
-    space, or with the string of a special token, are encoded as a whole."""
+    words are encoded once and kept, in two generations of at most ``keep`` words: what the older one holds is taken over
+    when it is met again. Texts with any other white space, or with the string of a special token, are
+    encoded as a whole."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -51,26 +51,37 @@ class IdEncoder:
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
         self.keep = keep
         self.words: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.older: dict[str, bytes] = {}
 
     def _units(self, text: str) -> list[str] | None:
-        if not self.by_word or _ODD_SPACE.search(text) or any(s in text for s in self.special):
+        """The words of a text, a space staying with the word after it, and its line feeds; None if they must not be cut out."""
+        if not self.by_word or "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return None
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(s in text for s in self.special):
             return None
-        if "\n" not in text:
-            return text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def _add(self, new: list[str]) -> None:
+        older = self.older
+        words = {u: older[u] for u in new if u in older}
+        new = [u for u in new if u not in words]
+        if new:
+            e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids = array("I", e.ids).tobytes()
+            ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(new)), side="right")).tolist()
+            words.update(zip(new, [ids[s:t] for s, t in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        self.words.update(words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.keep:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         words, units = self.words, [self._units(t) if t else [] for t in texts]
         new = list({u for x in units if x for u in x if u not in words})
-        words.update(zip(new, self._ids(new), strict=True))
-        whole = iter(self._ids([t for t, x in zip(texts, units, strict=True) if x is None]))
+        if new:
+            self._add(new)
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, units, strict=True) if x is None], add_special_tokens=False))
         get = words.__getitem__
-        return [next(whole) if x is None else b"".join(map(get, x)) for x in units]
+        return [array("I", next(whole).ids).tobytes() if x is None else b"".join(map(get, x)) for x in units]
 
 
 _ENCODERS: dict[str, IdEncoder] = {}
