@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +38,27 @@ _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class TokenCounter:
-    """Prefix counts under one sentencepiece BPE model. Memory is bounded: ``keep`` words and piece pairs."""
+    """Prefix counts under one sentencepiece BPE model. Memory is bounded: two generations of ``keep`` words, and
+    piece pairs."""
 
-    def __init__(self, model_file: str, keep: int = 300_000):
+    def __init__(self, model_file: str, keep: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = model.get_piece_size()
         usable = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.rank = {p: r for r, p in enumerate(sorted((model.id_to_piece(i) for i in usable), key=lambda p: -model.get_score(model.piece_to_id(p))))}
-        self.longest = max(map(len, self.rank))
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.rank) and not any("\n" in p for p in self.rank)
+        # Lengths of the pieces of three characters or more that end in three given ones, longest first.
+        ends = defaultdict(set)
+        for p in self.rank:
+            if len(p) > 2:
+                ends[p[-3:]].add(len(p))
+        self.lengths = {e: (*sorted(x, reverse=True), 2, 1) for e, x in ends.items()}
         self.keep = keep
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.words, self.older = {}, {}  # by word without the space before it
+        self.firsts = {}  # words without a space before them, which start lines
         self.line_feed = self._table("\n")
 
     def _merge(self, s: str) -> list[str]:
@@ -71,19 +80,30 @@ class TokenCounter:
         got = self.pairs.get(key)
         if got is None:
             got = self._merge(a + b) == [a, b] if a else self._merge(b) == [b]
-            if len(self.pairs) < 2 * self.keep:
-                self.pairs[key] = got
+            if len(self.pairs) > 2 * self.keep:
+                self.pairs.clear()
+            self.pairs[key] = got
         return got
 
     def counts(self, s: str) -> list[int]:
         """Token counts of all prefixes of a unit whose spaces are written as the model does; counts[0] is 0."""
         count, last = [0], [""]
-        rank, fits = self.rank, self._fits
+        rank, pairs, lengths = self.rank, self.pairs.get, self.lengths.get
         for i in range(1, len(s) + 1):
-            for n in range(min(i, self.longest), 0, -1):
+            for n in lengths(s[i - 3 : i], (2, 1)) if i > 2 else (2, 1)[2 - i :]:
+                if n > i:
+                    continue
                 t = s[i - n : i]
-                if (n == 1 or t in rank) and fits(last[i - n], t):
-                    count.append(count[i - n] + (1 if t in rank else len(t.encode())))
+                if t in rank:
+                    more = 1
+                elif n == 1:
+                    more = len(t.encode())
+                else:
+                    continue
+                a = last[i - n]
+                fits = pairs((a, t))
+                if self._fits(a, t) if fits is None else fits:
+                    count.append(count[i - n] + more)
                     last.append(t)
                     break
             else:
@@ -91,14 +111,21 @@ class TokenCounter:
         return count
 
     def _table(self, s: str) -> bytes:
-        return np.diff(np.array(self.counts(s), dtype="<i4")).astype("<i2").tobytes()
+        c = self.counts(s)
+        return array("h", [y - x for x, y in zip(c, c[1:])]).tobytes()
 
     def _word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            got = self._table(w)
-            if len(self.words) < self.keep:
-                self.words[w] = got
+        """The table of a word and the space before it."""
+        if len(self.words) > self.keep:
+            self.older = dict(self.words)
+            self.words.clear()
+        got = self.words[w] = self.older.get(w) or self._table(SPACE + w)
+        return got
+
+    def _first(self, w: str) -> bytes:
+        if len(self.firsts) > self.keep // 4:
+            self.firsts.clear()
+        got = self.firsts[w] = self._table(w)
         return got
 
     def deltas(self, text: str) -> bytes:
@@ -108,7 +135,7 @@ class TokenCounter:
         if not self.by_word:
             return self._without_dummy(self._table(SPACE + text.replace(" ", SPACE)))
         out = []
-        words, word = self.words, self._word
+        get, word = self.words.get, self._word
         for i, line in enumerate(text.replace(SPACE, " ").split("\n")):
             if i:
                 out.append(self.line_feed)
@@ -117,11 +144,12 @@ class TokenCounter:
             if line:
                 parts = line.split(" ")
                 if "" in parts[1:]:
-                    out.extend([word(u) for u in _RUNS.findall(line.replace(" ", SPACE))])
+                    out.extend([self._table(u) for u in _RUNS.findall(line.replace(" ", SPACE))])
                 else:
-                    if parts[0]:
-                        out.append(word(parts[0]))
-                    out.extend([words.get(p) or word(p) for p in [SPACE + p for p in parts[1:]]])
+                    first = parts[0]
+                    if first:
+                        out.append(self.firsts.get(first) or self._first(first))
+                    out.extend([get(p) or word(p) for p in parts[1:]])
         return self._without_dummy(b"".join(out))
 
     @staticmethod
