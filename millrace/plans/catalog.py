@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import receivable_queries
+
+QUERIES: dict = {**receivable_queries.QUERIES}
+SQL: dict[str, str] = {**receivable_queries.SQL}
