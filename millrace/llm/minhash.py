@@ -8,11 +8,12 @@ similarity with the concentration of independent samples. 40 bands of 6 coordina
 similarity 0.85 misses all of them with probability 6e-9, one of 0.8 with 5e-6.
 
 Links are confirmed on the full sets. Equal sets are one class from the start and are never compared. Buckets
-are worked in rounds without listing their pairs: each has a few leaders, every member is tested against them
-(if the sizes allow the similarity and the two are not connected yet), links merge components, leaders are
-done with and leave the bucket, and buckets whose members are all in one component
-are finished. A large group of near copies is joined by its first leaders; the rounds end when no bucket holds two components,
-so every pair that shares a bucket is either tested or already connected, and none is dropped.
+are worked in rounds without listing their pairs: each has a leader (more once few rows are left, so that a round never tests more pairs than there
+are documents), every member is tested against it if the two are not connected yet, links merge components, leaders are
+done with and leave the bucket, and buckets whose members are all in one component are finished. Members that can have no link left leave
+too: shingles that no other member of an unfinished bucket has can't be shared, so the others bound every intersection
+(this settles large groups of copies that are just under the threshold). Members with the fewest such shingles lead. The rounds
+end when no bucket holds two components, so every pair that shares a bucket is tested, connected or bounded below the threshold; none is dropped.
 
 Defined cases: null and wordless texts have empty sets and are linked with nothing; a null id takes part
 through its text but names no component unless alone; ids name texts, so rows that repeat an id must repeat its text and share its
@@ -104,12 +105,12 @@ def _sketches(bands: int, rows: int):
     return run
 
 
-_SET_FIELDS = pa.schema([("id", pa.int64()), ("elements", pa.binary())])
+_SET_FIELDS = pa.schema([("id", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
 
 def _sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], schema=_SET_FIELDS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], schema=_SET_FIELDS)
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -128,7 +129,7 @@ def _confirm(percent: int):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (x, y))
+                x, y = (v.values.to_numpy().view(_U) for v in (x, y))
                 both = common(x, y)
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
@@ -137,8 +138,22 @@ def _confirm(percent: int):
     return run
 
 
-def _leaders_of(round_no: int) -> int:
-    return (1, 8)[round_no] if round_no < 2 else 64
+def _mixed(buckets: DataFrame) -> DataFrame:
+    """The buckets that hold two components or more."""
+    keys = buckets.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n")).filter("lo <> hi")
+    return buckets.join(keys.select("key", "least_n"), "key")
+
+
+def _bounded(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets with m, the number of a member's shingles that some other member of any bucket has too, without the members
+    that m and the least size in the bucket keep from any link."""
+    ids = buckets.select(F.col("rep").alias("id")).distinct()
+    elements = sets.join(ids, "id", "left_semi").select("id", F.explode("elements").alias("e"))
+    own = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    rows = buckets.select("key", "rep", "n", "comp").join(own.withColumnRenamed("id", "rep"), "rep", "left")
+    rows = _mixed(saved(rows.select("key", "rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"), "comp"), "bounded"))
+    possible = 100 * F.col("m") >= percent * (F.col("n") + F.greatest("least_n", "m") - F.col("m"))
+    return saved(_mixed(rows.filter(possible).drop("least_n")).drop("least_n"), "buckets")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -163,19 +178,23 @@ def _link_classes(base: DataFrame, classes: DataFrame, percent: int) -> DataFram
     """(node, component) of every class representative that has a link."""
     rows = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    buckets = saved(rows.join(shared, "key").withColumn("comp", F.col("rep")), "buckets")
-    if buckets.isEmpty():
-        return None
+    buckets = saved(rows.join(shared, "key").select("key", "rep", "n", F.col("n").alias("m"), F.col("rep").alias("comp")), "buckets")
+    n_classes = classes.count()
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, elements binary").dropDuplicates(["id"]), "sets")
+    sets = saved(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, elements array<long>").dropDuplicates(["id"]), "sets")
     labels, tested, round_no = None, None, 0
     while True:
-        slots = F.pmod(F.xxhash64("rep", F.lit(round_no)), F.lit(_leaders_of(round_no)))
-        leaders = buckets.groupBy("key", slots.alias("slot")).agg(F.min(F.struct("rep", "n", "comp")).alias("l"))
-        leaders = saved(leaders.select("key", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.comp").alias("leader_comp")), "leaders")
-        close = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
-        pairs = buckets.join(leaders, "key").filter(close & (F.col("comp") != F.col("leader_comp")))
-        pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        size = buckets.count()
+        if not size:
+            drop_saved(sets, buckets)
+            return labels
+        slots = F.pmod(F.xxhash64("rep", F.lit(round_no)), F.lit(max(1, min(64, n_classes // size)) if round_no else 1))
+        leaders = buckets.groupBy("key", slots.alias("slot")).agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "n", "m", "comp")).alias("l"))
+        leaders = saved(leaders.select("key", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("rep", "n", "m", "comp")]), "leaders")
+        most = F.least("m", "l_m")  # of the intersection
+        possible = 100 * most >= percent * (F.col("n") + F.col("l_n") - most)
+        pairs = buckets.join(leaders, "key").filter(possible & (F.col("comp") != F.col("l_comp")))
+        pairs = pairs.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
@@ -186,16 +205,12 @@ def _link_classes(base: DataFrame, classes: DataFrame, percent: int) -> DataFram
         if not links.isEmpty():
             labels = _merge(labels, links)
         # Leaders are done with; what is left of a bucket counts while it holds two components.
-        rest = buckets.join(leaders.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "comp")
+        rest = buckets.join(leaders.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "comp")
         if labels is not None:
             rest = rest.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        rest = saved(rest.join(mixed, "key"), "buckets")
+        rest = saved(_mixed(rest).drop("least_n"), "rest")
         drop_saved(buckets, leaders, links)
-        buckets, round_no = rest, round_no + 1
-        if buckets.isEmpty():
-            drop_saved(sets, buckets)
-            return labels
+        buckets, round_no = _bounded(rest, sets, percent), round_no + 1
 
 
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
