@@ -31,6 +31,8 @@ from .common import documents, id_text, partitions, saved
 
 LENGTH = 2048
 END_ID = 0
+#: All white space but the space and the line feed.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 class IdEncoder:
@@ -41,7 +43,7 @@ class IdEncoder:
     when it is met again. Texts with any other white space, or with the string of a special token, are
     encoded as a whole."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -57,7 +59,7 @@ class IdEncoder:
         """The words of a text, a space staying with the word after it, and its line feeds; None if they must not be cut out."""
         if not self.by_word or "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
             return None
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(s in text for s in self.special):
+        if any(c in text for c in _OTHER_SPACE) or any(s in text for s in self.special):
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
