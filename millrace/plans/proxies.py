@@ -60,6 +60,17 @@ SELECT doc_id AS id, text AS content, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE do
     "scores": """
 SELECT event_id, ts, user_id % 5 AS product, CASE user_id % 2 WHEN 0 THEN 'patchcore' ELSE 'dinov2' END AS source, value AS score,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS defect, user_id FROM $events""",
+    "texts": """
+SELECT o_orderkey AS id, o_orderdate AS base_date, concat('采购合同', chr(10), '合同编号：HT-', CAST(10000 + o_orderkey AS STRING), chr(10), '甲方（买方）：', c_name, '，乙方：锐新科技', CAST(c_nationkey AS STRING), '号公司；', chr(10),
+  CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('签订日期：', CAST(CAST(o_orderdate AS DATE) AS STRING), chr(10)) END,
+  CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('合同总额：人民币', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '元。') END, chr(10),
+  '1. 甲方向乙方支付预付款 ', CAST(CAST(floor(o_totalprice / 2) AS BIGINT) AS STRING), '元，付款日 ', CAST(2000 + o_orderkey % 20 AS STRING), '年', CAST(1 + o_orderkey % 13 AS STRING), '月', CAST(1 + o_orderkey % 31 AS STRING), '日前。', chr(10),
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('签订后30日内支付尾款 ', CAST(1 + o_orderkey % 40 AS STRING), ',500.5元') ELSE concat('生效后', CAST(1 + o_orderkey % 90 AS STRING), '天内支付尾款 ', CAST(1 + o_orderkey % 30 AS STRING), '.5万元') END, chr(10),
+  CASE WHEN o_orderkey % 2 = 0 THEN '逾期付款每日按千分之一支付违约金' ELSE '未尽事宜另行协商' END, chr(10), CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '负责人：王小明' END) AS text
+FROM $orders JOIN $customer ON o_custkey = c_custkey""",
+    "marks": """
+SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS id, concat('P20', CAST(100000 + l_partkey AS STRING), chr(10), CAST(l_partkey AS STRING), CASE l_linenumber % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'l' WHEN 2 THEN 'S' WHEN 3 THEN 'B' ELSE 'Z' END, CAST(l_suppkey AS STRING), ' ', l_returnflag) AS predicted,
+  concat('P20', CAST(100000 + l_partkey AS STRING), chr(10), CAST(l_partkey AS STRING), CASE l_linenumber % 5 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '5' WHEN 3 THEN '8' ELSE '2' END, CAST(l_suppkey AS STRING), ' ', l_linestatus) AS truth FROM $lineitem""",
     "boxes": """
 SELECT l_orderkey AS frame_id, l_linenumber AS box_id, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS det_id, CAST(l_partkey % 200 AS DOUBLE) AS x1, CAST(l_suppkey % 150 AS DOUBLE) AS y1,
   CAST(l_partkey % 200 AS DOUBLE) + l_quantity AS x2, CAST(l_suppkey % 150 AS DOUBLE) + l_quantity * 2 - 5 AS y2, l_discount * 10 AS score, l_returnflag AS label,
