@@ -50,5 +50,11 @@ def drop_saved(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """The side of a join with whole texts, always by sort-merge: the plan, and what it shuffles, is the same at every size,
+    and no side whose size follows the input is broadcast."""
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop_saved, id_text, saved
+from .common import documents, drop_saved, id_text, saved, sorted_side
 
 MIN_LINES = 2
 
@@ -92,7 +92,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_i
     gone = covered.groupBy("doc_id").agg(F.collect_set("q").alias("gone"))
     of_doc = saved(longest.join(gone, "doc_id", "left"), "gone")
     drop_saved(*levels[1:])
-    rows = base.join(of_doc, "doc_id", "left")
+    rows = base.join(sorted_side(of_doc), "doc_id", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     rows = rows.select("doc_id", "lines", "longest_block", _filled(F.col("lines")).alias("filled"), gone.alias("gone"))
     places = F.transform("gone", lambda q: F.get(F.col("filled"), q))
