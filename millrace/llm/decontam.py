@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, saved
+from .common import documents, id_text, saved, sorted_side
 
 WINDOW = 13
 SHARE = 20  # contaminated from one word in so many
@@ -210,7 +210,7 @@ def _merge_scans(base: DataFrame, scans: list[DataFrame]) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8_000_000) -> DataFrame:
     """The clean documents with all their columns."""
     bad = decontaminate(docs, benchmark, window=window, block_bytes=block_bytes).filter("contaminated").select(F.col("doc_id").alias("__mr_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__mr_id"]), "left_anti")
+    return docs.join(sorted_side(bad), F.col("doc_id").eqNullSafe(F.col("__mr_id")), "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

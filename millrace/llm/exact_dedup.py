@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, saved
+from .common import documents, id_text, saved, sorted_side
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -67,7 +67,7 @@ def _result(df: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     flags = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__mr_id")).distinct()
-    return docs.join(flags, docs["doc_id"].eqNullSafe(flags["__mr_id"]), "left_anti")
+    return docs.join(sorted_side(flags), F.col("doc_id").eqNullSafe(F.col("__mr_id")), "left_anti")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop_saved, id_text, saved
+from .common import documents, drop_saved, id_text, saved, sorted_side
 from .components import components
 
 SHINGLE = 5
@@ -181,7 +181,7 @@ def _link_classes(base: DataFrame, classes: DataFrame, percent: int) -> DataFram
     buckets = saved(rows.join(shared, "key").select("key", "rep", "n", F.col("n").alias("m"), F.col("rep").alias("comp")), "buckets")
     n_classes = classes.count()
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, elements array<long>").dropDuplicates(["id"]), "sets")
+    sets = saved(base.join(sorted_side(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, elements array<long>").dropDuplicates(["id"]), "sets")
     labels, tested, round_no = None, None, 0
     while True:
         size = buckets.count()
@@ -230,7 +230,7 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns."""
     copies = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__mr_id")).distinct()
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["__mr_id"]), "left_anti")
+    return docs.join(sorted_side(copies), F.col("doc_id").eqNullSafe(F.col("__mr_id")), "left_anti")
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sorted_side
+
 #: Kinds of rows: the earliest of its key in its chunk; a known repeat; a stretch under a trigger that is
 #: known to have several contexts; a marker for such a trigger.
 FIRST, REPEAT, MIXED, MARKER = 0, 1, 2, 3
@@ -202,4 +204,4 @@ def cut_spans(base: DataFrame, spans: DataFrame, min_run: int = 1) -> DataFrame:
     """Every document (doc_id, text as bytes) without the bytes of its spans (doc_id, s, e): counts, the checksum of what is
     left and the maximal removed runs. Runs shorter than ``min_run`` bytes stay."""
     of_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return base.join(of_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(min_run), CUT)
+    return base.join(sorted_side(of_doc), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(min_run), CUT)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, saved
+from .common import documents, id_text, saved, sorted_side
 from .spans import ROWS, cut_spans, repeats_and_mixed, stretches
 
 LENGTH, K = 100, 32
@@ -188,7 +188,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, group_rows: int = 20
     whole = found.filter("not mixed").select("doc_id", F.col("start").alias("s"), (F.col("start") + F.col("extent") + length - 1).alias("e"))
     mixed = found.filter("mixed")
     wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("t", "start", "extent")).alias("wanted"))
-    fetched = saved(base.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch(length), "t long, doc_id long, start long, bytes binary"), "dictionary")
+    fetched = saved(base.join(sorted_side(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch(length), "t long, doc_id long, start long, bytes binary"), "dictionary")
     crowded = saved(mixed.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > group_rows).select("t"), "crowded")
     spans = whole
     few = fetched
