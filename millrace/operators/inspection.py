@@ -174,19 +174,22 @@ def fuse_depth(depth: DataFrame, flat: DataFrame, mode: str = "or") -> tuple[Dat
 
 def select_rois(candidates: DataFrame, key: str, max_rois: int = 3, merge: float = 0.6) -> DataFrame:
     """Greedy choice of regions per image, best score first, dropping those that a chosen one covers by ``merge`` or more.
-    Candidates: key, roi_id, x, y, w, h, score. A greedy choice has no relational form; an image has few candidates."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in pdf.sort_values(["score", "roi_id"], ascending=[False, True]).itertuples():
-            covers = lambda k: max(0, min(r.x + r.w, k.x + k.w) - max(r.x, k.x)) * max(0, min(r.y + r.h, k.y + k.h) - max(r.y, k.y)) / max(1, r.w * r.h)  # noqa: B023, E731
-            if r.w >= 4 and r.h >= 4 and not any(covers(k) >= merge for k in kept):
-                kept.append(r)
-                if len(kept) == max_rois:
-                    break
-        return pdf.loc[[k.Index for k in kept]].assign(rank=range(1, len(kept) + 1))
-
-    return candidates.groupBy(key).applyInPandas(choose, T.StructType([*candidates.schema.fields, T.StructField("rank", T.IntegerType())]))
+    Candidates: key, roi_id, x, y, w, h, score. The choice folds over an image's sorted candidates, which are few."""
+    fields = ["roi_id", "x", "y", "w", "h", "score"]
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    item = "struct<" + ",".join(f"{c}:{kinds[c]}" for c in fields) + ">"
+
+    def covered(a, b):
+        wide = F.greatest(F.lit(0.0), F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]))
+        high = F.greatest(F.lit(0.0), F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]))
+        return wide * high / F.greatest(F.lit(1.0), a["w"] * a["h"])
+
+    step = lambda kept, r: F.when((F.size(kept) >= max_rois) | F.exists(kept, lambda k: covered(r, k) >= merge), kept).otherwise(F.concat(kept, F.array(r)))
+    usable = candidates.filter((F.col("w") >= 4) & (F.col("h") >= 4))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("roi_id").alias("i"), F.struct(*fields).alias("r"))))
+    rows = usable.groupBy(key).agg(F.transform(ranked, lambda v: v["r"]).alias("all"))
+    rows = rows.select(key, F.posexplode(F.aggregate("all", F.array().cast(f"array<{item}>"), step)).alias("rank", "r"))
+    return rows.select(key, "r.*", (F.col("rank") + 1).alias("rank"))
 
 
 def top_mean(rows: DataFrame, key: str, value: str, k: Column) -> DataFrame:

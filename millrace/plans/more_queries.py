@@ -113,7 +113,7 @@ def j_positional_zip(b):
 
 @on_table("embeddings", """
 WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
-SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.v, b.v), 6) AS cov FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i""")
+SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i""")
 def a15_covariance(e):
     d = e.select(F.size("embedding").alias("d")).first().d
 
@@ -128,7 +128,7 @@ def a15_covariance(e):
 
     sums = e.select("embedding").mapInPandas(moments, "i int, j int, g double, si double, sj double, n long")
     out = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("g", "si", "sj", "n")])
-    return out.select("i", "j", F.round((F.col("g") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1), 6).alias("cov"))
+    return out.select("i", "j", (F.round((F.col("g") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1), 6) + 0.0).alias("cov"))
 
 
 @query("qc_results", sql="SELECT verdict AS state, count(*) AS n, round(sum(anomaly_score), 2) AS vram FROM qc_results GROUP BY verdict")
