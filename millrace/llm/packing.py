@@ -43,7 +43,7 @@ class IdEncoder:
     when it is met again. Texts with any other white space, or with the string of a special token, are
     encoded as a whole."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -78,7 +78,7 @@ class IdEncoder:
         if len(self.words) > self.keep:
             self.words, self.older = {}, self.words
         words, units = self.words, [self._units(t) if t else [] for t in texts]
-        new = list({u for x in units if x for u in x if u not in words})
+        new = list(set().union(*[x for x in units if x]).difference(words))
         if new:
             self._add(new)
         whole = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, units, strict=True) if x is None], add_special_tokens=False))

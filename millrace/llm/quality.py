@@ -46,7 +46,7 @@ class _Hashes(dict):
     """Token hashes; the table starts anew when it is full."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         got = self[token] = xxhash.xxh3_64_intdigest(token)
         return got
