@@ -8,8 +8,8 @@ similarity with the concentration of independent samples. 40 bands of 6 coordina
 similarity 0.85 misses all of them with probability 6e-9, one of 0.8 with 5e-6.
 
 Links are confirmed on the full sets. Equal sets are one class from the start and are never compared. Buckets
-are worked in rounds without listing their pairs: each has a leader (more once few rows are left; all members in a last round, once the
-open buckets hold fewer pairs than four times the documents), every member is tested against it if the two are not connected yet, links merge components, leaders are
+are worked in rounds without listing their pairs: each has a leader (more once few rows are left; in a last round, once that
+takes fewer tests than four times the documents, all members outside the bucket's largest component lead), every member is tested against it if the two are not connected yet, links merge components, leaders are
 done with and leave the bucket, and buckets whose members are all in one component are finished. Members that can have no link left leave
 too: shingles that no other member of an unfinished bucket has can't be shared, so the others bound every intersection
 (this settles large groups of copies that are just under the threshold). Members with the fewest such shingles lead. The rounds
@@ -184,21 +184,22 @@ def _link_classes(base: DataFrame, classes: DataFrame, percent: int) -> DataFram
     sets = saved(base.join(sorted_side(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, elements array<long>").dropDuplicates(["id"]), "sets")
     labels, tested, round_no = None, None, 0
     while True:
-        open_ = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("pairs")).first()
+        per = buckets.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+        per = per.agg(F.sum("c").alias("rows"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        open_ = per.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * (F.col("rows") - F.col("most"))).alias("work")).first()
         if not open_.rows:
             drop_saved(sets, buckets)
             return labels
-        last = open_.pairs <= 4 * n_classes
-        slots = F.lit(0)
-        if last:
-            slots = F.col("rep")  # every member leads
+        last, slots, led = open_.work <= 4 * n_classes, F.lit(0), buckets
+        if last:  # all lead but the bucket's largest component: each pair of two components has a leader
+            slots, led = F.col("rep"), buckets.join(per.select("key", "main"), "key").filter("comp <> main")
         elif round_no:
             slots = F.pmod(F.xxhash64("rep", F.lit(round_no)), F.lit(max(1, min(64, 4 * n_classes // open_.rows))))
-        leaders = buckets.groupBy("key", slots.alias("slot")).agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "n", "m", "comp")).alias("l"))
+        leaders = led.groupBy("key", slots.alias("slot")).agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "n", "m", "comp")).alias("l"))
         leaders = saved(leaders.select("key", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("rep", "n", "m", "comp")]), "leaders")
         most = F.least("m", "l_m")  # of the intersection
         possible = 100 * most >= percent * (F.col("n") + F.col("l_n") - most)
-        pairs = buckets.join(leaders, "key").filter(possible & (F.col("comp") != F.col("l_comp")) & ((F.col("rep") < F.col("l_rep")) if last else F.lit(True)))
+        pairs = buckets.join(leaders, "key").filter(possible & (F.col("comp") != F.col("l_comp")))
         pairs = pairs.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
