@@ -1,19 +1,19 @@
 """Quality selection by importance resampling.
 
-Two generative models of hashed n-grams (words or runs of other signs, and pairs of neighbours) share one table of
-``BUCKETS`` buckets: the target model counts labelled good documents (quality 1, not toxic), the raw model all
-documents. A document's log importance weight is the sum over its n-grams of the log ratio of the two models. Ratios are
-taken where the evidence is clear and stay 0 elsewhere: the raw model is first scaled by the median ratio (what n-grams
-of ordinary text have); a bucket then counts if the target has fewer than ``e ** CUT`` times
-as many as expected and the difference is over ``Z`` standard deviations. So ordinary text weighs about 0 at any length, and each sign of
-the kinds of text that the target lacks lowers the weight.
+Three generative models of hashed n-grams (words or runs of other signs, and pairs of neighbours) share one table of
+``BUCKETS`` buckets: the target model counts labelled good documents (quality 1, not toxic), the bad model the other labelled
+documents, the raw model all documents. The target and the bad model are smoothed towards the raw model: a bucket's ratio is that of its
+count to the count the raw model expects, ``SMOOTH`` added to both. A document's log importance weight is the sum over its n-grams
+of the log ratio of target to bad, shrunk by ``SHRINK`` towards 0 (a soft threshold), because n-grams that a few bad documents
+happen to hold have small negative ratios. So an n-gram that good documents lack and bad ones repeat counts by its evidence at every table
+size, ordinary text weighs about 0, and each sign of the kinds of text that the target lacks lowers the weight.
 
 Documents are sampled without replacement by Gumbel top-k: the k largest sums of log weight and Gumbel noise are
 kept, the noise being a hash of the id. k is the number of documents whose weight lies above the cut that errs least on held-out
 labelled documents. The k-th largest sum is found by histograms of ever smaller ranges, not by a sort.
 
 Labels are read as a documented sample: ``LABELS`` rows at most, the first by a hash of the id; one half fits the target
-model, the other finds the cut. The raw model, the weights and the selection cover all documents. What reaches the driver is the bucket table (fixed
+and bad models, the other finds the cut. The raw model, the weights and the selection cover all documents. What reaches the driver is the bucket table (fixed
 size), the labelled sample and histograms.
 
 Defined cases: a null or empty text has no n-grams and weight 0; a null id shares one noise value; rows that repeat an
@@ -36,7 +36,7 @@ from .common import documents, id_text, saved
 BITS = 20
 BUCKETS = 1 << BITS
 LABELS = 50_000
-Z, CUT = 4.0, -1.0
+SMOOTH, SHRINK = 0.5, 2.0
 SEED = 29
 _U = np.uint64
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
@@ -65,41 +65,37 @@ def ngrams(text: bytes) -> np.ndarray:
     return np.concatenate((x >> _U(64 - BITS), two >> _U(64 - BITS))).astype(np.int64)
 
 
-_COUNT_FIELDS = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
+_COUNT_FIELDS = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64()), ("bad", pa.int64())])
 
 
-def _counts(good: np.ndarray):
-    """good: sorted ids of the labelled good documents."""
+def _counts(ids: np.ndarray, good: np.ndarray):
+    """ids: sorted ids of the labelled documents to fit; good: which of them are good."""
 
     def run(batches):
-        raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        raw, target, bad = (np.zeros(BUCKETS, dtype=np.int64) for _ in range(3))
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 grams = ngrams(text.as_py())
                 np.add.at(raw, grams, 1)
                 doc = doc.as_py()
-                if doc is not None and len(good):
-                    i = np.searchsorted(good, doc)
-                    if i < len(good) and good[i] == doc:
-                        np.add.at(target, grams, 1)
+                if doc is not None and len(ids):
+                    i = np.searchsorted(ids, doc)
+                    if i < len(ids) and ids[i] == doc:
+                        np.add.at(target if good[i] else bad, grams, 1)
         seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(target[seen])], schema=_COUNT_FIELDS)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *[pa.array(c[seen]) for c in (raw, target, bad)]], schema=_COUNT_FIELDS)
 
     return run
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The log ratio of the two models by bucket, 0 where the evidence isn't clear."""
-    if not target.sum():
+def log_ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray | None = None) -> np.ndarray:
+    """The shrunk log ratio of target to bad by bucket. Without labelled bad documents all that is not target stands for them."""
+    if bad is None or not bad.sum():
+        bad = raw - target
+    if not target.sum() or not bad.sum():
         return np.zeros(len(raw), dtype=np.float32)
-    expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + 1) / (expected + 1))
-    order = np.argsort(ratio, kind="stable")
-    mass = np.cumsum(target[order])
-    expected = expected * np.exp(ratio[order][np.searchsorted(mass, mass[-1] / 2)])
-    ratio = np.log((target + 1) / (expected + 1))
-    clear = (expected - target > Z * np.sqrt(expected + 1)) & (ratio < CUT)
-    return np.where(clear, ratio, 0).astype(np.float32)
+    excess = lambda c: np.log((c + SMOOTH) / (raw * (c.sum() / raw.sum()) + SMOOTH))
+    return np.minimum(excess(target) - excess(bad) + SHRINK, 0).astype(np.float32)
 
 
 def _weigh(table):
@@ -132,12 +128,12 @@ def labelled(labels: DataFrame, limit: int = LABELS) -> tuple[np.ndarray, np.nda
 
 def fitted(docs: DataFrame, ids: np.ndarray, good: np.ndarray, fit: np.ndarray) -> np.ndarray:
     """The table of log ratios. docs: doc_id, text (bytes)."""
-    counts = docs.mapInArrow(_counts(ids[good & fit]), "bucket int, raw long, target long")
-    table = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = table.column("bucket").to_numpy()
-    raw[at], target[at] = table.column("raw").to_numpy(), table.column("target").to_numpy()
-    return log_ratios(raw, target)
+    counts = docs.mapInArrow(_counts(ids[fit], good[fit]), "bucket int, raw long, target long, bad long")
+    table = counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "target", "bad")]).toArrow()
+    of = {c: np.zeros(BUCKETS) for c in ("raw", "target", "bad")}
+    for c, x in of.items():
+        x[table.column("bucket").to_numpy()] = table.column(c).to_numpy()
+    return log_ratios(**of)
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
