@@ -25,3 +25,11 @@ def test_quality_uses_bad_labels_on_small_tables(spark):
     kept = {r.doc_id for r in quality.resample(frame(spark, docs), lab).collect() if r.kept}
     toxic = {i for i in range(600) if i % 12 == 0}
     assert len(kept & toxic) <= 10 and len(set(range(600)) - toxic - kept) <= 20
+
+
+def test_quality_keeps_long_clean_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r.doc_id for r in quality.resample(docs, labels).filter("kept").select("doc_id").collect()}
+    good = labels.filter("quality = 1 and toxic = 0").join(docs.filter("octet_length(text) >= 10000"), "doc_id").select("doc_id").collect()
+    assert len(good) > 60 and sum(r.doc_id in kept for r in good) >= 0.9 * len(good)
