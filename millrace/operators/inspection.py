@@ -251,6 +251,41 @@ def coreset(vectors: np.ndarray, size: int) -> np.ndarray:
     return np.array(chosen)
 
 
+def coreset_rows(features: DataFrame, size: int, order: str = "vec_id", vector: str = "embedding") -> list:
+    """Ids of a greedy farthest-point selection over all rows, from the vector nearest the mean; ties go to the least id. Each
+    round is one pass in which every task gives its best row; only the chosen vectors are kept on the driver."""
+    rows = features.select(F.col(order).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+
+    def best(near: np.ndarray, sign: int):
+        """The row with the greatest ``sign`` times distance to the nearest of ``near``."""
+
+        def run(frames):
+            for pdf in frames:
+                if len(pdf):
+                    x = np.stack(pdf["v"].to_numpy())
+                    far = np.full(len(x), np.inf)
+                    for c in near:
+                        far = np.minimum(far, ((x - c) ** 2).sum(axis=1))
+                    i = np.lexsort((pdf["id"].to_numpy(), -sign * far))[0]
+                    yield pdf.iloc[[i]].assign(score=sign * far[i])
+
+        found = rows.mapInPandas(run, "id long, v array<double>, score double")
+        return found.agg(F.min_by(F.struct("id", "v", "score"), F.struct(-F.col("score"), "id")).alias("r")).first().r
+
+    mean = [r.m for r in rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]
+    if not mean:
+        return []
+    first = best(np.array([mean]), -1)
+    ids, near = [first.id], [np.array(first.v)]
+    while len(ids) < size:
+        r = best(np.stack(near), 1)
+        if r.score <= 0:  # every row equals a chosen one
+            break
+        ids.append(r.id)
+        near.append(np.array(r.v))
+    return ids
+
+
 def feature_bank(features: DataFrame, ratio: float, cap: int = 25_000, seed: int = 2026, order: str = "vec_id", vector: str = "embedding") -> np.ndarray:
     """A coreset of a hash-ordered sample of at most ``cap`` vectors."""
     sample = features.orderBy(F.xxhash64(order, F.lit(seed)), order).limit(cap).select(vector).toPandas()

@@ -258,9 +258,7 @@ def w11_fixed_order(b):
 
 @on_table("embeddings")
 def v2_coreset(e):
-    sample = e.orderBy("vec_id").limit(25_000).select("vec_id", "embedding").toPandas()
-    chosen = op.coreset(np.stack(sample["embedding"].to_numpy()), 100)
-    return e.sparkSession.createDataFrame([(i, int(v)) for i, v in enumerate(sample["vec_id"].to_numpy()[chosen])], "place int, vec_id long")
+    return e.sparkSession.createDataFrame(list(enumerate(op.coreset_rows(e, 100))), "place int, vec_id long")
 
 
 def m5_explained_variance(spark, sf_dir):

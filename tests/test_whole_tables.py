@@ -1,0 +1,15 @@
+"""Inspection queries over all rows of their table."""
+
+import numpy as np
+import pandas as pd
+
+from millrace.operators import inspection as op
+from millrace.plans.catalog import QUERIES
+
+
+def test_coreset_reaches_the_last_rows(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(25_050, 3))
+    x[-1] = 500.0
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(tmp_path / "embeddings.parquet")
+    got = [r.vec_id for r in QUERIES["v2_coreset"](spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == op.coreset(x, 100).tolist()
