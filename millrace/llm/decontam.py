@@ -209,8 +209,10 @@ def _merge_scans(base: DataFrame, scans: list[DataFrame]) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8_000_000) -> DataFrame:
     """The clean documents with all their columns."""
-    bad = decontaminate(docs, benchmark, window=window, block_bytes=block_bytes).filter("contaminated").select(F.col("doc_id").alias("__mr_id")).distinct()
-    return docs.join(sorted_side(bad), F.col("doc_id").eqNullSafe(F.col("__mr_id")), "left_anti")
+    # Rows are named by a hash of id and text: null ids and ids of several texts decide nothing for each other.
+    named = docs.withColumn("__mr_row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    bad = decontaminate(named, benchmark, id_col="__mr_row", window=window, block_bytes=block_bytes).filter("contaminated").select(F.col("doc_id").alias("__mr_bad")).distinct()
+    return named.join(sorted_side(bad), F.col("__mr_row") == F.col("__mr_bad"), "left_anti").drop("__mr_row")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -65,9 +65,12 @@ def _result(df: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    flags = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__mr_id")).distinct()
-    return docs.join(sorted_side(flags), F.col("doc_id").eqNullSafe(F.col("__mr_id")), "left_anti")
+    """The documents that stay, with all their columns. Rows are rejected by id and text; of rows that repeat both, any one stays."""
+    flags = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__mr_id"), F.col("text_sha256").alias("__mr_gone")).distinct()
+    norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, "")
+    named = docs.withColumn("__mr_text", F.sha2(norm.cast("binary"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("__mr_id")) & (F.col("__mr_text") == F.col("__mr_gone"))
+    return named.join(sorted_side(flags), same, "left_anti").dropDuplicates(["doc_id", "__mr_text"]).drop("__mr_text")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

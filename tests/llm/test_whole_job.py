@@ -2,7 +2,7 @@
 
 import random
 
-from millrace.llm import quality
+from millrace.llm import decontam, exact_dedup, quality
 from tests.llm.test_operators import frame
 
 
@@ -33,3 +33,14 @@ def test_quality_keeps_long_clean_documents(spark):
     kept = {r.doc_id for r in quality.resample(docs, labels).filter("kept").select("doc_id").collect()}
     good = labels.filter("quality = 1 and toxic = 0").join(docs.filter("octet_length(text) >= 10000"), "doc_id").select("doc_id").collect()
     assert len(good) > 60 and sum(r.doc_id in kept for r in good) >= 0.9 * len(good)
+
+
+def test_filters_reject_rows_not_ids(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "a clean text"), (7, item), (7, "another clean text")]
+    left = decontam.drop_contaminated(frame(spark, rows), bench).collect()
+    assert sorted(r.text for r in left) == ["a clean text", "another clean text"]
+    rows = [(1, "copy"), (None, "co py"), (None, "unique"), (2, "copy"), (2, "own text"), (3, "twice"), (3, "twice"), (None, "no id"), (None, "no id")]
+    left = exact_dedup.drop_exact_copies(frame(spark, rows)).collect()
+    assert len(left) == 5 and {r.text for r in left} == {"co py", "unique", "own text", "twice", "no id"}  # the longest copy stays, as in the SQL
