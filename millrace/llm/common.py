@@ -18,12 +18,25 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not use yet."""
+    used = {c.lower() for c in df.columns}
+    name = f"__mr_{stem}"
+    while any(c.startswith(name) for c in used):
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A machine-local folder is used only where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder set on the context. A local session that
+    names neither (tests) gets a folder of its own; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = known.get()

@@ -7,17 +7,18 @@ coordinate is filled after 2t rounds at the latest, and usually after about t ln
 similarity with the concentration of independent samples. 40 bands of 6 coordinates make buckets: a pair of
 similarity 0.85 misses all of them with probability 6e-9, one of 0.8 with 5e-6.
 
-Links are confirmed on the full sets. Equal sets are one class from the start and are never compared. Buckets
-are worked in rounds without listing their pairs: each has a leader (more once few rows are left; in a last round, once that
-takes fewer tests than four times the documents, all members outside the bucket's largest component lead), every member is tested against it if the two are not connected yet, links merge components, leaders are
-done with and leave the bucket, and buckets whose members are all in one component are finished. Members that can have no link left leave
-too: shingles that no other member of an unfinished bucket has can't be shared, so the others bound every intersection
-(this settles large groups of copies that are just under the threshold). Members with the fewest such shingles lead. The rounds
-end when no bucket holds two components, so every pair that shares a bucket is tested, connected or bounded below the threshold; none is dropped.
+Links are confirmed on the full sets. Equal sets are one class from the start, known by a 128-bit digest, and are never compared.
+First every member of a bucket is tested against the bucket's leader, so a bucket costs as many tests as it has members, and the links
+found merge components. Buckets whose members are then in one component are finished. In the others, elements that no other
+open class has can be in no intersection: the rest of a class bounds what it can share with any other, in all and by part of
+the hash space. Members that the bound keeps from any link leave (this settles large groups of copies just under the threshold);
+what remains are pairs of *different* components that share a bucket and that both bounds leave possible, and these are
+tested too. So every pair that shares a bucket is tested, connected or bounded below the threshold; none is dropped, and no step
+depends on the size of the table.
 
 Defined cases: null and wordless texts have empty sets and are linked with nothing; a null id takes part
-through its text but names no component unless alone; ids name texts, so rows that repeat an id must repeat its text and share its
-result; an empty table gives an empty result; other columns are ignored.
+through its text but names no component unless alone; rows that repeat an id take part each with its own text; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop_saved, id_text, saved, sorted_side
+from .common import documents, drop_saved, free_name, id_text, saved, sorted_side
 from .components import components
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 40, 6
+PARTS = 32
 _U = np.uint64
 
 
@@ -85,32 +87,30 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((m * _WEIGHTS[:rows]).sum(axis=1, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-_SKETCHES = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
-_SKETCH_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCHES = "doc_id long, t binary, n_shingles long, cls binary, bands array<long>"
+_SKETCH_FIELDS = pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketches(bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            n, s1, s2, keys = [], [], [], []
-            for text in batch.column(1):
+            n, cls, keys = [], [], []
+            for text in batch.column(2):
                 e = shingle_set(text.as_py())
                 n.append(len(e))
-                whole = xxhash.xxh3_128_digest(e.tobytes())
-                s1.append(int.from_bytes(whole[:8], "little", signed=True))
-                s2.append(int.from_bytes(whole[8:], "little", signed=True))
+                cls.append(xxhash.xxh3_128_digest(e.tobytes()))
                 keys.append(band_keys(sketch(e, bands * rows), bands, rows).view(np.int64) if len(e) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip((n, s1, s2, keys), list(_SKETCH_FIELDS)[1:], strict=True)]], schema=_SKETCH_FIELDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, f.type) for c, f in zip((n, cls, keys), list(_SKETCH_FIELDS)[2:], strict=True)]], schema=_SKETCH_FIELDS)
 
     return run
 
 
-_SET_FIELDS = pa.schema([("id", pa.int64()), ("elements", pa.list_(pa.int64()))])
+_SET_FIELDS = pa.schema([("node", pa.binary()), ("elements", pa.list_(pa.int64()))])
 
 
 def _sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], schema=_SET_FIELDS)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))], schema=_SET_FIELDS)
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -121,7 +121,7 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-_LINK_FIELDS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK_FIELDS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _confirm(percent: int):
@@ -138,108 +138,114 @@ def _confirm(percent: int):
     return run
 
 
+_BOUND_FIELDS = pa.schema([("node", pa.binary()), ("m", pa.int64()), ("parts", pa.list_(pa.int32()))])
+
+
+def _part_counts(batches):
+    """Number of a set's elements that other sets have too, in all and by part (a hash of the element)."""
+    for batch in batches:
+        m, parts = [], []
+        for x, own in zip(batch.column("elements"), batch.column("own"), strict=True):
+            x = x.values.to_numpy().view(_U)
+            own = own.values.to_numpy().view(_U) if own.is_valid else x[:0]
+            count = np.bincount((x % _U(PARTS)).astype(np.intp), minlength=PARTS) - np.bincount((own % _U(PARTS)).astype(np.intp), minlength=PARTS)
+            m.append(len(x) - len(own))
+            parts.append(count.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(m, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], schema=_BOUND_FIELDS)
+
+
 def _mixed(buckets: DataFrame) -> DataFrame:
-    """The buckets that hold two components or more."""
+    """The buckets that hold two components or more, with the least set size in each."""
     keys = buckets.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n")).filter("lo <> hi")
     return buckets.join(keys.select("key", "least_n"), "key")
 
 
-def _bounded(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Buckets with m, the number of a member's shingles that some other member of any bucket has too, without the members
-    that m and the least size in the bucket keep from any link."""
-    ids = buckets.select(F.col("rep").alias("id")).distinct()
-    elements = sets.join(ids, "id", "left_semi").select("id", F.explode("elements").alias("e"))
-    own = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    rows = buckets.select("key", "rep", "n", "comp").join(own.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = _mixed(saved(rows.select("key", "rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"), "comp"), "bounded"))
+def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
+    return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary"), "links")
+
+
+def _link_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of every class that has a link. texts: t, text (bytes); classes: cls, t, n, bands."""
+    rows = classes.select(F.col("cls").alias("node"), "n", F.explode("bands").alias("key"))
+    heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("node").alias("l"), F.col("n").alias("l_n"))).alias("lead")).filter("c > 1")
+    buckets = saved(rows.join(heads, "key").select("key", "node", "n", F.col("lead.l").alias("l"), F.col("lead.l_n").alias("l_n")), "buckets")
+    wanted = classes.join(buckets.select(F.col("node").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("node"), "t")
+    sets = saved(texts.join(sorted_side(wanted), "t").select("node", "text").mapInArrow(_sets, "node binary, elements array<long>").dropDuplicates(["node"]), "sets")
+
+    # Every member against the leader of its bucket.
+    least = F.least("n", "l_n")
+    near = buckets.filter((F.col("node") != F.col("l")) & (100 * least >= percent * F.greatest("n", "l_n")))
+    links = _tested(near.select(F.col("l").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+    labels = saved(components(links), "labels")
+
+    # What is left: buckets of several components, without the members that can have no link.
+    open_ = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    open_ = saved(_mixed(open_).drop("least_n"), "open")
+    nodes = open_.select("node").distinct()
+    inside = sets.join(nodes, "node", "left_semi")
+    own = inside.select("node", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    own = own.groupBy("node").agg(F.collect_list("e").alias("own"))
+    bounds = inside.join(own, "node", "left").select("node", "elements", "own").mapInArrow(_part_counts, "node binary, m long, parts array<int>")
     possible = 100 * F.col("m") >= percent * (F.col("n") + F.greatest("least_n", "m") - F.col("m"))
-    return saved(_mixed(rows.filter(possible).drop("least_n")).drop("least_n"), "buckets")
+    rest = _mixed(open_.join(bounds, "node")).filter(possible).drop("least_n")
+    rest = saved(_mixed(rest).drop("least_n"), "rest")
+
+    # Pairs of two components that the bounds leave possible.
+    x, y = rest.alias("x"), rest.alias("y")
+    shared = F.least("x.m", "y.m")
+    by_part = F.aggregate(F.zip_with("x.parts", "y.parts", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
+    reach = lambda both: 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & reach(shared) & reach(by_part))
+    more = _tested(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, percent)
+    if not more.isEmpty():
+        all_links = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        joined = saved(components(all_links), "labels")
+        drop_saved(labels)
+        labels = joined
+    drop_saved(buckets, sets, links, open_, rest, more)
+    return labels
+
+
+def _components(docs: DataFrame, percent: int, id_col: str, text_col: str, bands: int, band_rows: int) -> DataFrame:
+    """One row per document: doc_id, t (MD5 of the text), n_shingles, component (a digest; null for empty sets)."""
+    texts = id_text(docs, id_col, text_col).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("t"), F.col("text").cast("binary").alias("text"))
+    sketched = saved(texts.mapInArrow(_sketches(bands, band_rows), _SKETCHES), "sketch")
+    some = sketched.filter("n_shingles > 0")
+    classes = saved(some.groupBy("cls").agg(F.min("t").alias("t"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    labels = _link_classes(texts.select("t", "text"), classes, percent)
+    of_class = classes.select("cls").join(labels, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"))
+    out = some.select("doc_id", "t", "n_shingles", "cls").join(of_class, "cls").select("doc_id", "t", "n_shingles", "component")
+    out = saved(out.unionByName(sketched.filter("n_shingles = 0").select("doc_id", "t", "n_shingles", F.lit(None).cast("binary").alias("component"))), "components")
+    drop_saved(sketched, classes, labels)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked when
     100 * intersection >= percent * union of their sets."""
-    base = id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    sketched = saved(base.mapInArrow(_sketches(bands, band_rows), _SKETCHES), "sketch")
-    classes = saved(
-        sketched.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    labels = _link_classes(base, classes.filter("rep is not null"), percent)
-    of_class = classes.select("s1", "s2", "rep")
-    if labels is not None:
-        of_class = of_class.join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("rep"))
-    full = sketched.filter("n_shingles > 0").join(of_class, ["s1", "s2"]).select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-    none = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = _components(docs, percent, id_col, text_col, bands, band_rows)
+    least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    full = rows.join(least, "component").select("doc_id", "n_shingles", "component_id")
+    none = rows.filter("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _link_classes(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
-    """(node, component) of every class representative that has a link."""
-    rows = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    buckets = saved(rows.join(shared, "key").select("key", "rep", "n", F.col("n").alias("m"), F.col("rep").alias("comp")), "buckets")
-    n_classes = classes.count()
-    ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(base.join(sorted_side(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, elements array<long>").dropDuplicates(["id"]), "sets")
-    labels, tested, round_no = None, None, 0
-    while True:
-        per = buckets.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-        per = per.agg(F.sum("c").alias("rows"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        open_ = per.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * (F.col("rows") - F.col("most"))).alias("work")).first()
-        if not open_.rows:
-            drop_saved(sets, buckets)
-            return labels
-        last, slots, led = open_.work <= 4 * n_classes, F.lit(0), buckets
-        if last:  # all lead but the bucket's largest component: each pair of two components has a leader
-            slots, led = F.col("rep"), buckets.join(per.select("key", "main"), "key").filter("comp <> main")
-        elif round_no:
-            slots = F.pmod(F.xxhash64("rep", F.lit(round_no)), F.lit(max(1, min(64, 4 * n_classes // open_.rows))))
-        leaders = led.groupBy("key", slots.alias("slot")).agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "rep", "n", "m", "comp")).alias("l"))
-        leaders = saved(leaders.select("key", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("rep", "n", "m", "comp")]), "leaders")
-        most = F.least("m", "l_m")  # of the intersection
-        possible = 100 * most >= percent * (F.col("n") + F.col("l_n") - most)
-        pairs = buckets.join(leaders, "key").filter(possible & (F.col("comp") != F.col("l_comp")))
-        pairs = pairs.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-        links = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
-        if not links.isEmpty():
-            labels = _merge(labels, links)
-        if last:
-            drop_saved(sets, buckets, leaders, links)
-            return labels
-        # Leaders are done with; what is left of a bucket counts while it holds two components.
-        rest = buckets.join(leaders.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n", "comp")
-        if labels is not None:
-            rest = rest.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        rest = saved(_mixed(rest).drop("least_n"), "rest")
-        drop_saved(buckets, leaders, links)
-        buckets, round_no = _bounded(rest, sets, percent), round_no + 1
-
-
-def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after the new links: components are computed on the contracted graph only."""
-    if labels is None:
-        return saved(components(links), "labels")
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
-    lifted = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    lifted = lifted.select("a", "b", F.coalesce("a_comp", "a").alias("ca"), F.coalesce("b_comp", "b").alias("cb"))
-    joined = components(lifted.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
-    nodes = labels.unionByName(lifted.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("p")).select("p.*")).distinct()
-    nodes = nodes.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()
-    return saved(nodes.join(joined, "component", "left").select("node", F.coalesce("final", "component").alias("component")).distinct(), "labels")
-
-
 def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each component, with all its columns."""
-    copies = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__mr_id")).distinct()
-    return docs.join(sorted_side(copies), F.col("doc_id").eqNullSafe(F.col("__mr_id")), "left_anti")
+    """One document of each component, with all its columns: of the least id, then of the least text digest; null ids rank last.
+    Rows, not ids, are dropped: a row is named by its id and the digest of its text, and of rows that agree in both one stays."""
+    rows = _components(docs, percent, "doc_id", "text", BANDS, BAND_ROWS).filter("component is not null")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("best"))
+    this, text_key, once = (free_name(docs, x) for x in ("near_id", "near_text", "near_row"))
+    gone = rows.join(best, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t") == F.col("best.t"))))
+    gone = gone.select(F.col("doc_id").alias(this), F.col("t").alias(f"{text_key}_gone")).distinct()
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    empty = F.translate(raw.cast("string"), " \t\n\x0b\x0c\r", "") == ""
+    named = docs.withColumn(text_key, F.unhex(F.md5(raw))).withColumn(once, F.when(empty, F.monotonically_increasing_id()))
+    left = named.join(sorted_side(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(this)) & (F.col(text_key) == F.col(f"{text_key}_gone")), "left_anti")
+    return left.dropDuplicates(["doc_id", text_key, once]).drop(text_key, once)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
