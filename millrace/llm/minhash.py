@@ -8,7 +8,7 @@ similarity with the concentration of independent samples. 40 bands of 6 coordina
 similarity 0.85 misses all of them with probability 6e-9, one of 0.8 with 5e-6.
 
 Links are confirmed on the full sets. Equal sets are one class from the start, known by a 128-bit digest, and are never compared.
-First every member of a bucket is tested against the bucket's leader, so a bucket costs as many tests as it has members, and the links
+First every member of a bucket is tested against the bucket's leader (its most central member), so a bucket costs as many tests as it has members, and the links
 found merge components. Buckets whose members are then in one component are finished. In the others, elements that no other
 open class has can be in no intersection: the rest of a class bounds what it can share with any other, in all and by part of
 the hash space. Members that the bound keeps from any link leave (this settles large groups of copies just under the threshold);
@@ -23,6 +23,9 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -170,8 +173,13 @@ def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _link_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) of every class that has a link. texts: t, text (bytes); classes: cls, t, n, bands."""
     rows = classes.select(F.col("cls").alias("node"), "n", F.explode("bands").alias("key"))
-    heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("node").alias("l"), F.col("n").alias("l_n"))).alias("lead")).filter("c > 1")
-    buckets = saved(rows.join(heads, "key").select("key", "node", "n", F.col("lead.l").alias("l"), F.col("lead.l_n").alias("l_n")), "buckets")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = saved(rows.join(counts, "key"), "shared")
+    # A bucket is led by its most central member: the one that meets most others over all its buckets.
+    mass = shared.groupBy("node").agg(F.sum("c").alias("mass"))
+    heads = shared.join(mass, "node").groupBy("key").agg(F.min(F.struct((-F.col("mass")).alias("mass"), "node", "n")).alias("lead"))
+    buckets = saved(shared.drop("c").join(heads, "key").select("key", "node", "n", F.col("lead.node").alias("l"), F.col("lead.n").alias("l_n")), "buckets")
+    drop_saved(shared)
     wanted = classes.join(buckets.select(F.col("node").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("node"), "t")
     sets = saved(texts.join(sorted_side(wanted), "t").select("node", "text").mapInArrow(_sets, "node binary, elements array<long>").dropDuplicates(["node"]), "sets")
 
@@ -181,8 +189,8 @@ def _link_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFra
     links = _tested(near.select(F.col("l").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
     labels = saved(components(links), "labels")
 
-    # What is left: buckets of several components, without the members that can have no link.
-    open_ = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    # What is left: buckets of several components, without their leaders and without the members that can have no link.
+    open_ = buckets.filter(F.col("node") != F.col("l")).join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
     open_ = saved(_mixed(open_).drop("least_n"), "open")
     nodes = open_.select("node").distinct()
     inside = sets.join(nodes, "node", "left_semi")
@@ -190,22 +198,29 @@ def _link_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFra
     own = own.groupBy("node").agg(F.collect_list("e").alias("own"))
     bounds = inside.join(own, "node", "left").select("node", "elements", "own").mapInArrow(_part_counts, "node binary, m long, parts array<int>")
     possible = 100 * F.col("m") >= percent * (F.col("n") + F.greatest("least_n", "m") - F.col("m"))
+    bounds = bounds.select("node", "m", *[F.get("parts", F.lit(i)).alias(f"p{i}") for i in range(PARTS)])
     rest = _mixed(open_.join(bounds, "node")).filter(possible).drop("least_n")
     rest = saved(_mixed(rest).drop("least_n"), "rest")
-
-    # Pairs of two components that the bounds leave possible.
-    x, y = rest.alias("x"), rest.alias("y")
-    shared = F.least("x.m", "y.m")
-    by_part = F.aggregate(F.zip_with("x.parts", "y.parts", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
-    reach = lambda both: 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & reach(shared) & reach(by_part))
-    more = _tested(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, percent)
+    keys = rest.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    main = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    rest_keyed = saved(rest.join(keys, "node").join(main, "key").withColumn("in_main", F.col("comp") == F.col("main")).drop("main"), "keyed")
+
+    # Pairs of two components that the bounds leave possible, each in the first bucket that both are in: members outside a
+    # bucket's largest component against all of it, so members of that component never meet each other.
+    x, y = rest_keyed.filter("not in_main").alias("x"), rest_keyed.alias("y")
+    shared_by = F.least("x.m", "y.m")
+    by_part = reduce(add, [F.least(f"x.p{i}", f"y.p{i}") for i in range(PARTS)])  # plain columns: compiled, where array functions aren't
+    reach = lambda both: (100 + percent) * both >= percent * (F.col("x.n") + F.col("y.n"))
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.in_main") | (F.col("x.node") < F.col("y.node")))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & reach(shared_by) & reach(by_part) & first)
+    more = _tested(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), sets, percent)
     if not more.isEmpty():
         all_links = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         joined = saved(components(all_links), "labels")
         drop_saved(labels)
         labels = joined
-    drop_saved(buckets, sets, links, open_, rest, more)
+    drop_saved(buckets, sets, links, open_, rest, rest_keyed, more)
     return labels
 
 
