@@ -5,6 +5,7 @@ Patterns are written for Java's engine; ``U`` makes \\s, \\d and \\b follow Unic
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -61,28 +62,45 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def has_any(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
 
 
+def number_text(c: Column) -> Column:
+    """A double as Python prints it below 1e16: the shortest digits that give it back, one decimal at least, no exponent."""
+    plain = F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when((F.abs(c) < 1e7) & (F.abs(c) >= 1e-3), c.cast("string")).otherwise(plain)
+
+
 def parse_amount(segment) -> Column:
     """The largest amount of a segment (万 counts ten thousand), rounded to 2 places; null without one."""
     value = lambda m: F.regexp_replace(F.regexp_extract(m, NUMBER, 0), "[,，]", "").try_cast("double") * F.when(m.contains("万"), 10000.0).otherwise(1.0)
     return F.round(F.array_max(F.transform(F.regexp_extract_all(_c(segment), F.lit(U + AMOUNT), F.lit(0)), value)), 2)
 
 
-def iso_date(text: Column, pattern: str, first: int = 1) -> Column:
-    """The date of three neighbouring groups, or '' where there is none or no such day."""
-    y, m, d = (F.regexp_extract(text, U + pattern, first + i) for i in range(3))
+def _day(y: Column, m: Column, d: Column) -> Column:
     return F.coalesce(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date").cast("string"), F.lit(""))
 
 
+def iso_date(text: Column, pattern: str, first: int = 1) -> Column:
+    """The date of three neighbouring groups, or '' where there is none or no such day. The groups are read from the one match."""
+    return let(F.regexp_extract(text, U + pattern, 0), lambda m: F.when(m == "", "").otherwise(_day(*(F.regexp_extract(m, U + pattern, first + i) for i in range(3)))))
+
+
 def due_date(segment, base: Column) -> Column:
-    """An absolute date, else a number of days after an anchor whose date is known, else ''."""
+    """An absolute date, else a number of days after an anchor whose date is known, else ''. Each pattern runs once over the segment; the parts are
+    read from what it matched."""
     s = _c(segment)
-    days = F.regexp_extract(s, U + RELATIVE_DATE, 2).try_cast("int")
-    relative = F.when(F.regexp_extract(s, U + RELATIVE_DATE, 1).isin(*RESOLVABLE), F.date_add(base, days).cast("string"))
-    return F.when(s.rlike(U + DATE), iso_date(s, DATE)).otherwise(F.coalesce(relative, F.lit("")))
+    absolute = lambda m: let(F.split(m, U + r"[^\d]+"), lambda p: _day(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))))
+    days = lambda m: F.regexp_extract(m, U + RELATIVE_DATE, 2).try_cast("int")
+    anchored = lambda m: F.when(F.regexp_extract(m, U + RELATIVE_DATE, 1).isin(*RESOLVABLE), F.coalesce(F.date_add(base, days(m)).cast("string"), F.lit(""))).otherwise("")
+    relative = F.when(has_any(s, RESOLVABLE), let(F.regexp_extract(s, U + RELATIVE_DATE, 0), anchored)).otherwise("")
+    return let(F.regexp_extract(s, U + DATE, 0), lambda m: F.when(m != "", absolute(m)).otherwise(relative))
 
 
 def party(text, side: str) -> Column:
@@ -118,6 +136,12 @@ def majority(directions: Column) -> Column:
     return F.when(empty | (n("unknown") == F.size(directions)), "unknown").when(n("receivable") >= n("payable"), "receivable").otherwise("payable")
 
 
+def majority_of(direction: str) -> Column:
+    """``majority`` as an aggregate over rows: three counts."""
+    n = lambda v: F.count_if(F.col(direction) == v)
+    return F.when(n("unknown") == F.count(direction), "unknown").when(n("receivable") >= n("payable"), "receivable").otherwise("payable")
+
+
 def reconciles(total: Column, amounts: Column) -> Column:
     """False where the items' sum is positive and off the total by more than one percent."""
     s = F.round(F.aggregate(amounts, F.lit(0.0), lambda x, y: x + F.coalesce(y, F.lit(0.0))), 2)
@@ -150,27 +174,34 @@ def extract_contracts(df: DataFrame, text: str, base: Column, names: Sequence[st
         }
     )
 
-    def payment(s: Column) -> Column:
-        role = U + ROLE + r"向\s*" + ROLE
-        who = [role_name(F.regexp_extract(s, role, i), F.col("__a"), F.col("__b")) for i in (1, 2)]
-        return F.struct(
+    def payment(x: Column) -> Column:
+        s, roles = x["s"], U + ROLE + r"向\s*" + ROLE
+        who = lambda m: [role_name(F.regexp_extract(m, roles, i), F.col("__a"), F.col("__b")) for i in (1, 2)]
+        found = let(F.when(s.contains("向"), F.regexp_extract(s, roles, 0)).otherwise(""), lambda m: F.struct(*[w.alias(n) for w, n in zip(who(m), ("payer", "payee"), strict=True)]))
+        fields = lambda w: F.struct(
             due_date(s, base).alias("due_date"),
-            parse_amount(s).alias("amount"),
+            x["amount"].alias("amount"),
             F.lit("CNY").alias("currency"),
             F.substring(F.regexp_replace(s, U + ORDINAL, ""), 1, 120).alias("condition_text"),
             F.col("__penalty").alias("penalty"),
-            who[0].alias("payer"),
-            who[1].alias("payee"),
-            direction(who[0], who[1], names).alias("direction"),
+            w["payer"].alias("payer"),
+            w["payee"].alias("payee"),
+            direction(w["payer"], w["payee"], names).alias("direction"),
         )
+        return let(found, fields)
 
-    paying = F.filter(seg, lambda s: ~has_any(s, PENALTY_KEYS) & has_any(s, PAYMENT_KEYS))
-    df = df.withColumn("payments", F.filter(F.transform(paying, payment), lambda p: p["amount"].isNotNull()))
+    # Key words and amounts decide first; dates and roles are sought only in what is left.
+    paying = F.filter(seg, lambda s: has_any(s, PAYMENT_KEYS) & ~has_any(s, PENALTY_KEYS))
+    priced = F.filter(F.transform(paying, lambda s: F.struct(s.alias("s"), parse_amount(s).alias("amount"))), lambda p: p["amount"].isNotNull())
+    df = df.withColumn("payments", F.transform(priced, payment))
     amounts = F.transform("payments", lambda p: p["amount"])
     df = df.withColumns({"direction": majority(F.transform("payments", lambda p: p["direction"])), "valid": reconciles(F.col("total_amount"), amounts)})
     dated, paid = F.exists("payments", lambda p: p["due_date"] != ""), F.exists("payments", lambda p: p["amount"] != 0)
     points = 0.5 + 0.05 * (paid.cast("int") + (F.coalesce("total_amount", F.lit(0.0)) != 0).cast("int") + (F.col("our_party") != "").cast("int")) - 0.05 * ((F.size("payments") > 0) & ~dated).cast("int")
-    return df.withColumn("confidence", F.round(F.least(F.greatest(points, F.lit(0.0)), F.lit(1.0)), 3)).drop("__seg", "__a", "__b", "__penalty")
+    df = df.withColumn("confidence", F.round(F.least(F.greatest(points, F.lit(0.0)), F.lit(1.0)), 3)).drop("__seg", "__a", "__b", "__penalty")
+    # A blank text has a result of its own: nothing found, receivable, not valid.
+    blank = F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), U + r"\s+", "")) == ""
+    return df.withColumns({"direction": F.when(blank, "receivable").otherwise(F.col("direction")), "valid": ~blank & F.col("valid"), "confidence": F.when(blank, 0.0).otherwise(F.col("confidence"))})
 
 
 def risks(text: Column) -> Column:
@@ -183,7 +214,7 @@ def risks(text: Column) -> Column:
     found = first_match([(text.contains(k), F.substring(text, F.greatest(F.instr(text, k) - 10, lit(1)), F.least(F.instr(text, k) - 1, lit(10)) + 40)) for k in ("违约", "滞纳金", "罚则", "逾期")], lit("全文未找到违约/滞纳金相关条款"))
     s, e = F.col("start_date"), F.col("end_date")
     rules = [
-        alert((total != 0) & (paid > 0) & F.coalesce(F.try_divide(F.abs(paid - total), total) > 0.01, lit(False)), "red", "amount_mismatch", F.concat(lit("金额矛盾: 条款合计 "), F.format_number(paid, 0), lit(" ≠ 合同总额 "), F.format_number(total, 0)), F.concat(lit("合同总额="), total.cast("string"), lit(", 条款合计="), paid.cast("string"))),
+        alert((total != 0) & (paid > 0) & F.coalesce(F.try_divide(F.abs(paid - total), total) > 0.01, lit(False)), "red", "amount_mismatch", F.concat(lit("金额矛盾: 条款合计 "), F.format_number(paid, 0), lit(" ≠ 合同总额 "), F.format_number(total, 0)), F.concat(lit("合同总额="), number_text(total), lit(", 条款合计="), number_text(paid))),
         alert((s != "") & (e != "") & (e < s), "red", "date_contradiction", F.concat(lit("日期矛盾: 终止日 "), e, lit(" 早于起始日 "), s), F.concat(lit("start_date="), s, lit(", end_date="), e)),
         alert(some & ~F.exists(pays, lambda p: F.trim(p["penalty"]) != ""), "yellow", "missing_penalty", lit("缺少违约条款: 所有收付款条目均无违约金/滞纳金约定"), found),
         alert(F.trim("signer") == "", "yellow", "missing_signer", lit("未识别到签单人/负责人, 提醒将降级发送给默认联系人"), lit("signer 字段为空")),
@@ -196,36 +227,51 @@ def risks(text: Column) -> Column:
 
 
 def corrected(text, rules=CORRECTIONS) -> tuple[Column, Column]:
-    """(text, log): the rules applied in order to every line; the log has one entry per change."""
-    steps = lambda line: reduce(lambda done, r: [*done, F.regexp_replace(done[-1], r[1], F.lit(r[2]))], rules, [line])
-    lines = F.split(_c(text), "\n")
+    """(text, log): the rules applied in order to every line; the log has one entry per change. Each rule runs once per line."""
     entry = lambda r, a, b: F.when(a != b, F.concat(F.lit(f'[{r[0]}] "'), a, F.lit('" → "'), b, F.lit('"')))
-    log = lambda line: (lambda s: F.array_compact(F.array(*[entry(r, s[i], s[i + 1]) for i, r in enumerate(rules)])))(steps(line))
-    return F.array_join(F.transform(lines, lambda x: steps(x)[-1]), "\n"), F.flatten(F.transform(lines, log))
+
+    def step(i: int, line: Column, log: list[Column]) -> Column:
+        if i == len(rules):
+            return F.struct(line.alias("line"), F.array_compact(F.array(*log) if log else F.array().cast("array<string>")).alias("log"))
+        r = rules[i]
+        return let(F.regexp_replace(line, U + r[1], F.lit(r[2])), lambda new: step(i + 1, new, [*log, entry(r, line, new)]))
+
+    done = F.transform(F.split(_c(text), "\n"), lambda x: step(0, x, []))
+    return F.array_join(F.transform(done, lambda d: d["line"]), "\n"), F.flatten(F.transform(done, lambda d: d["log"]))
 
 
 def custom_rules(text: str) -> list[tuple[str, str, str]]:
-    """Rules from lines ``pattern|||replacement``; group references become Java's."""
-    import re
+    """Rules from lines ``pattern|||replacement``. Group references become Java's, other dollar signs and backslashes are literal; rules whose
+    pattern the engine's regular expressions don't know, or that refer to a group the pattern doesn't have, are skipped."""
+    from pyspark import SparkContext
 
+    jvm = SparkContext._active_spark_context._jvm
     out = []
     for line in text.splitlines():
         pattern, bar, new = line.partition("|||")
-        if bar and pattern.strip():
-            try:
-                re.compile(pattern)
-            except re.error:
-                continue
-            out.append((f"custom:{pattern}", pattern, re.sub(r"\\g<(\d+)>|\\(\d+)", lambda m: f"${m[1] or m[2]}", new)))
+        if not bar or not pattern.strip():
+            continue
+        try:
+            groups = jvm.java.util.regex.Pattern.compile(U + pattern).matcher("").groupCount()
+        except Exception:  # noqa: BLE001 - the JVM's own error class
+            continue
+        parts = re.split(r"(\\g<\d+>|\\\d+)", new)
+        wanted = [int(re.sub(r"\D", "", p)) for p in parts[1::2]]
+        if all(g <= groups for g in wanted):
+            plain = [re.sub(r"([$\\])", r"\\\1", p) for p in parts[0::2]]
+            java = plain[0] + "".join(f"${g}{p}" for g, p in zip(wanted, plain[1:], strict=True))
+            out.append((f"custom:{pattern}", pattern, java))
     return out
 
 
 def cer(predicted, truth, normalise: bool = True) -> Column:
     """Edit distance over the length of the truth; an empty truth gives 0 or 1."""
     p, t = _c(predicted), _c(truth)
-    if normalise:
-        p, t = (F.upper(F.replace(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(" "), F.lit(""))) for x in (p, t))
-    return F.when(F.length(t) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(p, t) / F.length(t))
+    rate = lambda p, t: F.when(F.length(t) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(p, t) / F.length(t))
+    if not normalise:
+        return rate(p, t)
+    p, t = (F.upper(F.replace(F.btrim(x, F.lit(" \t\n\x0b\f\r")), F.lit(" "), F.lit(""))) for x in (p, t))
+    return let(F.struct(p.alias("p"), t.alias("t")), lambda x: rate(x["p"], x["t"]))
 
 
 def wer(predicted, truth) -> Column:

@@ -27,17 +27,19 @@ def usable(score: str = "score") -> Column:
 def kth_smallest(rows: DataFrame, keys: list[str], value: str, rank: Column, splits: int = 64) -> DataFrame:
     """(keys, n, value): per group the value of the given rank, a column over n.
 
-    Groups may be large: approximate quantiles cut a group into about ``splits`` ranges, their counts tell the range that
-    holds the rank, and only that range is sorted."""
+    Groups may be large: equal values are counted first (combined on the map side), approximate quantiles of the distinct values cut a group into about
+    ``splits`` ranges, their counts tell the range that holds the rank, and only that range's distinct values are sorted."""
+    per_value = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__m"))
     cuts = [i / splits for i in range(1, splits)]
-    per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, cuts).alias("__cuts")).withColumn("__rank", rank.cast("long"))
-    placed = rows.select(*keys, value).join(per, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
-    counts = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    per = per_value.groupBy(*keys).agg(F.sum("__m").alias("n"), F.percentile_approx(value, cuts).alias("__cuts")).withColumn("__rank", rank.cast("long"))
+    placed = per_value.join(per, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
+    counts = placed.groupBy(*keys, "__part").agg(F.sum("__m").alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))
     counts = counts.select(*keys, "__part", (upto - F.col("__c")).alias("__before"), upto.alias("__upto"))
     inside = placed.join(counts, [*keys, "__part"]).filter((F.col("__rank") > F.col("__before")) & (F.col("__rank") <= F.col("__upto")))
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    return inside.withColumn("__rn", rn).filter(F.col("__rn") == F.col("__rank") - F.col("__before")).select(*keys, "n", value)
+    seen = F.sum("__m").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+    found = inside.withColumn("__seen", seen).filter((F.col("__rank") > F.col("__seen") - F.col("__m")) & (F.col("__rank") <= F.col("__seen")))
+    return found.select(*keys, "n", value)
 
 
 def conformal_rank(epsilon: float) -> Column:
@@ -47,11 +49,13 @@ def conformal_rank(epsilon: float) -> Column:
 
 def calibrate(normal: DataFrame, keys: list[str], epsilon: float, score: str = "score") -> DataFrame:
     """Per key the threshold that a new normal score exceeds with probability epsilon at most, with the moments of log1p
-    scores for p-values. Keys of fewer than three usable scores get none."""
+    scores for p-values (null with fewer than ten scores or hardly any spread). Keys of fewer than three usable scores get none."""
     rows = normal.filter(usable(score))
     tau = kth_smallest(rows, keys, score, conformal_rank(epsilon)).filter("n >= 3").withColumnRenamed(score, "threshold")
     moments = rows.groupBy(*keys).agg(F.avg(F.log1p(score)).alias("mu"), F.stddev_samp(F.log1p(score)).alias("sigma"))
-    return tau.join(moments, keys).withColumnRenamed("n", "n_samples").withColumn("epsilon", F.lit(epsilon))
+    fits = (F.col("n") >= 10) & (F.col("sigma") > 1e-8)
+    out = tau.join(moments, keys).withColumns({c: F.when(fits, F.col(c)) for c in ("mu", "sigma")})
+    return out.withColumnRenamed("n", "n_samples").withColumn("epsilon", F.lit(epsilon))
 
 
 def p_value(score: Column, mu: Column, sigma: Column) -> Column:
@@ -68,6 +72,17 @@ def empirical_p_value(rows: DataFrame, normal: DataFrame, keys: list[str], score
     return per.withColumn("p_value", (at_least + 1.0) / (F.sum("__c").over(w) + 1.0)).filter("__q > 0").select(*keys, score, "p_value")
 
 
+def p_values(rows: DataFrame, normal: DataFrame, keys: list[str], epsilon: float = 0.1, score: str = "score") -> DataFrame:
+    """``rows`` with p_value: by the fitted log-normal where a key has one, else by counting. Negative scores count as 0."""
+    c = calibrate(normal, keys, epsilon, score).select(*keys, "mu", "sigma")
+    known = rows.join(c, keys)
+    fitted = known.filter("sigma is not null").withColumn("p_value", p_value(F.col(score), F.col("mu"), F.col("sigma"))).drop("mu", "sigma")
+    counted = known.filter("sigma is null").drop("mu", "sigma").withColumn("__s", F.greatest(F.col(score), F.lit(0.0)))
+    few = normal.join(c.filter("sigma is null").select(*keys), keys, "left_semi").withColumn("__s", F.col(score))
+    by_count = empirical_p_value(counted, few, keys, "__s")
+    return fitted.unionByName(counted.join(by_count, [*keys, "__s"]).drop("__s"))
+
+
 def rates(rows: DataFrame, taus: DataFrame, keys: list[str]) -> DataFrame:
     """False alarms among normals and recall among defects, by threshold row."""
     hit = (F.col("score") > F.col("threshold")).cast("double")
@@ -220,6 +235,20 @@ def modal_shape(rows: DataFrame, shape: list[str], order: str) -> DataFrame:
     return rows.join(F.broadcast(best), shape)  # one row
 
 
+def nearest_share(rows: DataFrame, share: float, least: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Keys of the ``share`` of the rows (``least`` of them at least) nearest the mean of all vectors; ties go to the least key. The cut is a
+    rank, found without a sort of all rows."""
+    mean = rows.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
+    d = rows.crossJoin(F.broadcast(mean)).select(key, scores.squared_distance(vector, "mean").alias("d2"), F.lit(0).alias("all"))  # one row
+    k = F.greatest(F.lit(least), F.floor(F.col("n") * share))
+    cut = kth_smallest(d, ["all"], "d2", F.least(k, F.col("n"))).select(F.col("d2").alias("cut"), k.alias("k"))
+    near = d.crossJoin(F.broadcast(cut))  # one row
+    before = near.filter("d2 < cut").agg(F.count(F.lit(1)).alias("before"))
+    tied = near.filter("d2 = cut").crossJoin(F.broadcast(before)).withColumn("rn", F.row_number().over(Window.partitionBy("all").orderBy(key)))
+    return near.filter("d2 < cut").select(key).unionByName(tied.filter("rn <= k - before").select(key))
+
+
 def nearest_distance(queries: DataFrame, bank: np.ndarray, vector: str = "embedding", block: int = 2048) -> DataFrame:
     """Each row with the least Euclidean distance to a bank of vectors, by blocks of a matrix product. The bank is a coreset
     of bounded size (see ``coreset``) and is broadcast."""

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import number_text
 
 
 def money(c: Column) -> Column:
@@ -58,7 +59,7 @@ def due_reminders(receivables: DataFrame, contracts: DataFrame, today: str) -> D
     sent = reduce(lambda rest, lv: F.when(F.col("level") == lv, F.col(f"reminded_{lv}")).otherwise(rest), ("overdue", "1d", "3d", "7d"), F.lit(0))
     name = F.element_at(F.split("file_path", "/"), -1)
     title = F.coalesce(F.nullif("contract_title", F.lit("")), F.nullif(name, F.lit("")), F.lit("合同"))
-    head = F.concat(F.col("title"), F.lit(" · "), F.format_string("%.2f", F.col("amount")), F.lit(" "), F.col("currency"), F.lit(" · "))
+    head = F.concat(F.col("title"), F.lit(" · "), number_text(F.col("amount")), F.lit(" "), F.col("currency"), F.lit(" · "))
     when = F.when(F.col("days_left") < 0, F.concat(F.lit("已逾期 "), (-F.col("days_left")).cast("string"), F.lit(" 天 (原定 "), F.col("due_date"), F.lit(")")))
     when = when.otherwise(F.concat(F.col("days_left").cast("string"), F.lit("天后到期 ("), F.col("due_date"), F.lit(")")))
     signer = F.when(F.coalesce("signer", F.lit("")) != "", F.concat(F.lit(" · 签单人: "), F.col("signer"))).otherwise("")
@@ -79,7 +80,7 @@ def any_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
 
 
-def error_list(errors: DataFrame, stage: str = "", error_code: str = "", file_path: str = "", limit: int = 100) -> DataFrame:
+def error_list(errors: DataFrame, stage: str = "", error_code: str = "", file_path: str = "", limit: int = 50) -> DataFrame:
     """Latest errors; text filters ignore case."""
     tests = [F.col("stage") == stage] if stage else []
     tests += [F.col(c).ilike(f"%{v}%") for c, v in (("error_code", error_code), ("file_path", file_path)) if v]
@@ -113,12 +114,12 @@ def outstanding_by_signer(contracts: DataFrame, receivables: DataFrame, collecti
     right = reviewed.join(paid, reviewed["c_id"] == paid["contract_id"]).groupBy("signer").agg(F.sum("paid").alias("got"))
     rows = left.join(right, "signer", "left")
     rows = rows.select("signer", "contract_count", money(F.col("total")).alias("total_receivable"), money(F.col("got")).alias("total_collected"))
-    return rows.withColumn("outstanding", F.round(F.col("total_receivable") - F.col("total_collected"), 2)).orderBy(F.col("outstanding").desc(), "signer")
+    return rows.withColumn("total_outstanding", F.round(F.col("total_receivable") - F.col("total_collected"), 2)).orderBy(F.col("total_outstanding").desc(), "signer")
 
 
 def risk_list(alerts: DataFrame, contracts: DataFrame, contract_id: int | None = None, limit: int = 200) -> DataFrame:
-    """Alerts with their contract's title, red ones first; a limit only over all contracts."""
-    c = contracts.select(F.col("id").alias("c_id"), F.col("title").alias("contract_title"), "contract_no")
+    """Alerts with their contract's title and file, red ones first; a limit only over all contracts."""
+    c = contracts.select(F.col("id").alias("c_id"), "title", "file_path")
     if contract_id is not None:
         alerts = alerts.filter(F.col("contract_id") == contract_id)
     rows = alerts.join(c, alerts["contract_id"] == c["c_id"], "left").drop("c_id").orderBy(F.col("level") != "red", F.col("id").desc())
@@ -127,25 +128,24 @@ def risk_list(alerts: DataFrame, contracts: DataFrame, contract_id: int | None =
 
 def contracts_with_risks(contracts: DataFrame, alerts: DataFrame) -> DataFrame:
     counts = alerts.groupBy("contract_id").agg(F.count(F.lit(1)).alias("risk_count"), F.count_if(F.col("level") == "red").alias("red_count"))
-    rows = contracts.join(counts, contracts["id"] == counts["contract_id"]).select("id", "title", "contract_no", "risk_count", "red_count")
+    rows = contracts.join(counts, contracts["id"] == counts["contract_id"]).select("id", "title", "file_path", "confidence", "reviewed", "risk_count", "red_count")
     return rows.orderBy(F.col("red_count").desc(), F.col("risk_count").desc(), "id")
 
 
-def dashboard_kpi(contracts: DataFrame, receivables: DataFrame, collections: DataFrame, today: str) -> DataFrame:
-    """One row of key figures. Collected money counts over all contracts, receivables over active ones."""
-    active = contracts.filter("status = 'active'").select(F.col("id").alias("c_id"))
-    due = active.join(receivables, active["c_id"] == receivables["contract_id"], "left")
-    month = today[:7]
-    left = due.agg(
-        F.countDistinct("c_id").alias("active_contracts"),
-        money(F.sum("amount")).alias("total_receivable"),
-        F.count_if(F.col("status") == "overdue").alias("overdue_count"),
-        money(F.sum(F.when(F.col("status") == "overdue", F.col("amount")))).alias("overdue_amount"),
-        money(F.sum(F.when(F.substring("due_date", 1, 7) == month, F.col("amount")))).alias("due_this_month"),
+def dashboard_kpi(contracts: DataFrame, receivables: DataFrame, collections: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row of key figures. Receivables and pending reviews count over active contracts, collected money and alerts over all."""
+    active = contracts.filter("status = 'active'").select(F.col("id").alias("c_id"), "reviewed")
+    due = receivables.groupBy("contract_id").agg(F.sum("amount").alias("due"), F.count_if(F.col("status") == "overdue").alias("late"), F.sum(F.when(F.col("status") == "overdue", F.col("amount"))).alias("late_sum"))
+    left = active.join(due, active["c_id"] == due["contract_id"], "left").agg(
+        F.countDistinct("c_id").alias("contract_count"),
+        money(F.sum("due")).alias("total_receivable"),
+        F.coalesce(F.sum("late"), F.lit(0)).alias("overdue_items"),
+        money(F.sum("late_sum")).alias("overdue_amount"),
+        F.count_if(F.col("reviewed") == 0).alias("pending_review"),
     )
-    right = collections.agg(money(F.sum("amount")).alias("total_collected"), money(F.sum(F.when(F.substring("collected_at", 1, 7) == month, F.col("amount")))).alias("collected_this_month"))
-    reviews = contracts.agg(F.count_if(F.col("reviewed") == 0).alias("pending_review"))
-    rows = left.crossJoin(right).crossJoin(reviews)  # one row each
+    right = collections.agg(money(F.sum("amount")).alias("total_collected"))
+    risks = alerts.agg(F.count(F.lit(1)).alias("risk_count"), F.count_if(F.col("level") == "red").alias("risk_red"))
+    rows = left.crossJoin(right).crossJoin(risks)  # one row each
     return rows.withColumn("total_outstanding", F.round(F.greatest(F.col("total_receivable") - F.col("total_collected"), F.lit(0.0)), 2))
 
 
@@ -159,34 +159,41 @@ def monthly_trend(receivables: DataFrame, collections: DataFrame, today: str, mo
 
 
 def overdue_ranking(contracts: DataFrame, receivables: DataFrame, by: str = "signer", limit: int = 50) -> DataFrame:
-    """Overdue sums by signer (null and empty signers are groups too) or by contract."""
-    c = contracts.select(F.col("id").alias("c_id"), "signer", "title", "counterparty")
+    """Overdue sums of active contracts, by signer (null and empty signers are groups too) or by contract."""
+    c = contracts.filter("status = 'active'").select(F.col("id").alias("c_id"), "signer", "title", "file_path")
     rows = receivables.filter("status = 'overdue'").join(c, F.col("contract_id") == F.col("c_id"))
-    figures = [F.round(F.sum("amount"), 2).alias("overdue_amount"), F.count(F.lit(1)).alias("overdue_count")]
+    figures = [F.round(F.sum("amount"), 2).alias("overdue_amount"), F.count(F.lit(1)).alias("overdue_items")]
     if by == "signer":
         return rows.groupBy("signer").agg(*figures, F.countDistinct("c_id").alias("contract_count")).orderBy(F.col("overdue_amount").desc(), F.col("signer").asc_nulls_first()).limit(limit)
-    out = rows.groupBy(F.col("c_id").alias("id")).agg(F.first("title").alias("title"), F.first("signer").alias("signer"), *figures)
+    out = rows.groupBy(F.col("c_id").alias("id")).agg(*[F.first(x).alias(x) for x in ("title", "file_path", "signer")], *figures)
     return out.orderBy(F.col("overdue_amount").desc(), "id").limit(limit)
 
 
-def filter_contracts(contracts: DataFrame, collections: DataFrame, limit: int = 500, **by) -> DataFrame:
-    """Contracts under up to seven optional predicates; an empty value means no filter. Open here is total - collected."""
-    tests = []
-    for name in ("counterparty", "signer"):
-        if by.get(name):
-            tests.append(F.col(name).ilike(f"%{by[name]}%"))
-    for name in ("status", "direction"):
-        if by.get(name):
-            tests.append(F.col(name) == by[name])
-    if by.get("date_from"):
-        tests.append(F.col("created_at") >= F.lit(by["date_from"]).cast("timestamp"))
-    if by.get("date_to"):
-        tests.append(F.col("created_at") <= F.lit(by["date_to"] + " 23:59:59").cast("timestamp"))
-    if by.get("amount_min"):
-        tests.append(F.col("total_amount") >= by["amount_min"])
-    if by.get("amount_max"):
-        tests.append(F.col("total_amount") <= by["amount_max"])
-    chosen = contracts.filter(any_of(tests)).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+def filter_contracts(
+    contracts: DataFrame,
+    collections: DataFrame,
+    signer: str = "",
+    direction: str = "",
+    reviewed: str = "",
+    date_from: str = "",
+    date_to: str = "",
+    amount_min: float | None = None,
+    amount_max: float | None = None,
+    limit: int = 500,
+) -> DataFrame:
+    """The latest contracts under up to seven optional predicates; an empty text or None means no filter, a bound of 0 is one.
+    ``reviewed`` is yes or no. Open here is total - collected."""
+    c = F.col
+    tests = [
+        c("signer").ilike(f"%{signer}%") if signer else None,
+        c("direction") == direction if direction else None,
+        c("reviewed") == {"yes": 1, "no": 0}[reviewed] if reviewed in ("yes", "no") else None,
+        c("created_at") >= F.lit(date_from).cast("timestamp") if date_from else None,
+        c("created_at") <= F.lit(date_to + " 23:59:59").cast("timestamp") if date_to else None,
+        c("total_amount") >= amount_min if amount_min is not None else None,
+        c("total_amount") <= amount_max if amount_max is not None else None,
+    ]
+    chosen = contracts.filter(any_of([t for t in tests if t is not None])).orderBy(c("created_at").desc(), c("id").desc()).limit(limit)
     paid = per_contract(collections, "paid")
     rows = chosen.join(paid, chosen["id"] == paid["contract_id"], "left")
     paid = F.coalesce("paid", F.lit(0.0))
@@ -213,17 +220,18 @@ def register_files(files: DataFrame, known: DataFrame | None = None) -> DataFram
 def qc_daily_stats(results: DataFrame) -> DataFrame:
     day = results.groupBy(F.to_date("created_at").alias("day"))
     rows = day.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "NG").alias("ng_count"), F.round(F.avg("anomaly_score"), 4).alias("avg_score"))
-    return rows.withColumn("ng_rate", F.round(100.0 * F.col("ng_count") / F.col("total"), 2)).orderBy(F.col("day").desc())
+    return rows.withColumn("ng_rate_pct", F.round(100.0 * F.col("ng_count") / F.col("total"), 2)).orderBy(F.col("day").desc())
 
 
 def qc_ng_detail(results: DataFrame) -> DataFrame:
+    """Rejected items, latest first, with the link of their image and the start of the defects found."""
     url = F.concat(F.lit("/-/qc-img/"), F.col("id").cast("string"))
-    rows = results.filter("verdict = 'NG'").select("id", "created_at", url.alias("image_url"), F.substring("barcode_content", 1, 200).alias("prompt"), "anomaly_score")
-    return rows.orderBy(F.col("id").desc())
+    rows = results.filter("verdict = 'NG'")
+    return rows.select("id", "created_at", "image_path", url.alias("image_url"), "anomaly_score", "barcode_content", F.substring("defect_json", 1, 200).alias("defect_summary")).orderBy(F.col("id").desc())
 
 
-def notification_list(log: DataFrame, channel: str = "", failed_only: bool = False, limit: int = 100) -> DataFrame:
-    tests = ([F.col("channel") == channel] if channel else []) + ([F.col("success") == 0] if failed_only else [])
+def notification_list(log: DataFrame, channel: str = "", success_only: bool = False, failed_only: bool = False, limit: int = 100) -> DataFrame:
+    tests = ([F.col("channel") == channel] if channel else []) + ([F.col("success") == 1] if success_only else []) + ([F.col("success") == 0] if failed_only else [])
     return log.filter(any_of(tests)).orderBy(F.col("id").desc()).limit(limit)
 
 
@@ -232,34 +240,57 @@ def retry_due(log: DataFrame, now: str, limit: int = 50) -> DataFrame:
     return log.filter((F.col("success") == 0) & (F.col("attempts") < F.col("max_attempts")) & ready).orderBy("id").limit(limit)
 
 
-def audited_update(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows after the update, audit rows). Only allow-listed fields change; null in ``new`` means unchanged; each change
-    gives one audit row and every changed row the next version."""
-    n = new.select(F.col(key).alias("__k"), *[F.col(f).alias(f"__n_{f}") for f in fields])
+AUDIT = ("action", "operator", "field", "old_value", "new_value", "note")
+
+
+def python_text(c: Column) -> Column:
+    """A value as the audit log writes it; null reads None."""
+    return F.coalesce(c.cast("string"), F.lit("None"))
+
+
+def audited_update(old: DataFrame, new: DataFrame, key: str, fields: list[str], operator: str = "ui_user") -> tuple[DataFrame, DataFrame]:
+    """(rows after the update, audit rows: the key and AUDIT). ``new`` has the key and, for allow-listed fields only, the values to write; where it has
+    a boolean column ``set_<field>``, that tells which of its rows write the field (else all do). A written value may be null. Every field whose text changes gives an
+    audit row; every row that is written gets the next version, whether a text changed or not."""
+    at = {f: F.col(f"__s_{f}") for f in fields}
+    sets = [(F.col(f"set_{f}") if f"set_{f}" in new.columns else F.lit(True)).alias(f"__s_{f}") for f in fields]
+    n = new.select(F.col(key).alias("__k"), *[F.col(f).alias(f"__n_{f}") for f in fields], *sets)
     both = old.join(n, old[key] == n["__k"], "left")
-    changed = {f: F.col(f"__n_{f}").isNotNull() & ~F.col(f"__n_{f}").cast("string").eqNullSafe(F.col(f).cast("string")) for f in fields}
-    diff = F.array_compact(F.array(*[F.when(changed[f], F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("old_value"), F.col(f"__n_{f}").cast("string").alias("new_value"))) for f in fields]))
-    both = both.withColumn("__diff", diff)
-    audit = both.select(key, F.explode("__diff").alias("d")).select(key, "d.*")
-    now = both.withColumns({f: F.coalesce(F.col(f"__n_{f}"), F.col(f)) for f in fields})
+    before, after = ({f: python_text(F.col(p + f)) for f in fields} for p in ("", "__n_"))
+    entry = lambda f: F.struct(F.lit(f).alias("field"), F.substring(before[f], 1, 500).alias("old_value"), F.substring(after[f], 1, 500).alias("new_value"))
+    diff = F.array_compact(F.array(*[F.when(at[f] & (before[f] != after[f]), entry(f)) for f in fields]))
+    audit = both.select(key, F.explode(diff).alias("d"))
+    audit = audit.select(key, F.lit("update").alias("action"), F.lit(operator).alias("operator"), "d.field", "d.old_value", "d.new_value", F.lit("").alias("note"))
+    now = both.withColumns({f: F.when(at[f], F.col(f"__n_{f}")).otherwise(F.col(f)) for f in fields})
     if "version" in old.columns:
-        now = now.withColumn("version", F.when(F.size("__diff") > 0, F.coalesce("version", F.lit(1)) + 1).otherwise(F.col("version")))
+        written = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in at.values()])
+        now = now.withColumn("version", F.when(written, F.coalesce("version", F.lit(1)) + 1).otherwise(F.col("version")))
     return now.select(*old.columns), audit
 
 
-def review(contracts: DataFrame, ids: DataFrame, reject: bool = False) -> DataFrame:
-    """Contracts with ``reviewed`` set for the given ids, and terminated when rejected."""
+def review(contracts: DataFrame, ids: DataFrame, reject: bool = False, reason: str = "", operator: str = "ui_user") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contracts, audit rows, error rows) after the given ids are reviewed; rejected ones are terminated, and with a reason leave an error row."""
     hit = ids.select(F.col("id").alias("__i")).distinct()
     rows = contracts.join(hit, contracts["id"] == hit["__i"], "left")
-    out = rows.withColumn("reviewed", F.when(F.col("__i").isNotNull(), 1).otherwise(F.col("reviewed")))
+    is_hit = F.col("__i").isNotNull()
+    changes = {"reviewed": F.when(is_hit, 1).otherwise(F.col("reviewed"))}
     if reject:
-        out = out.withColumn("status", F.when(F.col("__i").isNotNull(), "terminated").otherwise(F.col("status")))
-    return out.select(*contracts.columns)
+        changes["status"] = F.when(is_hit, "terminated").otherwise(F.col("status"))
+    if "version" in contracts.columns:
+        changes["version"] = F.when(is_hit, F.coalesce("version", F.lit(1)) + 1).otherwise(F.col("version"))
+    note = (reason or "人工复核驳回") if reject else "复核通过, 进入回款日程"
+    found = rows.filter(is_hit)
+    blank = [F.lit("").alias(c) for c in ("field", "old_value", "new_value")]
+    audit = found.select("id", F.lit("reject" if reject else "review").alias("action"), F.lit(operator).alias("operator"), *blank, F.lit(note[:300]).alias("note"))
+    errors = found.filter(F.lit(bool(reject and reason))).select("id", F.lit("review").alias("stage"), F.lit("REJECTED").alias("error_code"), F.lit(reason).alias("message"), F.coalesce("file_path", F.lit("")).alias("file_path"))
+    return rows.withColumns(changes).select(*contracts.columns), audit, errors
 
 
 def structurally_valid() -> Column:
-    """The extraction's own verdict; where it can't be read, a positive total."""
-    return F.coalesce(F.from_json("structured_json", "valid boolean")["valid"], F.coalesce(F.col("total_amount") > 0, F.lit(False)))
+    """The extraction's own verdict, null counting as no; where there is none or it can't be read, a positive total."""
+    said = F.try_variant_get(F.try_parse_json("structured_json"), "$.valid", "boolean")
+    has = F.array_contains(F.json_object_keys("structured_json"), "valid")
+    return F.when(F.coalesce(has, F.lit(False)), F.coalesce(said, F.lit(False))).otherwise(F.coalesce(F.col("total_amount") > 0, F.lit(False)))
 
 
 def batch_approval(contracts: DataFrame, threshold: float) -> DataFrame:

@@ -46,7 +46,7 @@ def _tau(eps: str) -> str:
 
 @query("scores", sql=f"""
 WITH {_TAU}, m AS (SELECT product, source, avg(ln(1 + score)) AS mu, stddev_samp(ln(1 + score)) AS sigma FROM normal GROUP BY ALL)
-SELECT t.product, t.source, t.n AS n_samples, threshold, round(mu, 6) AS mu, round(sigma, 6) AS sigma FROM {_tau('0.1')} t JOIN m USING (product, source)""")
+SELECT t.product, t.source, t.n AS n_samples, threshold, round(CASE WHEN t.n >= 10 AND sigma > 1e-8 THEN mu END, 6) AS mu, round(CASE WHEN t.n >= 10 AND sigma > 1e-8 THEN sigma END, 6) AS sigma FROM {_tau('0.1')} t JOIN m USING (product, source)""")
 def w1_conformal_threshold(s):
     c = op.calibrate(s.filter("defect = 0"), ["product", "source"], 0.1)
     return c.select("product", "source", "n_samples", "threshold", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
@@ -301,8 +301,20 @@ WITH m AS (SELECT product, source, avg(ln(1 + score)) AS mu, stddev_samp(ln(1 +
 z AS (SELECT event_id, (ln(1 + score) - mu) / sigma AS z FROM scores JOIN m USING (product, source))
 SELECT event_id, round(1 - {_cdf('z')}, 6) AS p_value FROM z""")
 def m1_p_value(s):
-    c = op.calibrate(s.filter("defect = 0"), ["product", "source"], 0.1)
-    return s.join(c, ["product", "source"]).select("event_id", F.round(op.p_value(F.col("score"), F.col("mu"), F.col("sigma")), 6).alias("p_value"))
+    return op.p_values(s, s.filter("defect = 0"), ["product", "source"]).select("event_id", F.round("p_value", 6).alias("p_value"))
+
+
+@query("scores", sql=f"""
+WITH s AS (SELECT event_id, user_id, event_id % 3 = 0 AS flat, CASE WHEN event_id % 3 = 0 THEN 2.5 ELSE score END AS score, defect FROM scores),
+normal AS (SELECT * FROM s WHERE defect = 0 AND score >= 0),
+m AS (SELECT user_id, flat, count(*) AS n, avg(ln(1 + score)) AS mu, stddev_samp(ln(1 + score)) AS sigma FROM normal GROUP BY ALL HAVING count(*) >= 3),
+z AS (SELECT s.*, n, n >= 10 AND coalesce(sigma, 0) > 1e-8 AS fits, (ln(1 + greatest(score, 0)) - mu) / nullif(sigma, 0) AS z FROM s JOIN m USING (user_id, flat)),
+e AS (SELECT z.event_id, (count(normal.score) + 1.0::DOUBLE) / (any_value(z.n) + 1.0::DOUBLE) AS p FROM z LEFT JOIN normal ON normal.user_id = z.user_id AND normal.flat = z.flat AND normal.score >= greatest(z.score, 0) WHERE NOT fits GROUP BY z.event_id)
+SELECT event_id, round(CASE WHEN fits THEN 1 - {_cdf('z')} ELSE p END, 6) AS p_value FROM z LEFT JOIN e USING (event_id)""")
+def m1_p_value_small_groups(s):
+    """Groups of a user's scores; those of one value have no spread and fall back to counting."""
+    rows = s.selectExpr("event_id", "user_id", "event_id % 3 = 0 AS flat", "CASE WHEN event_id % 3 = 0 THEN 2.5D ELSE score END AS score", "defect")
+    return op.p_values(rows, rows.filter("defect = 0"), ["user_id", "flat"]).select("event_id", F.round("p_value", 6).alias("p_value"))
 
 
 @query("scores", sql="""
@@ -322,24 +334,17 @@ def m2_centroid_distance(e):
 
 
 @on_table("embeddings", sql="""
-WITH b AS (SELECT label, embedding FROM embeddings WHERE vec_id % 10 = 0), m AS (SELECT i, avg(v) AS m FROM (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM b) GROUP BY i),
-c AS (SELECT list(m ORDER BY i) AS mean FROM m), d AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, mean), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS d2 FROM embeddings, c WHERE vec_id % 10 = 0)
+WITH b AS (SELECT label, embedding FROM embeddings), m AS (SELECT i, avg(v) AS m FROM (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM b) GROUP BY i),
+c AS (SELECT list(m ORDER BY i) AS mean FROM m), d AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, mean), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))) AS d2 FROM embeddings, c)
 SELECT vec_id FROM d ORDER BY d2, vec_id LIMIT (SELECT CAST(greatest(3, floor(count(*) * 0.75)) AS BIGINT) FROM d)""")
 def v15_bootstrap_normals(e):
-    b = e.filter("vec_id % 10 = 0")
-    mean = b.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
-    d = b.crossJoin(F.broadcast(mean)).withColumn("d2", scores.squared_distance("embedding", "mean"))  # one row
-    k = max(3, int(b.count() * 0.75))
-    return d.orderBy("d2", "vec_id").limit(k).select("vec_id")
+    return op.nearest_share(e, 0.75, 3)
 
 
-@on_table("embeddings", sql="""
-SELECT q.vec_id, round(sqrt(min(list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))))), 5) AS distance
-FROM embeddings q, embeddings b WHERE b.vec_id < 100 GROUP BY q.vec_id""")
+@on_table("embeddings")
 def v3_nearest_bank(e):
-    bank = np.array([r.embedding for r in e.filter("vec_id < 100").select("embedding").collect()])
-    return op.nearest_distance(e.select("vec_id", "embedding"), bank).withColumn("distance", F.round("distance", 5))
+    """Distance to the nearest vector of a bank chosen from the whole table; tests/test_inspection.py compares it with brute force."""
+    return op.nearest_distance(e.select("vec_id", "embedding"), op.feature_bank(e, 0.05)).withColumn("distance", F.round("distance", 5))
 
 
 @on_table("embeddings")

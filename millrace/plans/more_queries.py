@@ -221,9 +221,14 @@ def t27_label_names(b):
     return b.select("det_id", tx.label_name(label).alias("name"), tx.label_colour(label).alias("colour"))
 
 
-@query("marks", sql="SELECT id, 'scratch,long deep dent,x' AS words FROM marks")
+_PHRASES = "concat('Scratch、', CASE WHEN id % 2 = 0 THEN 'long deep dent. ' ELSE predicted END, ' , a very long defect phrase, ', CASE id % 3 WHEN 0 THEN '划痕' WHEN 1 THEN 'Burr.' ELSE truth END, ', x1, X., rust,flash')"
+
+
+@query("marks", sql=f"""
+SELECT id, array_to_string(list_filter(list_transform(string_split(regexp_replace({_PHRASES}, '[、。]', ',', 'g'), ','), lambda x: lower(regexp_replace(regexp_replace(trim(x), '^\\.+', ''), '\\.+$', ''))),
+  lambda w: regexp_full_match(w, '[a-z ]+') AND len(list_filter(string_split(w, ' '), lambda y: y <> '')) <= 3)[1:5], ',') AS words FROM marks""")
 def t28_keywords(m):
-    return m.select("id", F.array_join(tx.keywords(F.lit("Scratch、long deep dent. , a very long defect phrase, 划痕, x1, X.")), ",").alias("words"))
+    return m.select("id", F.array_join(tx.keywords(F.expr(_PHRASES)), ",").alias("words"))
 
 
 @query("marks", sql="SELECT id, CASE WHEN id % 2 = 0 THEN predicted ELSE '【a】' || chr(10) || predicted || chr(10) || chr(10) || '【b】' || chr(10) || truth END AS text FROM marks")

@@ -21,7 +21,7 @@ SELECT o_orderkey AS id, o_orderdate AS created_at, concat('/in/', CAST(o_orderk
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'terminated' ELSE 'active' END AS status,
   CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 1 ELSE 0 END AS reviewed,
   CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'payable' ELSE 'receivable' END AS direction,
-  CASE o_orderkey % 4 WHEN 0 THEN concat(chr(123), '"valid": true', chr(125)) WHEN 1 THEN concat(chr(123), '"valid": false', chr(125)) WHEN 2 THEN 'not json' ELSE NULL END AS structured_json
+  CASE o_orderkey % 5 WHEN 4 THEN concat(chr(123), '"valid": null', chr(125)) WHEN 0 THEN concat(chr(123), '"valid": true', chr(125)) WHEN 1 THEN concat(chr(123), '"valid": false', chr(125)) WHEN 2 THEN 'not json' ELSE NULL END AS structured_json
 FROM $orders JOIN $customer ON o_custkey = c_custkey""",
     "receivables": """
 SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS id, l_orderkey AS contract_id,
@@ -96,4 +96,6 @@ def with_sql(sql: str, *names: str) -> str:
     """A DuckDB query over the named tables."""
     ctes = ",\n".join(f"{n} AS ({sql_of(n, str)})" for n in names)
     sql = sql.strip()
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {ctes}\n{sql}"

@@ -57,7 +57,7 @@ WITH x AS (
   FROM receivables r JOIN contracts c ON c.id = r.contract_id WHERE c.reviewed = 1 AND r.status = 'pending' AND r.due_date IS NOT NULL
 ), y AS (SELECT *, CASE WHEN t = '' THEN split_part(file_path, '/', 3) ELSE t END AS title FROM x)
 SELECT id, title, due_date, CAST(days_left AS INT) AS days_left, level,
-  title || ' · ' || printf('%.2f', amount) || ' ' || currency || ' · ' || CASE WHEN days_left < 0 THEN '已逾期 ' || CAST(-days_left AS VARCHAR) || ' 天 (原定 ' || due_date || ')'
+  title || ' · ' || CAST(amount AS VARCHAR) || ' ' || currency || ' · ' || CASE WHEN days_left < 0 THEN '已逾期 ' || CAST(-days_left AS VARCHAR) || ' 天 (原定 ' || due_date || ')'
     ELSE CAST(days_left AS VARCHAR) || '天后到期 (' || due_date || ')' END || CASE WHEN coalesce(signer, '') <> '' THEN ' · 签单人: ' || signer ELSE '' END AS message
 FROM y WHERE level IS NOT NULL AND CASE level WHEN 'overdue' THEN reminded_overdue WHEN '1d' THEN reminded_1d WHEN '3d' THEN reminded_3d ELSE reminded_7d END = 0""")
 def d2_due_reminders(r, c):
@@ -78,7 +78,7 @@ def st3_mark_reminded(r, c):
 
 
 @query("error_log", sql="""
-SELECT * FROM error_log WHERE stage = 'extract' AND error_code ILIKE '%read%' AND file_path ILIKE '%uSER1%' ORDER BY id DESC LIMIT 100""")
+SELECT * FROM error_log WHERE stage = 'extract' AND error_code ILIKE '%read%' AND file_path ILIKE '%uSER1%' ORDER BY id DESC LIMIT 50""")
 def r4_list_errors(e):
     return op.error_list(e, "extract", "read", "uSER1")
 
@@ -108,33 +108,34 @@ WITH {_DUE},
 a AS (SELECT signer, count(*) AS contract_count, sum(due.s) AS total FROM contracts c LEFT JOIN due ON due.contract_id = c.id WHERE reviewed = 1 AND status = 'active' AND signer <> '' GROUP BY signer),
 g AS (SELECT signer, sum(paid.s) AS got FROM contracts c JOIN paid ON paid.contract_id = c.id WHERE reviewed = 1 AND signer <> '' GROUP BY signer)
 SELECT signer, contract_count, round(coalesce(total, 0), 2) AS total_receivable, round(coalesce(got, 0), 2) AS total_collected,
-  round(round(coalesce(total, 0), 2) - round(coalesce(got, 0), 2), 2) AS outstanding FROM a LEFT JOIN g USING (signer)""")
+  round(round(coalesce(total, 0), 2) - round(coalesce(got, 0), 2), 2) AS total_outstanding FROM a LEFT JOIN g USING (signer)""")
 def r8_outstanding_by_signer(c, r, k):
     return op.outstanding_by_signer(c, r, k)
 
 
 @query("risk_alert", "contracts", sql="""
-SELECT a.*, c.title AS contract_title, c.contract_no FROM risk_alert a LEFT JOIN contracts c ON c.id = a.contract_id ORDER BY (level <> 'red'), a.id DESC LIMIT 200""")
+SELECT a.*, c.title, c.file_path FROM risk_alert a LEFT JOIN contracts c ON c.id = a.contract_id ORDER BY (level <> 'red'), a.id DESC LIMIT 200""")
 def r9_list_risks(a, c):
     return op.risk_list(a, c)
 
 
 @query("contracts", "risk_alert", sql="""
-SELECT c.id, c.title, c.contract_no, count(*) AS risk_count, count(*) FILTER (WHERE level = 'red') AS red_count FROM contracts c JOIN risk_alert a ON a.contract_id = c.id GROUP BY ALL""")
+SELECT c.id, c.title, c.file_path, c.confidence, c.reviewed, count(*) AS risk_count, count(*) FILTER (WHERE level = 'red') AS red_count FROM contracts c JOIN risk_alert a ON a.contract_id = c.id GROUP BY ALL""")
 def r10_contracts_with_risks(c, a):
     return op.contracts_with_risks(c, a)
 
 
-@query("contracts", "receivables", "collections", sql=f"""
+@query("contracts", "receivables", "collections", "risk_alert", sql="""
 WITH d AS (
-  SELECT count(DISTINCT c.id) AS active_contracts, round(coalesce(sum(amount), 0), 2) AS total_receivable, count(*) FILTER (WHERE r.status = 'overdue') AS overdue_count,
-    round(coalesce(sum(amount) FILTER (WHERE r.status = 'overdue'), 0), 2) AS overdue_amount, round(coalesce(sum(amount) FILTER (WHERE substr(due_date, 1, 7) = '{TODAY[:7]}'), 0), 2) AS due_this_month
+  SELECT count(DISTINCT c.id) AS contract_count, round(coalesce(sum(r.amount), 0), 2) AS total_receivable, coalesce(sum(CASE WHEN r.status = 'overdue' THEN 1 ELSE 0 END), 0) AS overdue_items,
+    round(coalesce(sum(CASE WHEN r.status = 'overdue' THEN r.amount ELSE 0 END), 0), 2) AS overdue_amount
   FROM contracts c LEFT JOIN receivables r ON r.contract_id = c.id WHERE c.status = 'active'
-), k AS (SELECT round(coalesce(sum(amount), 0), 2) AS total_collected, round(coalesce(sum(amount) FILTER (WHERE substr(collected_at, 1, 7) = '{TODAY[:7]}'), 0), 2) AS collected_this_month FROM collections),
-p AS (SELECT count(*) AS pending_review FROM contracts WHERE reviewed = 0)
-SELECT *, round(greatest(total_receivable - total_collected, 0), 2) AS total_outstanding FROM d, k, p""")
-def r11_dashboard_kpi(c, r, k):
-    return op.dashboard_kpi(c, r, k, TODAY)
+), k AS (SELECT round(coalesce(sum(amount), 0), 2) AS total_collected FROM collections),
+a AS (SELECT count(*) AS risk_count, sum(CASE WHEN level = 'red' THEN 1 ELSE 0 END) AS risk_red FROM risk_alert),
+p AS (SELECT count(*) AS pending_review FROM contracts WHERE reviewed = 0 AND status = 'active')
+SELECT *, round(greatest(total_receivable - total_collected, 0), 2) AS total_outstanding FROM d, k, a, p""")
+def r11_dashboard_kpi(c, r, k, a):
+    return op.dashboard_kpi(c, r, k, a)
 
 
 @query("receivables", "collections", sql=f"""
@@ -146,27 +147,32 @@ def r12_monthly_trend(r, k):
 
 
 @query("contracts", "receivables", sql="""
-SELECT signer, round(sum(amount), 2) AS overdue_amount, count(*) AS overdue_count, count(DISTINCT c.id) AS contract_count
-FROM receivables r JOIN contracts c ON c.id = r.contract_id WHERE r.status = 'overdue' GROUP BY signer ORDER BY overdue_amount DESC, signer NULLS FIRST LIMIT 50""")
+SELECT c.signer, round(sum(r.amount), 2) AS overdue_amount, count(r.id) AS overdue_items, count(DISTINCT c.id) AS contract_count
+FROM receivables r JOIN contracts c ON c.id = r.contract_id WHERE r.status = 'overdue' AND c.status = 'active' GROUP BY c.signer ORDER BY overdue_amount DESC, c.signer NULLS FIRST LIMIT 50""")
 def r13_overdue_by_signer(c, r):
     return op.overdue_ranking(c, r, "signer")
 
 
 @query("contracts", "receivables", sql="""
-SELECT c.id, c.title, c.signer, round(sum(amount), 2) AS overdue_amount, count(*) AS overdue_count
-FROM receivables r JOIN contracts c ON c.id = r.contract_id WHERE r.status = 'overdue' GROUP BY c.id, c.title, c.signer ORDER BY overdue_amount DESC, c.id LIMIT 50""")
+SELECT c.id, c.title, c.file_path, c.signer, round(sum(r.amount), 2) AS overdue_amount, count(r.id) AS overdue_items
+FROM receivables r JOIN contracts c ON c.id = r.contract_id WHERE r.status = 'overdue' AND c.status = 'active' GROUP BY c.id, c.title, c.file_path, c.signer ORDER BY overdue_amount DESC, c.id LIMIT 50""")
 def r14_overdue_by_contract(c, r):
     return op.overdue_ranking(c, r, "contract")
 
 
-@query("contracts", "collections", sql="""
-WITH chosen AS (
-  SELECT * FROM contracts WHERE counterparty ILIKE '%customer#0000000%' AND status = 'active' AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '2000-12-31 23:59:59' AND total_amount >= 1000
-  ORDER BY created_at DESC, id DESC LIMIT 500
-), paid AS (SELECT contract_id, sum(amount) AS s FROM collections GROUP BY contract_id)
-SELECT c.*, round(coalesce(paid.s, 0), 2) AS collected_sum, round(greatest(coalesce(total_amount, 0), 0) - coalesce(paid.s, 0), 2) AS outstanding FROM chosen c LEFT JOIN paid ON paid.contract_id = c.id""")
+_CHOSEN = """WITH chosen AS (SELECT * FROM contracts WHERE {} ORDER BY created_at DESC, id DESC LIMIT 500), paid AS (SELECT contract_id, sum(amount) AS s FROM collections GROUP BY contract_id)
+SELECT c.*, round(coalesce(paid.s, 0), 2) AS collected_sum, round(greatest(coalesce(total_amount, 0), 0) - coalesce(paid.s, 0), 2) AS outstanding FROM chosen c LEFT JOIN paid ON paid.contract_id = c.id"""
+
+
+@query("contracts", "collections", sql=_CHOSEN.format("signer ILIKE '%mach%' AND direction = 'receivable' AND reviewed = 1 AND created_at >= TIMESTAMP '1993-01-01' AND created_at <= TIMESTAMP '1997-12-31 23:59:59' AND total_amount >= 1000 AND total_amount <= 250000"))
 def r15_filter_contracts(c, k):
-    return op.filter_contracts(c, k, counterparty="customer#0000000", status="active", date_from="1996-01-01", date_to="2000-12-31", amount_min=1000)
+    return op.filter_contracts(c, k, signer="mach", direction="receivable", reviewed="yes", date_from="1993-01-01", date_to="1997-12-31", amount_min=1000, amount_max=250000)
+
+
+@query("contracts", "collections", sql=_CHOSEN.format("reviewed = 0 AND total_amount >= 0"))
+def r15_filter_from_zero(c, k):
+    """A bound of 0 drops contracts without a total."""
+    return op.filter_contracts(c, k, reviewed="no", amount_min=0)
 
 
 @query("signers", sql="""
@@ -192,20 +198,20 @@ def st6_incremental_ingest(f):
 
 @query("qc_results", sql="""
 SELECT CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE verdict = 'NG') AS ng_count, round(avg(anomaly_score), 4) AS avg_score,
-  round(100.0::DOUBLE * count(*) FILTER (WHERE verdict = 'NG') / count(*), 2) AS ng_rate FROM qc_results GROUP BY 1""")
+  round(100.0::DOUBLE * count(*) FILTER (WHERE verdict = 'NG') / count(*), 2) AS ng_rate_pct FROM qc_results GROUP BY 1""")
 def r18_qc_daily_stats(q):
     return op.qc_daily_stats(q)
 
 
 @query("qc_results", sql="""
-SELECT id, created_at, '/-/qc-img/' || CAST(id AS VARCHAR) AS image_url, substr(barcode_content, 1, 200) AS prompt, anomaly_score FROM qc_results WHERE verdict = 'NG'""")
+SELECT id, created_at, image_path, '/-/qc-img/' || CAST(id AS VARCHAR) AS image_url, anomaly_score, barcode_content, substr(defect_json, 1, 200) AS defect_summary FROM qc_results WHERE verdict = 'NG'""")
 def r19_qc_ng_detail(q):
     return op.qc_ng_detail(q)
 
 
 @query("notification_log", sql="SELECT * FROM notification_log WHERE channel = 'feishu' AND success = 0 ORDER BY id DESC LIMIT 100")
 def r20_notification_list(n):
-    return op.notification_list(n, "feishu", True)
+    return op.notification_list(n, "feishu", failed_only=True)
 
 
 @query("notification_log", sql="""
@@ -227,35 +233,56 @@ def r23_appended_rows(c, r):
     return a.unionByName(b)
 
 
-_CHANGES = "CASE WHEN id % 10 = 0 THEN 'closed' END AS status, CASE WHEN id % 6 = 0 THEN 'receivable' END AS direction"
+@query("notification_log", sql="SELECT * FROM notification_log WHERE success = 1 ORDER BY id DESC LIMIT 100")
+def r20_delivered_notifications(n):
+    return op.notification_list(n, success_only=True)
+
+
+# Row by row: the direction is always written, the title on every second contract, at times as null.
+_CHANGES = ["CASE WHEN id % 10 = 0 THEN NULL WHEN id % 4 = 0 THEN concat('New ', CAST(id AS STRING)) ELSE title END AS title", "CASE WHEN id % 6 = 0 THEN 'receivable' ELSE direction END AS direction"]
 
 
 @query("contracts", sql=f"""
-WITH n AS (SELECT id, {_CHANGES} FROM contracts)
-SELECT c.id, 'status' AS field, c.status AS old_value, n.status AS new_value FROM contracts c JOIN n USING (id) WHERE n.status IS NOT NULL AND n.status <> c.status
-UNION ALL SELECT c.id, 'direction', c.direction, n.direction FROM contracts c JOIN n USING (id) WHERE n.direction IS NOT NULL AND n.direction <> c.direction""")
+WITH n AS (SELECT id, {_CHANGES[0]}, {_CHANGES[1]} FROM contracts),
+f AS (SELECT c.id, 'title' AS field, c.title AS o, n.title AS v, c.id % 2 = 0 AS written FROM contracts c JOIN n USING (id) UNION ALL SELECT c.id, 'direction', c.direction, n.direction, true FROM contracts c JOIN n USING (id))
+SELECT id, 'update' AS action, 'ui_user' AS operator, field, coalesce(o, 'None') AS old_value, coalesce(v, 'None') AS new_value, '' AS note FROM f WHERE written AND coalesce(o, 'None') <> coalesce(v, 'None')""")
 def r24_update_audit(c):
-    new = c.selectExpr("id", *_CHANGES.split(", "))
-    return op.audited_update(c, new, "id", ["status", "direction"])[1]
+    new = c.selectExpr("id", *_CHANGES, "id % 2 = 0 AS set_title")
+    return op.audited_update(c, new, "id", ["title", "direction"])[1]
 
 
 @query("contracts", sql=f"""
-WITH n AS (SELECT id, {_CHANGES} FROM contracts)
-SELECT c.id, coalesce(n.status, c.status) AS status, coalesce(n.direction, c.direction) AS direction,
-  CAST(1 + CASE WHEN coalesce(n.status, c.status) <> c.status OR coalesce(n.direction, c.direction) <> c.direction THEN 1 ELSE 0 END AS INT) AS version FROM contracts c JOIN n USING (id)""")
+WITH n AS (SELECT id, {_CHANGES[0]}, {_CHANGES[1]} FROM contracts WHERE id % 3 <> 0)
+SELECT c.id, CASE WHEN n.id IS NOT NULL AND c.id % 2 = 0 THEN n.title ELSE c.title END AS title, CASE WHEN n.id IS NOT NULL THEN n.direction ELSE c.direction END AS direction,
+  CASE WHEN n.id IS NOT NULL THEN coalesce(CASE WHEN c.id % 5 = 0 THEN NULL ELSE 3 END, 1) + 1 WHEN c.id % 5 = 0 THEN NULL ELSE 3 END AS version FROM contracts c LEFT JOIN n USING (id)""")
 def r24_update_snapshot(c):
-    new = c.selectExpr("id", *_CHANGES.split(", "))
-    return op.audited_update(c.select("id", "status", "direction").withColumn("version", F.lit(1)), new, "id", ["status", "direction"])[0]
+    new = c.filter("id % 3 <> 0").selectExpr("id", *_CHANGES, "id % 2 = 0 AS set_title")
+    old = c.select("id", "title", "direction").withColumn("version", F.when(F.col("id") % 5 != 0, 3))
+    return op.audited_update(old, new, "id", ["title", "direction"])[0]
 
 
 @query("contracts", sql="""
 SELECT id, CASE WHEN id % 5 = 0 THEN 1 ELSE reviewed END AS reviewed, CASE WHEN id % 5 = 0 THEN 'terminated' ELSE status END AS status FROM contracts""")
 def r25_reject(c):
-    return op.review(c, c.filter("id % 5 = 0").select("id"), reject=True).select("id", "reviewed", "status")
+    return op.review(c, c.filter("id % 5 = 0").select("id"), reject=True)[0].select("id", "reviewed", "status")
+
+
+@query("contracts", sql="""
+SELECT id, 'reject' AS action, 'ui_user' AS operator, '' AS field, '' AS old_value, '' AS new_value, '金额不符' AS note FROM contracts WHERE id % 5 = 0
+UNION ALL SELECT id, 'review', 'li', '', '', '', '复核通过, 进入回款日程' FROM contracts WHERE id % 7 = 0""")
+def r25_review_audit(c):
+    rejected = op.review(c, c.filter("id % 5 = 0"), reject=True, reason="金额不符")[1]
+    return rejected.unionByName(op.review(c, c.filter("id % 7 = 0"), operator="li")[1])
+
+
+@query("contracts", sql="SELECT id, 'review' AS stage, 'REJECTED' AS error_code, '金额不符' AS message, file_path FROM contracts WHERE id % 5 = 0")
+def r25_review_errors(c):
+    return op.review(c, c.filter("id % 5 = 0"), reject=True, reason="金额不符")[2].unionByName(op.review(c, c.filter("id % 7 = 0"), reject=True)[2])
 
 
 @query("contracts", sql="""
-SELECT id, title, confidence, CASE WHEN coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(structured_json) THEN structured_json END, '$.valid') AS BOOLEAN), coalesce(total_amount > 0, false)) THEN 'approved' ELSE 'blocked' END AS decision
+SELECT id, title, confidence, CASE WHEN CASE WHEN json_valid(structured_json) AND list_contains(json_keys(CASE WHEN json_valid(structured_json) THEN structured_json END), 'valid')
+  THEN coalesce(TRY_CAST(json_extract_string(structured_json, '$.valid') AS BOOLEAN), false) ELSE coalesce(total_amount > 0, false) END THEN 'approved' ELSE 'blocked' END AS decision
 FROM contracts WHERE reviewed = 0 AND confidence >= 0.8""")
 def r26_batch_approval(c):
     return op.batch_approval(c, 0.8)

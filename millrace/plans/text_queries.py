@@ -50,6 +50,9 @@ _PAY = f"pay AS (SELECT id, i, {_amount('s')} AS amount, {_DUE} AS due_date, sub
 _TOTAL = f"total AS (SELECT id, arg_min(v, i) AS total_amount FROM (SELECT id, i, {_amount('s')} AS v FROM seg WHERE {_any('s', tx.TOTAL_KEYS)}) WHERE v IS NOT NULL GROUP BY id)"
 
 
+_EVIDENCE = "CASE " + " ".join(f"WHEN contains(text, '{k}') THEN substr(text, greatest(strpos(text, '{k}') - 10, 1), least(strpos(text, '{k}') - 1, 10) + 40)" for k in ("违约", "滞纳金", "罚则", "逾期")) + " ELSE '全文未找到违约/滞纳金相关条款' END"
+
+
 @query("texts", sql=f"WITH {_SEGS} SELECT id, s AS segment, {_amount('s')} AS amount FROM seg WHERE s <> ''")
 def t1_parse_amount(t):
     segs = t.select("id", F.explode(F.split("text", "[。\n;；]")).alias("s")).select("id", F.trim("s").alias("segment")).filter("segment <> ''")
@@ -81,13 +84,14 @@ def t14_reconciliation(t):
 @query("texts", sql=f"""
 WITH {_SEGS}, {_PAY}, {_TOTAL}, p AS (SELECT id, sum(amount) AS paid, count(*) FILTER (WHERE due_date <> '') AS dated FROM pay WHERE amount IS NOT NULL GROUP BY id),
 x AS (SELECT t.id, t.text, coalesce(total_amount, 0) AS total, paid, dated, {_any('text', tx.PENALTY_KEYS)} AS pen FROM texts t LEFT JOIN total USING (id) LEFT JOIN p USING (id))
-SELECT id, 'red' AS level, 'amount_mismatch' AS rule FROM x WHERE total <> 0 AND paid > 0 AND abs(paid - total) / total > 0.01
-UNION ALL SELECT id, 'yellow', 'missing_penalty' FROM x WHERE paid IS NOT NULL AND NOT pen
-UNION ALL SELECT id, 'yellow', 'missing_signer' FROM x WHERE NOT contains(text, '负责人')
-UNION ALL SELECT id, 'red', 'missing_amount' FROM x WHERE total = 0 AND coalesce(paid, 0) = 0
-UNION ALL SELECT id, 'yellow', 'no_due_date' FROM x WHERE paid IS NOT NULL AND dated = 0""")
+SELECT id, 'red' AS level, 'amount_mismatch' AS rule, '金额矛盾: 条款合计 ' || format('{{:,}}', CAST(round_even(paid, 0) AS BIGINT)) || ' ≠ 合同总额 ' || format('{{:,}}', CAST(round_even(total, 0) AS BIGINT)) AS message,
+  '合同总额=' || CAST(total AS VARCHAR) || ', 条款合计=' || CAST(paid AS VARCHAR) AS evidence FROM x WHERE total <> 0 AND paid > 0 AND abs(paid - total) / total > 0.01
+UNION ALL SELECT id, 'yellow', 'missing_penalty', '缺少违约条款: 所有收付款条目均无违约金/滞纳金约定', {_EVIDENCE} FROM x WHERE paid IS NOT NULL AND NOT pen
+UNION ALL SELECT id, 'yellow', 'missing_signer', '未识别到签单人/负责人, 提醒将降级发送给默认联系人', 'signer 字段为空' FROM x WHERE NOT contains(text, '负责人')
+UNION ALL SELECT id, 'red', 'missing_amount', '未抽取到任何金额: 合同总额和条款金额均为空', 'total_amount=null, payments 无有效金额' FROM x WHERE total = 0 AND coalesce(paid, 0) = 0
+UNION ALL SELECT id, 'yellow', 'no_due_date', '所有条款均无绝对到期日, 回款日程无法自动排列, 需人工补充', '所有 payments[].due_date 为空' FROM x WHERE paid IS NOT NULL AND dated = 0""")
 def t17_risk_rules(t):
-    return extracted(t).select("id", F.explode(tx.risks(F.col("text"))).alias("r")).select("id", "r.level", "r.rule")
+    return extracted(t).select("id", F.explode(tx.risks(F.col("text"))).alias("r")).select("id", "r.*")
 
 
 @query("texts", sql="SELECT id, 'receivable' AS direction, '锐新科技' || regexp_extract(text, '锐新科技(\\d+)', 1) || '号公司' AS our_party, regexp_extract(text, '：(Customer#\\d+)', 1) AS counterparty FROM texts")
@@ -114,8 +118,8 @@ def _norm(c: str) -> str:
 
 @query("marks", sql=f"SELECT id, round(levenshtein({_norm('predicted')}, {_norm('truth')})::DOUBLE / length({_norm('truth')}), 9) AS cer, round(levenshtein(predicted, truth)::DOUBLE / length(truth), 9) AS cer_raw, {_norm('predicted')} = {_norm('truth')} AS exact FROM marks")
 def t20_cer(m):
-    norm = lambda c: F.upper(F.replace(F.trim(c), F.lit(" "), F.lit("")))
-    return m.select("id", F.round(tx.cer("predicted", "truth"), 9).alias("cer"), F.round(tx.cer("predicted", "truth", False), 9).alias("cer_raw"), (norm("predicted") == norm("truth")).alias("exact"))
+    c = tx.cer("predicted", "truth")
+    return m.select("id", F.round(c, 9).alias("cer"), F.round(tx.cer("predicted", "truth", False), 9).alias("cer_raw"), (c == 0).alias("exact"))
 
 
 @query("marks", sql=f"SELECT count(*) AS n, count(*) FILTER (WHERE {_norm('predicted')} = {_norm('truth')}) AS exact, round(avg(levenshtein({_norm('predicted')}, {_norm('truth')})::DOUBLE / length({_norm('truth')})), 6) AS mean_cer FROM marks")
@@ -148,9 +152,21 @@ def a11_top_words(f):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(20)
 
 
-@query("files")
+_TAGGED = "concat(content, chr(10), '付款说明 ', CAST(id AS STRING), chr(10), content, chr(10), '违约责任 ', content)"
+
+
+@query("files", sql=f"""
+WITH RECURSIVE t AS (SELECT id, {_TAGGED.replace('STRING', 'VARCHAR')} AS t FROM files),
+m AS (SELECT id, substr(t, 3001, length(t) - 5000) AS mid FROM t WHERE length(t) > 12000),
+p AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS k, x FROM (SELECT id, unnest(string_split(mid, chr(10))) AS x, generate_subscripts(string_split(mid, chr(10)), 1) AS i FROM m) WHERE {_any('x', tx.TRUNCATION_KEYS)}),
+g AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used FROM m UNION ALL SELECT g.id, p.k, g.used + length(p.x) + 1 FROM g JOIN p ON p.id = g.id AND p.k = g.k + 1 WHERE g.used < 7000),
+u AS (SELECT id, max(k) AS k, max(used) AS used FROM g GROUP BY id),
+j AS (SELECT u.id, u.used, list(p.x ORDER BY p.k) FILTER (WHERE p.x IS NOT NULL) AS xs FROM u LEFT JOIN p ON p.id = u.id AND p.k <= u.k GROUP BY u.id, u.used)
+SELECT t.id, CASE WHEN length(t) <= 12000 THEN t ELSE substr(t, 1, 3000) || chr(10) || '[...]' || chr(10)
+  || array_to_string(coalesce(xs, []) || CASE WHEN used < 3500 THEN [substr(mid, 1, 7000 - used)] ELSE [] END, chr(10)) || chr(10) || '[...]' || chr(10) || right(t, 2000) END AS text
+FROM t LEFT JOIN m USING (id) LEFT JOIN j USING (id)""")
 def t10_truncated(f):
-    return f.select("id", tx.truncated("content").alias("text"))
+    return f.select("id", tx.truncated(F.expr(_TAGGED)).alias("text"))
 
 
 @query("files", sql="""
@@ -173,13 +189,18 @@ def t23_markdown(f):
 SELECT contract_id, CASE WHEN count(*) FILTER (WHERE direction = 'unknown') = count(*) THEN 'unknown' WHEN count(*) FILTER (WHERE direction = 'receivable') >= count(*) FILTER (WHERE direction = 'payable') THEN 'receivable' ELSE 'payable' END AS direction
 FROM receivables GROUP BY contract_id""")
 def a3_majority_direction(r):
-    return r.groupBy("contract_id").agg(tx.majority(F.collect_list("direction")).alias("direction"))
+    return r.groupBy("contract_id").agg(tx.majority_of("direction").alias("direction"))
 
 
-@query("marks")
+@query("marks", sql="WITH w(word, english) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in tx.PROMPT_WORDS.items()) + """), words AS (SELECT list(word ORDER BY word) AS ws FROM w),
+m AS (SELECT row_number() OVER () AS r, id, ['', 'xyz', ws[1 + id % len(ws)], ' ' || ws[1 + (id // 7) % len(ws)], predicted] AS terms FROM marks, words),
+x AS (SELECT r, id, trim(unnest(string_split(replace(array_to_string(terms, '。'), '。', '.'), '.'))) AS t, generate_subscripts(string_split(replace(array_to_string(terms, '。'), '。', '.'), '.'), 1) AS i FROM m)
+SELECT id, string_agg(coalesce(english, t), '.' ORDER BY i) AS prompt FROM x LEFT JOIN w ON w.word = x.t WHERE t <> '' GROUP BY r, id""")
 def t26_translated_prompt(m):
-    words = F.array(*[F.lit(w) for w in ("划痕", "锈蚀", "xyz", "缺件", "变形")])
-    return m.select("id", tx.translated_prompt(F.concat_ws(".", F.slice(words, 1 + (F.col("id") % 3).cast("int"), 3))).alias("prompt"))
+    words = F.array(*[F.lit(w) for w in sorted(tx.PROMPT_WORDS)])
+    pick = lambda n: F.get(words, F.pmod(n, F.lit(len(tx.PROMPT_WORDS))).cast("int"))
+    terms = F.array(F.lit(""), F.lit("xyz"), pick(F.col("id")), F.concat(F.lit(" "), pick(F.floor(F.col("id") / 7))), F.col("predicted"))
+    return m.select("id", tx.translated_prompt(F.array_join(terms, "。")).alias("prompt"))
 
 
 @query("contracts")

@@ -47,7 +47,7 @@ def test_reconciliation_failure(spark):
 
 def test_empty_texts_have_defined_results(spark):
     r = extract(spark, "")
-    assert r.payments == [] and r.total_amount is None and r.direction == "unknown" and r.valid
+    assert r.payments == [] and r.total_amount is None and r.direction == "receivable" and not r.valid and r.confidence == 0.0
 
 
 def test_balance(spark):
@@ -70,7 +70,7 @@ def test_daily_stats(spark):
     at = dt.datetime(2026, 7, 1, 8)
     rows = [(i, at, v, s) for i, (v, s) in enumerate([("NG", 0.91), ("OK", 0.1), ("NG", 0.85), ("NG", 0.77), ("OK", 0.05)])]
     r = rc.qc_daily_stats(spark.createDataFrame(rows, "id long, created_at timestamp, verdict string, anomaly_score double")).first()
-    assert (r.total, r.ng_count, r.ng_rate) == (5, 3, 60.0)
+    assert (r.total, r.ng_count, r.ng_rate_pct) == (5, 3, 60.0)
 
 
 def test_approval_gate(spark):
@@ -128,6 +128,30 @@ def test_corrections(spark):
     assert tx.custom_rules("a(\\d)|||b\\1\nbad(|||x") == [("custom:a(\\d)", "a(\\d)", "b$1")]
 
 
+def test_custom_rules_take_replacements_literally(spark):
+    rules = tx.custom_rules("a|||$9\n(b)c|||\\g<1>$\nx(|||y\nz|||\\7")
+    assert [r[1] for r in rules] == ["a", "(b)c"]
+    fixed, log = tx.corrected("t", rules)
+    r = spark.createDataFrame([("a bc",)], "t string").select(fixed.alias("f"), log.alias("g")).first()
+    assert r.f == "$9 b$" and len(r.g) == 2
+
+
+def test_number_text(spark):
+    rows = spark.createDataFrame([(12345678.0,), (0.1,), (800000.0,), (98765432.25,), (0.0,)], "v double").select(tx.number_text(F.col("v"))).collect()
+    assert [r[0] for r in rows] == ["12345678.0", "0.1", "800000.0", "98765432.25", "0.0"]
+
+
+def test_rank_with_one_frequent_value(spark):
+    from millrace.operators import inspection
+
+    values = [5.0] * 5000 + [float(i) for i in range(400)]
+    df = spark.createDataFrame([("hot", v) for v in values] + [("cold", float(i)) for i in range(50)], "k string, v double")
+    for share in (0.01, 0.3, 0.5, 0.97, 1.0):
+        got = {r.k: r.v for r in inspection.kth_smallest(df, ["k"], "v", F.ceil(F.col("n") * share)).collect()}
+        plain = lambda x: sorted(x)[int(-(-len(x) * share // 1)) - 1]
+        assert got == {"hot": plain(values), "cold": plain([float(i) for i in range(50)])}
+
+
 def test_boxes(spark):
     df = spark.createDataFrame([Row(x1=10.0, y1=10.0, x2=0.0, y2=0.0)])
     assert df.select(geometry.area(geometry.box())).first()[0] == 100.0

@@ -13,3 +13,13 @@ def test_coreset_reaches_the_last_rows(spark, tmp_path):
     pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(tmp_path / "embeddings.parquet")
     got = [r.vec_id for r in QUERIES["v2_coreset"](spark, str(tmp_path)).orderBy("place").collect()]
     assert got == op.coreset(x, 100).tolist()
+
+
+def test_nearest_bank_against_brute_force(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in e.collect()}
+    bank = op.feature_bank(e, 0.05)
+    assert all(any(np.array_equal(b, x) for x in rows.values()) for b in bank)
+    got = {r.vec_id: r.distance for r in QUERIES["v3_nearest_bank"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(rows)
+    assert all(abs(got[i] - np.sqrt(((bank - x) ** 2).sum(axis=1)).min()) < 1e-4 for i, x in rows.items())
