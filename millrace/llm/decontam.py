@@ -9,11 +9,12 @@ The automaton reads words, not characters: every word of the benchmark gets a co
 its own that no pattern holds. A match's end therefore gives the index of its last word, and word offsets map
 it back to the original text.
 
-The operator needs no shuffle: the table of documents is only mapped. The benchmark is collected in blocks
-of at most ``block_bytes`` bytes of text (the proven bound on what is broadcast); where there are more blocks, each gets
-its own automaton and its own scan, and the matches of a document are merged by its id.
+The operator needs no shuffle: the table of documents is only mapped. The benchmark is read in blocks
+of at most ``block_bytes`` bytes of text (the proven bound on what the driver holds and broadcasts); a longer item is cut into parts that
+overlap by a window less one word. Where there are more blocks, each gets its own automaton and its own scan, one after the other over
+a saved copy of the documents with row numbers, and the matches of a row are merged by its number.
 
-Defined cases: null or wordless texts have no words, no hit and are clean; items without words match
+Defined cases: null or wordless texts have no words, no hit and are clean, whatever their ids; items without words match
 nothing; items of one id count once, and a null item id counts as the id ''; empty tables give empty or clean results; other columns
 are ignored.
 """
@@ -22,13 +23,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, saved, sorted_side
+from .common import documents, free_name, id_text, saved, sorted_side
 
 WINDOW = 13
 SHARE = 20  # contaminated from one word in so many
@@ -110,10 +114,9 @@ def char_spans(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": chars(at[s][0]), "end": chars(at[e - 1][1])} for s, e in spans]
 
 
-_OUT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, hits array<struct<s:int,e:int>>"
+_OUT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, hits array<struct<s:int,e:int>>"
 _ARROW = pa.schema(
     [
-        ("doc_id", pa.int64()),
         ("n_words", pa.int64()),
         ("n_hit", pa.int64()),
         ("items", pa.list_(pa.string())),
@@ -123,40 +126,80 @@ _ARROW = pa.schema(
 )
 
 
-def _scan(items: list[tuple[str, str]], window: int):
+_AUTOMATA: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, items: Broadcast, window: int) -> Automaton:
+    """One automaton a worker process and broadcast block; the last one is kept."""
+    if name not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = Automaton(items.value, window)
+    return _AUTOMATA[name]
+
+
+def _row(text: bytes, n_words: int, items: list[str], hits: list[tuple[int, int]]) -> dict:
+    return {
+        "n_words": n_words,
+        "n_hit": sum(e - s for s, e in hits),
+        "items": items,
+        "spans": char_spans(text, hits),
+        "hits": [{"s": s, "e": e} for s, e in hits],
+    }
+
+
+def _with_key(batch: pa.RecordBatch, rows: list[dict]) -> pa.RecordBatch:
+    found = pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+    return pa.RecordBatch.from_arrays([batch.column(0), *found.columns], names=[batch.schema.names[0], *_ARROW.names])
+
+
+def _scan(items: Broadcast, window: int):
+    """Over batches of (key, text): the key, of any type, and what is found in the text."""
+
+    name = uuid.uuid4().hex
+
     def run(batches):
-        automaton = Automaton(items, window)
+        automaton = _automaton(name, items, window)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(1).to_pylist():
                 w = words(text)
                 hits, of = automaton.scan(w)
-                rows.append(
-                    {
-                        "doc_id": doc,
-                        "n_words": len(w),
-                        "n_hit": sum(e - s for s, e in hits),
-                        "items": sorted(of),
-                        "spans": char_spans(text, hits),
-                        "hits": [{"s": s, "e": e} for s, e in hits],
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                rows.append(_row(text, len(w), sorted(of), hits))
+            yield _with_key(batch, rows)
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str):
-    """Item lists of at most ``block_bytes`` bytes of text each (an item longer than that is a block of its own)."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def _parts(text: str, block_bytes: int, window: int) -> list[str]:
+    """A text, or the overlapping parts of one that is longer than a block, which have the same windows."""
+    raw = text.encode()
+    if len(raw) <= block_bytes:
+        return [text]
+    w = words(raw)
+    out, at = [], 0
+    while True:
+        end, size = at, 0
+        while end < len(w) and (end - at < window or size + len(w[end]) < block_bytes):
+            size += len(w[end]) + 1
+            end += 1
+        out.append(b" ".join(w[at:end]).decode())
+        if end >= len(w):
+            return out
+        at = end - window + 1
+
+
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str, window: int = WINDOW):
+    """Lists of (item, text) of about ``block_bytes`` bytes of text at most; one list at a time is held."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     block, size = [], 0
     for row in items.toLocalIterator():
-        n = len(row.t.encode())
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += n
+        for part in _parts(row.t, block_bytes, window):
+            n = len(part.encode())
+            if block and size + n > block_bytes:
+                yield block
+                block, size = [], 0
+            block.append((row.i, part))
+            size += n
     yield block
 
 
@@ -173,46 +216,53 @@ def decontaminate(
     """One row per document: doc_id, n_words, n_hit, items (sorted ids as strings), spans (code point offsets in
     the original text), contaminated."""
     base = id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    scans = [base.mapInArrow(_scan(block, window), _OUT) for block in benchmark_blocks(benchmark, block_bytes, item_col, item_text_col)]
-    out = scans[0] if len(scans) == 1 else _merge_scans(base, scans)
-    return out.select("doc_id", "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return _scanned(base, benchmark_blocks(benchmark, block_bytes, item_col, item_text_col, window), window)
 
 
-def _merge_scans(base: DataFrame, scans: list[DataFrame]) -> DataFrame:
-    """Several blocks: only documents that some block hits are carried on, and joined to the counts of all."""
+def _scanned(base: DataFrame, blocks, window: int) -> DataFrame:
+    """base: a key of any type and the text as bytes."""
+    key, kind = base.columns[0], base.dtypes[0][1]
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        out = base.mapInArrow(_scan(base.sparkSession.sparkContext.broadcast(first), window), f"{key} {kind}, {_OUT}")
+    else:
+        out = _merge_scans(base, chain((first, second), blocks), window)
+    return out.select(key, "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def _merge_scans(base: DataFrame, blocks, window: int) -> DataFrame:
+    """Several blocks: the matches of a row in all of them, united. Rows are known by numbers given in a saved copy."""
+    key, kind = base.columns[0], base.dtypes[0][1]
+    numbered = saved(base.withColumn("row", F.monotonically_increasing_id()), "numbered")
     hit = None
-    for s in scans:
-        part = saved(s.filter("n_hit > 0").select("doc_id", "items", "hits"), "hits")
+    for block in blocks:
+        items = base.sparkSession.sparkContext.broadcast(block)
+        part = numbered.select("row", "text").mapInArrow(_scan(items, window), f"row long, {_OUT}").filter("n_hit > 0").select("row", "items", "hits")
+        part = saved(part, "hits")
+        items.destroy()
         hit = part if hit is None else hit.unionByName(part)
-    hit = hit.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
-    count = base.join(hit, "doc_id", "left")
+    hit = hit.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
+    count = numbered.join(sorted_side(hit), "row", "left").select(key, "text", "items", "hits")
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, items, hits in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "items", "hits")), strict=True):
-                spans = merged([(h["s"], h["e"]) for h in hits or []])
-                rows.append(
-                    {
-                        "doc_id": doc,
-                        "n_words": len(words(text)),
-                        "n_hit": sum(e - s for s, e in spans),
-                        "items": items or [],
-                        "spans": char_spans(text, spans),
-                        "hits": [{"s": s, "e": e} for s, e in spans],
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-    return count.mapInArrow(run, _OUT)
+            for text, items, hits in zip(*(batch.column(k).to_pylist() for k in ("text", "items", "hits")), strict=True):
+                rows.append(_row(text, len(words(text)), items or [], merged([(h["s"], h["e"]) for h in hits or []])))
+            yield _with_key(batch, rows)
+
+    return count.mapInArrow(run, f"{key} {kind}, {_OUT}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8_000_000) -> DataFrame:
-    """The clean documents with all their columns."""
-    # Rows are named by a hash of id and text: null ids and ids of several texts decide nothing for each other.
-    named = docs.withColumn("__mr_row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    bad = decontaminate(named, benchmark, id_col="__mr_row", window=window, block_bytes=block_bytes).filter("contaminated").select(F.col("doc_id").alias("__mr_bad")).distinct()
-    return named.join(sorted_side(bad), F.col("__mr_row") == F.col("__mr_bad"), "left_anti").drop("__mr_row")
+    """The clean documents with all their columns. Rows are judged each by its own text (known by its MD5): equal texts share their
+    fate, null and repeated ids decide nothing for other texts."""
+    text_key = free_name(docs, "clean_text")
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    found = _scanned(docs.select(F.unhex(F.md5(raw)).alias("t"), raw.alias("text")), benchmark_blocks(benchmark, block_bytes, "item_id", "text", window), window)
+    bad = found.filter("contaminated").select(F.col("t").alias(f"{text_key}_bad")).distinct()
+    named = docs.withColumn(text_key, F.unhex(F.md5(raw)))
+    return named.join(sorted_side(bad), F.col(text_key) == F.col(f"{text_key}_bad"), "left_anti").drop(text_key)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

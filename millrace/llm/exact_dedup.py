@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, saved, sorted_side
+from .common import documents, free_name, id_text, saved, sorted_side
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -66,11 +66,12 @@ def _result(df: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns. Rows are rejected by id and text; of rows that repeat both, any one stays."""
-    flags = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__mr_id"), F.col("text_sha256").alias("__mr_gone")).distinct()
+    this, text_key = free_name(docs, "exact_id"), free_name(docs, "exact_text")
+    flags = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(this), F.col("text_sha256").alias(f"{text_key}_gone")).distinct()
     norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, "")
-    named = docs.withColumn("__mr_text", F.sha2(norm.cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("__mr_id")) & (F.col("__mr_text") == F.col("__mr_gone"))
-    return named.join(sorted_side(flags), same, "left_anti").dropDuplicates(["doc_id", "__mr_text"]).drop("__mr_text")
+    named = docs.withColumn(text_key, F.sha2(norm.cast("binary"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col(this)) & (F.col(text_key) == F.col(f"{text_key}_gone"))
+    return named.join(sorted_side(flags), same, "left_anti").dropDuplicates(["doc_id", text_key]).drop(text_key)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

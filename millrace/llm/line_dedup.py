@@ -6,7 +6,7 @@ equal blocks, and the suffixes that share a name form an interval of the suffix
 tell classes apart; the order *among* classes decides nothing here and is never computed, so no group
 is ever sorted in one task.) Only suffixes whose block occurs twice go on to round k + 1; the rounds end when none does.
 
-A run of at least ``min_lines`` lines that also starts earlier (smaller doc_id, or the same document and earlier line) is a
+A run of at least ``min_lines`` lines, or a single line of at least ``long_line`` bytes, that also starts earlier (smaller doc_id, or the same document and earlier line) is a
 later copy and its lines are deleted; overlapping runs count. Blank lines take no part and stay.
 
 Counting combines on the map side and rows meet counts through equi-joins, which adaptive execution may split: a line that a third of all
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import documents, drop_saved, id_text, saved, sorted_side
 
 MIN_LINES = 2
+LONG_LINE = 250  # bytes
 
 
 def _digest(*parts: Column) -> Column:
@@ -49,10 +50,10 @@ def _follow(left: DataFrame, right: DataFrame, gap: Column) -> DataFrame:
 
 def doubled(lines: DataFrame, limit: int | None = None) -> list[DataFrame]:
     """levels[k]: (doc_id, q, name) of the blocks of 2^k lines that occur twice or more, while 2^k <= limit."""
-    levels = [saved(_twice(lines).select("doc_id", "q", "name"), "lines0")]
+    levels = [saved(_twice(lines).select("doc_id", "q", "name", "long"), "lines0")]
     while not levels[-1].isEmpty() and (limit is None or 2 ** len(levels) <= limit):
         now = levels[-1]
-        pairs = _follow(now, now, F.lit(2 ** (len(levels) - 1))).select("doc_id", "q", _digest(F.col("name"), F.col("r_name")).alias("name"))
+        pairs = _follow(now.drop("long"), now, F.lit(2 ** (len(levels) - 1))).select("doc_id", "q", _digest(F.col("name"), F.col("r_name")).alias("name"))
         levels.append(saved(_twice(saved(pairs, "pairs")).select("doc_id", "q", "name"), f"lines{len(levels)}"))
     return levels
 
@@ -67,6 +68,12 @@ def longest_blocks(levels: list[DataFrame]) -> DataFrame:
     return out.groupBy("doc_id").agg(F.max("longest_block").alias("longest_block"))
 
 
+def _later(blocks: DataFrame) -> DataFrame:
+    """The blocks of which an equal one starts earlier."""
+    first = blocks.groupBy("name").agg(F.min(F.struct("doc_id", "q")).alias("first"))
+    return blocks.join(first, "name").filter(F.struct("doc_id", "q") > F.col("first")).select("doc_id", "q")
+
+
 def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame:
     """(doc_id, q): starts of the blocks of ``min_lines`` lines that also start earlier."""
     k = min_lines.bit_length() - 1
@@ -76,19 +83,21 @@ def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame:
     if min_lines > 2**k:  # two overlapping blocks
         blocks = _follow(blocks, blocks, F.lit(min_lines - 2**k)).select("doc_id", "q", _digest(F.col("name"), F.col("r_name")).alias("name"))
         blocks = saved(blocks, "blocks")
-    first = blocks.groupBy("name").agg(F.min(F.struct("doc_id", "q")).alias("first"))
-    return blocks.join(first, "name").filter(F.struct("doc_id", "q") > F.col("first")).select("doc_id", "q")
+    return _later(blocks)
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_runs, longest_block (see ``longest_blocks``; 0 if
     no line occurs twice), kept_text."""
     base = id_text(docs, id_col, text_col).select("doc_id", F.split("text", "\n").alias("lines"))
-    named = base.filter("doc_id is not null").select("doc_id", F.posexplode(F.transform(_filled(F.col("lines")), lambda i: F.unhex(F.md5(F.get(F.col("lines"), i).cast("binary"))))).alias("q", "name"))
+    line = lambda i: F.get(F.col("lines"), i)
+    one = lambda i: F.struct(F.unhex(F.md5(line(i).cast("binary"))).alias("name"), (F.octet_length(line(i)) >= long_line).alias("long"))
+    named = base.filter("doc_id is not null").select("doc_id", F.posexplode(F.transform(_filled(F.col("lines")), one)).alias("q", "x")).select("doc_id", "q", "x.name", "x.long")
     named = saved(named, "lines").dropDuplicates(["doc_id", "q"])
     levels = doubled(named)
     longest = longest_blocks(levels)
     covered = later_copies(levels, min_lines).select("doc_id", F.explode(F.sequence(F.col("q"), F.col("q") + (min_lines - 1))).alias("q"))
+    covered = covered.unionByName(_later(levels[0].filter("long")))
     gone = covered.groupBy("doc_id").agg(F.collect_set("q").alias("gone"))
     of_doc = saved(longest.join(gone, "doc_id", "left"), "gone")
     drop_saved(*levels[1:])
@@ -123,7 +132,8 @@ WITH RECURSIVE l AS (
 ), r AS (
   SELECT doc_id, q, row_number() OVER (PARTITION BY line, nx ORDER BY doc_id, q) AS rn FROM b WHERE nx IS NOT NULL
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest([q, q + 1]) AS q FROM r WHERE rn > 1
+  SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest([q, q + 1]) AS q FROM r WHERE rn > 1
+    UNION ALL SELECT doc_id, q FROM (SELECT doc_id, q, row_number() OVER (PARTITION BY line ORDER BY doc_id, q) AS rn FROM n WHERE strlen(line) >= 250) WHERE rn > 1)
 ), suf AS (
   SELECT doc_id, q, md5(line) AS h FROM n
 ), grow AS (

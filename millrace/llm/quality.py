@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, saved
+from .common import documents, free_name, id_text, saved
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -113,16 +113,17 @@ def _weigh(table):
         ratios = table.value
         for batch in batches:
             w = [log_weight(ratios, t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(w, pa.float64())], names=[*batch.schema.names[:-1], "__mr_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(w, pa.float64())], names=[*batch.schema.names[:-1], "log_weight"])
 
     return run
 
 
-def weighed(docs: DataFrame, table, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column __mr_weight; texts don't move."""
-    raw = docs.withColumn("__mr_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return raw.mapInArrow(_weigh(table), f"{schema}, __mr_weight double")
+def weighed(docs: DataFrame, table, weight: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the log weight as column ``weight``; texts don't move."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    raw = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, plain, strict=True)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
+    schema = ", ".join(f"{p} {f.dataType.simpleString()}" for p, f in zip(plain, docs.schema.fields, strict=True))
+    return raw.mapInArrow(_weigh(table), f"{schema}, log_weight double").toDF(*docs.columns, weight)
 
 
 def labelled(labels: DataFrame, limit: int = LABELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +208,8 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The selected documents, with all their columns; texts are weighed where they are read and never shuffled."""
     s = Selection(docs, labels)
-    return weighed(docs, s.table).filter(gumbel_key("doc_id", "__mr_weight") >= s.least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    weight = free_name(docs, "weight")
+    return weighed(docs, s.table, weight).filter(gumbel_key("doc_id", weight) >= s.least).drop(weight)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def _cut(min_run: int):
                 raw = text.as_py()
                 found = spans.as_py() or []
                 s, e = runs(np.array([x["s"] for x in found], dtype=np.int64), np.array([x["e"] for x in found], dtype=np.int64)) if found else (np.empty(0, np.int64),) * 2
-                keep = e - s >= min_run
+                keep = (e - s >= min_run) | (e - s == len(raw))
                 s, e = s[keep].tolist(), e[keep].tolist()
                 sha, at = hashlib.sha256(), 0
                 for x, y in zip(s, e, strict=True):
@@ -202,6 +202,6 @@ def _cut(min_run: int):
 
 def cut_spans(base: DataFrame, spans: DataFrame, min_run: int = 1) -> DataFrame:
     """Every document (doc_id, text as bytes) without the bytes of its spans (doc_id, s, e): counts, the checksum of what is
-    left and the maximal removed runs. Runs shorter than ``min_run`` bytes stay."""
+    left and the maximal removed runs. Runs shorter than ``min_run`` bytes stay, unless they are the whole text."""
     of_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return base.join(sorted_side(of_doc), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(min_run), CUT)

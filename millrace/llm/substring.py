@@ -1,10 +1,11 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text: h = 2 h + G[byte]. A chunk ends where five bits of h are zero, which
-depends on the last 16 bytes alone, so boundaries move with the text when something is inserted before it. Chunks have
-16 to 128 bytes, 48 on average, and are known by a 128-bit digest. A chunk is a repeat when an equal one
+A gear hash rolls over the bytes of a text: h = 2 h + G[byte]. A chunk ends where four bits of h are zero, which
+depends on the last 16 bytes alone, so boundaries move with the text when something is inserted before it. A chunk that finds no such
+place within 64 bytes ends where two bits are zero, and after 96 bytes anywhere. Chunks have
+16 to 96 bytes, 32 on average, and are known by a 128-bit digest. A chunk is a repeat when an equal one
 starts earlier (smaller doc_id, or the same document and earlier start). Runs of neighbouring repeated chunks of at least
-``min_run`` bytes are removed; shorter ones (a common short line, say) stay.
+``min_run`` bytes, or that are a whole document, are removed; shorter ones (a common short line, say) stay.
 
 Chunks of one digest are combined where they are read, so frequent passages send one row per 32 MB of text
 (see ``spans``). Texts are shuffled once, to be cut.
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import documents, id_text, saved
 from .spans import ROWS, cut_spans, repeats_and_mixed, stretches
 
-MIN_CHUNK, MAX_CHUNK = 16, 128
-MIN_RUN = 80
-_MASK = np.uint32(0xF800)
+MIN_CHUNK, SOFT_CHUNK, MAX_CHUNK = 16, 64, 96
+MIN_RUN = 64
+_MASK, _SOFT_MASK = np.uint32(0xF000), np.uint32(0xC000)
 #: Gear values: one 32-bit hash per byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], dtype=np.uint32)
 
@@ -42,11 +43,19 @@ def gear(raw: bytes) -> np.ndarray:
 
 def boundaries(raw: bytes) -> list[int]:
     """Ends of the chunks of a text."""
-    cuts = (np.flatnonzero((gear(raw) & _MASK) == 0) + 1).tolist()
-    out, at, n = [], 0, len(raw)
+    h = gear(raw)
+    cuts = (np.flatnonzero((h & _MASK) == 0) + 1).tolist()
+    soft = None
+    out, at, n, i, k = [], 0, len(raw), 0, len(cuts)
     while at < n:
-        i = bisect_left(cuts, at + MIN_CHUNK)
-        at = min(cuts[i] if i < len(cuts) else n, at + MAX_CHUNK, n)
+        i = bisect_left(cuts, at + MIN_CHUNK, i)
+        end = cuts[i] if i < k else n
+        if end > at + SOFT_CHUNK:
+            if soft is None:
+                soft = (np.flatnonzero((h & _SOFT_MASK) == 0) + 1).tolist()
+            j = bisect_left(soft, at + SOFT_CHUNK)
+            end = min(end, soft[j] if j < len(soft) else n, at + MAX_CHUNK)
+        at = min(end, n)
         out.append(at)
     return out
 

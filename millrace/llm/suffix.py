@@ -7,10 +7,11 @@ of it cut to ``length`` bytes. Equal windows lie at the same distance from equal
 
 The dictionary is the set of distinct phrases, the parse their sequence in the corpus. A phrase that occurs
 earlier in the corpus makes all its windows repeats. What is left to compare are windows of different phrases under
-one trigger: only for such phrases the suffixes of the dictionary are sorted (by a hash of their ``length`` bytes, which
-keeps equal ones together; order among different ones decides nothing here), and among equal ones the parse's corpus order tells the
-earliest. Other phrases of the dictionary, the bulk, need no suffix order and are dropped after one shuffle. The full suffix array
-is never formed; the README says why.
+one trigger: for such phrases the suffixes of the dictionary, cut to ``length`` bytes, are sorted by their bytes (a suffix array of the
+phrases of a trigger), neighbours whose common prefix is the whole ``length`` are equal windows, and among those the parse's corpus order
+tells the earliest. Windows of different triggers differ, so the arrays of all triggers together are the dictionary's; other phrases,
+the bulk, have no equal window under another phrase and are dropped after one shuffle. Windows are thus compared byte by byte, phrases by
+a 128-bit key. The full suffix array of the corpus is never formed; the README says why.
 
 Groups are sorted in partitions by trigger in bounded batches. A trigger with more than ``group_rows`` phrases (the
 edge of a passage that very many documents share) is not gathered: its windows are aggregated one by one.
@@ -114,23 +115,24 @@ def _fetch(length: int):
 
 
 def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and place of every window of the phrases of a batch."""
+    """Bytes, document and place of every window of the phrases of a batch."""
     texts = batch.column("bytes").to_pylist()
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     count = sizes - length + 1
-    h = rolled(b"".join(texts), length)
+    every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(texts), np.uint8), length)
     first = np.repeat(np.cumsum(sizes) - sizes, count)
     inside = np.arange(int(count.sum()), dtype=np.int64) - np.repeat(np.cumsum(count) - count, count)
     doc = np.repeat(batch.column("doc_id").to_numpy(), count)
-    return h[first + inside], doc, np.repeat(batch.column("start").to_numpy(), count) + inside
+    return np.ascontiguousarray(every[first + inside]).view(f"S{length}").ravel(), doc, np.repeat(batch.column("start").to_numpy(), count) + inside
 
 
 def _repeated_windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Spans of the windows that an earlier window of the batch equals."""
-    h, doc, at = _windows(batch, length)
-    o = np.lexsort((at, doc, h))
-    again = np.zeros(len(h), dtype=bool)
-    again[o[1:]] = (h[o[1:]] == h[o[:-1]]) & ((doc[o[1:]] != doc[o[:-1]]) | (at[o[1:]] != at[o[:-1]]))
+    """Spans of the windows that an earlier window of the batch equals: a suffix array by bytes, then corpus order among equals."""
+    w, doc, at = _windows(batch, length)
+    _, rank = np.unique(w, return_inverse=True)
+    o = np.lexsort((at, doc, rank))
+    again = np.zeros(len(w), dtype=bool)
+    again[o[1:]] = (rank[o[1:]] == rank[o[:-1]]) & ((doc[o[1:]] != doc[o[:-1]]) | (at[o[1:]] != at[o[:-1]]))
     doc, at = doc[again], at[again]
     o = np.lexsort((at, doc))
     doc, at = doc[o], at[o]
@@ -139,7 +141,7 @@ def _repeated_windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(at[cut]), pa.array(at[last] + length)], schema=_SPAN_FIELDS)
 
 
-def _sorted_groups(length: int, batch_rows: int = 20_000):
+def _sorted_groups(length: int, batch_rows: int = 6_000):
     """Over partitions sorted by trigger: work on whole triggers, at least ``batch_rows`` phrases at a time."""
 
     def run(batches):
@@ -157,26 +159,25 @@ def _sorted_groups(length: int, batch_rows: int = 20_000):
     return run
 
 
-_WINDOW_FIELDS = pa.schema([("t", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+_WINDOW_FIELDS = pa.schema([("w", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
 
 def _each_window(length: int):
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                h, doc, at = _windows(part, length)
-                count = np.array([len(x) - length + 1 for x in part.column("bytes").to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("t").to_numpy(), count)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(at)], schema=_WINDOW_FIELDS)
+            for i in range(0, batch.num_rows, 500):
+                w, doc, at = _windows(batch.slice(i, 500), length)
+                raw = w.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[j : j + length] for j in range(0, len(raw), length)], pa.binary()), pa.array(doc), pa.array(at)], schema=_WINDOW_FIELDS)
 
     return run
 
 
 def _crowded(rows: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated windows under triggers with very many phrases, by aggregation of the windows."""
-    windows = saved(rows.select("t", "doc_id", "start", "bytes").mapInArrow(_each_window(length), "t long, h long, doc_id long, at long"), "windows")
-    firsts = windows.groupBy("t", "h").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    later = windows.join(firsts, ["t", "h"]).filter(F.struct("doc_id", "at") > F.col("first"))
+    """Spans of repeated windows under triggers with very many phrases, by aggregation of the windows' bytes."""
+    windows = saved(rows.select("t", "doc_id", "start", "bytes").mapInArrow(_each_window(length), "w binary, doc_id long, at long"), "windows")
+    firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    later = windows.join(firsts, "w").filter(F.struct("doc_id", "at") > F.col("first"))
     return later.select("doc_id", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
 
 

@@ -231,11 +231,36 @@ def test_sharding(spark):
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
 
+def brute_shard(key, tree):
+    """One descent in plain Python."""
+    import math
+
+    import xxhash
+
+    def draw(name, weight):
+        bits = xxhash.xxh64_intdigest(f"{key}/{name}/17".encode(), seed=42) >> 12
+        return -math.log((bits + 0.5) / 2**52) / weight
+
+    total = lambda leaves: sum(w for _, w in leaves)
+    _, racks = min(tree, key=lambda r: draw(f"region{r[0]}", sum(total(x) for _, x in r[1])))
+    _, leaves = min(racks, key=lambda k: draw(f"rack{k[0]}", total(k[1])))
+    return min(leaves, key=lambda s: draw(f"shard{s[0]}", s[1]))[0]
+
+
 def test_weights_move_only_their_subtree(spark):
-    heavy = [(r, [(k, [(s, 3.0 if s == 5 else w) for s, w in leaves]) for k, leaves in racks]) for r, racks in sharding.topology(24)]
+    tree, grown = sharding.topology(24), sharding.topology(25, sealed=24)
+    heavy = [(r, [(k, [(s, 3.0 if s == 5 else w) for s, w in leaves]) for k, leaves in racks]) for r, racks in tree]
     df = spark.range(4000).select(F.col("id").cast("string").alias("k"))
-    rows = df.select(sharding.placed(F.col("k"), sharding.topology(24)).alias("a"), sharding.placed(F.col("k"), heavy).alias("b")).collect()
-    assert all(r.a == r.b or r.b == 5 for r in rows)
+    for t, out in ((tree, "a"), (heavy, "b"), (grown, "c")):
+        df = sharding.placed(df, F.col("k"), t, out)
+    rows = df.collect()
+    assert all((r.a, r.b, r.c) == tuple(brute_shard(r.k, t) for t in (tree, heavy, grown)) for r in rows)
+    assert all(r.c in (r.a, 24) for r in rows)
+    region, rack = {s: r for r, racks in tree for _, leaves in racks for s, _ in leaves}, {s: k for _, racks in tree for k, leaves in racks for s, _ in leaves}
+    for r in rows:
+        if r.a != r.b:  # into the region of the changed shard, or inside it into its rack, or inside that into it
+            assert region[r.b] == region[5]
+            assert region[r.a] != region[5] or rack[r.b] == rack[5] and (rack[r.a] != rack[5] or r.b == 5)
     assert 2.2 < sum(r.b == 5 for r in rows) / sum(r.a == 5 for r in rows) < 3.6
 
 

@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import spans, substring, suffix
+from millrace.llm import substring, suffix
 from tests.llm.brute import repeats
 
 SCHEMA = "doc_id long, text string, spans string"
@@ -82,20 +83,32 @@ def test_gear_depends_on_sixteen_bytes():
     assert (np.array(slow[16:]) == (substring.gear(raw)[16:] & 0xFFFF)).all()
     ends = substring.boundaries(raw)
     sizes = np.diff([0, *ends])
-    assert ends[-1] == 3000 and sizes.max() <= 128 and sizes[:-1].min() >= 16
+    assert ends[-1] == 3000 and sizes.max() <= 96 and sizes[:-1].min() >= 16
+
+
+def plain_chunks(raw):
+    """Boundaries byte by byte, from the rule alone."""
+    at, h = 0, 0
+    for i, b in enumerate(raw):
+        h = (2 * h + xxhash.xxh32_intdigest(bytes([b]))) % 2**32
+        size = i + 1 - at
+        if (size >= 16 and not h & 0xF000) or (size >= 64 and not h & 0xC000) or size == 96 or i + 1 == len(raw):
+            yield at, i + 1
+            at = i + 1
 
 
 def brute_chunks(rows, min_run):
     seen, out = set(), {}
     for d, t in sorted(rows):
-        raw, at, marks = (t or "").encode(), 0, []
-        for e in substring.boundaries(raw):
-            if raw[at:e] in seen:
-                marks.append((at, e))
-            seen.add(raw[at:e])
-            at = e
-        merged = spans.runs(*(np.array(x) for x in zip(*marks, strict=True))) if marks else ([], [])
-        out[d] = [(int(s), int(e)) for s, e in zip(*merged, strict=True) if e - s >= min_run]
+        raw, marks = (t or "").encode(), []
+        for s, e in plain_chunks(raw):
+            if raw[s:e] in seen:
+                if marks and marks[-1][1] == s:
+                    marks[-1][1] = e
+                else:
+                    marks.append([s, e])
+            seen.add(raw[s:e])
+        out[d] = [(s, e) for s, e in marks if e - s >= min_run or e - s == len(raw)]
     return out
 
 
