@@ -4,11 +4,11 @@ Three generative models of hashed n-grams (words or runs of other signs, and pai
 ``BUCKETS`` buckets: the target model counts labelled good documents (quality 1, not toxic), the bad model the other labelled
 documents, the raw model all documents. The target and the bad model are smoothed towards the raw model: a bucket's ratio is that of its
 count to the count the raw model expects, ``SMOOTH`` added to both. A document's log importance weight is the sum over its n-grams
-of the log ratio of target to bad, shrunk by ``SHRINK`` towards 0 (a soft threshold), because n-grams that a few bad documents
-happen to hold have small negative ratios. The sum is divided by the square root of the n-gram count (in units of ``NGRAMS``, about the
-mean document): a plain sum sinks long documents by the ratios chance gives them, a mean hides a few strong signs in a long text; held-out errors
-by length on the given tables are in the README. So an n-gram that good documents lack and bad ones repeat counts by its evidence at every table
-size, ordinary text weighs about 0, and each sign of the kinds of text that the target lacks lowers the weight.
+of the log ratio of target to bad, both signs, shrunk by ``SHRINK`` towards 0 (a soft threshold), because n-grams that a few labelled documents
+happen to hold have small ratios of no meaning. The sum is divided by the square root of the n-gram count (in units of ``NGRAMS``, about the
+mean document): a plain sum lets chance ratios decide about long documents, a mean hides a few strong signs in a long text; held-out errors
+are in the README. So an n-gram that good documents lack and bad ones repeat counts by its evidence at every table
+size, as does one that good documents repeat and bad ones lack.
 
 Documents are sampled without replacement by Gumbel top-k: the k largest sums of log weight and Gumbel noise are
 kept, the noise being a hash of the id. k is the number of documents whose weight lies above the cut that errs least on held-out
@@ -98,7 +98,8 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, bad: np.ndarray | None = Non
     if not target.sum() or not bad.sum():
         return np.zeros(len(raw), dtype=np.float32)
     excess = lambda c: np.log((c + SMOOTH) / (raw * (c.sum() / raw.sum()) + SMOOTH))
-    return np.minimum(excess(target) - excess(bad) + SHRINK, 0).astype(np.float32)
+    ratio = excess(target) - excess(bad)
+    return (np.sign(ratio) * np.maximum(np.abs(ratio) - SHRINK, 0)).astype(np.float32)
 
 
 def log_weight(ratios: np.ndarray, text: bytes) -> float:

@@ -315,7 +315,35 @@ def test_weights_match_plain_counts():
         if d % 9 and d % 7:
             np.add.at(target, quality.ngrams(t.encode()), 1)
     table = quality.log_ratios(raw, target)
-    assert (table <= 0).all() and table[quality.ngrams(b"idiot")[0]] < 0 and table[quality.ngrams(b"w1")[0]] == 0
+    assert table[quality.ngrams(b"idiot")[0]] < 0 and table[quality.ngrams(b"w1")[0]] == 0
+
+
+def test_weights_against_plain_sums():
+    """Log weights from word counts alone, without the operator's hashing and arrays."""
+    docs, labels = quality_case(300)
+    good = {d for d, q, t in labels if q == 1 and t == 0}
+    bad = {d for d, _, _ in labels} - good
+    grams = lambda t: (w := t.split()) + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    plain = [(d, t) for d, t in docs if "%" not in t]  # a junk word is two tokens
+    raw, target, worse = Counter(), Counter(), Counter()
+    arrays = [np.zeros(quality.BUCKETS) for _ in range(3)]
+    for d, t in plain:
+        for c, x, part in ((raw, arrays[0], True), (target, arrays[1], d in good), (worse, arrays[2], d in bad)):
+            if part:
+                c.update(grams(t))
+                np.add.at(x, quality.ngrams(t.encode()), 1)
+    n = [sum(c.values()) for c in (raw, target, worse)]
+
+    def ratio(g):
+        ex = [np.log((c[g] + 0.5) / (raw[g] * m / n[0] + 0.5)) for c, m in ((target, n[1]), (worse, n[2]))]
+        r = ex[0] - ex[1]
+        return np.sign(r) * max(abs(r) - 2.0, 0.0)
+
+    table = quality.log_ratios(*arrays)
+    for _, t in plain[:80]:
+        g = grams(t)
+        want = sum(map(ratio, g)) * (1000 / len(g)) ** 0.5
+        assert abs(quality.log_weight(table, t.encode()) - want) < 0.02 * abs(want) + 0.5
 
 
 def test_kth_largest(spark):
