@@ -208,10 +208,19 @@ def select_rois(candidates: DataFrame, key: str, max_rois: int = 3, merge: float
 
 
 def top_mean(rows: DataFrame, key: str, value: str, k: Column) -> DataFrame:
-    """Mean of the k largest values per key, k being a column over n."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.col(value).desc())))
-    return ranked.filter(F.col("rn") <= k).groupBy(key).agg(F.avg(value).alias("top_mean"))
+    """Mean of the k largest values per key, k being a column over n: the k-th largest value is a rank, what lies above it is summed where it lies."""
+    cut = kth_smallest(rows, [key], value, F.col("n") - k + 1).select(key, k.cast("long").alias("__k"), F.col(value).alias("__cut"))
+    above = F.col(value) > F.col("__cut")
+    sums = rows.join(cut, key).groupBy(key).agg(F.coalesce(F.sum(F.when(above, F.col(value))), F.lit(0.0)).alias("__s"), F.count_if(above).alias("__c"), F.max("__k").alias("__k"), F.max("__cut").alias("__cut"))
+    return sums.select(key, ((F.col("__s") + (F.col("__k") - F.col("__c")) * F.col("__cut")) / F.col("__k")).alias("top_mean"))
+
+
+def quantile(rows: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """(keys, name): the q-quantile per key, interpolated between the two ranks around it; no group is sorted in one task."""
+    at = F.lit(q) * (F.col("n") - 1)
+    low = kth_smallest(rows, keys, value, F.floor(at) + 1).select(*keys, (at - F.floor(at)).alias("__part"), F.col(value).alias("__low"))
+    high = kth_smallest(rows, keys, value, F.ceil(at) + 1).select(*keys, F.col(value).alias("__high"))
+    return low.join(high, keys).select(*keys, (F.col("__low") + F.col("__part") * (F.col("__high") - F.col("__low"))).alias(name))
 
 
 def min_max(rows: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
@@ -325,9 +334,10 @@ def feature_bank(features: DataFrame, ratio: float, cap: int = 25_000, seed: int
 
 
 class DiagonalMixture:
-    """PCA whitening and a Gaussian mixture with diagonal covariances, fitted by EM on a bounded sample."""
+    """PCA whitening and a Gaussian mixture with diagonal covariances, fitted by EM on a bounded sample. With ``reseed`` rounds, components of
+    less than ``dead_share`` of an even weight start anew at points among the hundredth that fits worst, and the mixture is fitted again."""
 
-    def __init__(self, x: np.ndarray, dim: int = 64, components: int = 8, rounds: int = 50, seed: int = 0):
+    def __init__(self, x: np.ndarray, dim: int = 64, components: int = 8, rounds: int = 50, seed: int = 0, reseed: int = 0, dead_share: float = 0.5):
         x = np.asarray(x, dtype=np.float64)
         n = len(x)
         self.mean = x.mean(axis=0)
@@ -339,6 +349,21 @@ class DiagonalMixture:
         self.mu = z[np.random.default_rng(seed).permutation(n)[:m]]
         self.var = np.tile(z.var(axis=0) + 1e-6, (m, 1))
         self.weight = np.full(m, 1 / m)
+        self._fit(z, rounds)
+        rng = np.random.default_rng(2026)
+        for _ in range(reseed):
+            dead = np.flatnonzero(self.weight < dead_share / m)
+            if not len(dead):
+                break
+            logp = self._log(z)
+            worst = np.argsort(np.logaddexp.reduce(logp, axis=1), kind="stable")[: max(len(dead), n // 100, 1)]
+            self.mu[dead] = z[rng.choice(worst, size=len(dead), replace=len(dead) > len(worst))]
+            self.var = np.tile(z.var(axis=0) + 1e-6, (m, 1))
+            self.weight = np.full(m, 1 / m)
+            self._fit(z, rounds)
+
+    def _fit(self, z: np.ndarray, rounds: int) -> None:
+        n = len(z)
         for _ in range(rounds):
             logp = self._log(z)
             r = np.exp(logp - np.logaddexp.reduce(logp, axis=1, keepdims=True))
@@ -358,10 +383,12 @@ class DiagonalMixture:
 
 def robust_by_component(rows: DataFrame, score: str = "nll") -> DataFrame:
     """Scores centred and scaled by the median and 1.4826 MAD of their component; components of under five use the overall median, unscaled."""
-    med = rows.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.median(score).alias("med"))
-    mad = rows.join(med, "component").groupBy("component").agg((1.4826 * F.median(F.abs(F.col(score) - F.col("med")))).alias("mad"))
-    overall = rows.agg(F.median(score).alias("all_med"))
-    j = rows.join(med.join(mad, "component"), "component").crossJoin(overall)  # one row
+    counts = rows.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    med = counts.join(quantile(rows, ["component"], score, 0.5, "med"), "component")
+    spread = rows.join(med, "component").select("component", F.abs(F.col(score) - F.col("med")).alias("off"))
+    mad = quantile(spread, ["component"], "off", 0.5, "mad").withColumn("mad", 1.4826 * F.col("mad"))
+    overall = quantile(rows.select(score, F.lit(0).alias("all")), ["all"], score, 0.5, "all_med").select("all_med")
+    j = rows.join(med.join(mad, "component"), "component").crossJoin(F.broadcast(overall))  # one row
     few = F.col("c") < 5
     return j.withColumn("normalised", (F.col(score) - F.when(few, F.col("all_med")).otherwise(F.col("med"))) / F.when(few | (F.col("mad") < 1e-9), 1.0).otherwise(F.col("mad"))).drop("c", "med", "mad", "all_med")
 

@@ -240,6 +240,28 @@ def retry_due(log: DataFrame, now: str, limit: int = 50) -> DataFrame:
     return log.filter((F.col("success") == 0) & (F.col("attempts") < F.col("max_attempts")) & ready).orderBy("id").limit(limit)
 
 
+#: Attempts in all, and seconds to wait by the number of attempts made.
+ATTEMPTS, BACKOFF = 3, (0, 30, 120)
+
+
+def retried(log: DataFrame, outcomes: DataFrame, now: str, limit: int = 50) -> DataFrame:
+    """The log after the due messages were sent again. outcomes: id, ok. A message that failed waits by its attempts, or no longer once they are used
+    up; due messages without an outcome, and all others, stay as they are."""
+    due = retry_due(log, now, limit).select("id")
+    o = outcomes.join(due, "id", "left_semi").select(F.col("id").alias("__o"), "ok")
+    made = F.col("attempts") + 1
+    wait = F.get(F.array(*map(F.lit, BACKOFF)), F.least(made, F.lit(len(BACKOFF) - 1)))
+    later = F.date_format(F.timestamp_add("SECOND", wait, F.lit(now).cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss")
+    tried, ok = F.col("__o").isNotNull(), F.coalesce(F.col("ok"), F.lit(False))
+    rows = log.join(o, log["id"] == o["__o"], "left")
+    changes = {
+        "success": F.when(tried & ok, 1).otherwise(F.col("success")),
+        "next_retry_at": F.when(tried & ~ok, F.when(made < ATTEMPTS, later).otherwise("")).otherwise(F.col("next_retry_at")),
+        "attempts": F.when(tried, made).otherwise(F.col("attempts")),
+    }
+    return rows.withColumns(changes).select(*log.columns)
+
+
 AUDIT = ("action", "operator", "field", "old_value", "new_value", "note")
 
 

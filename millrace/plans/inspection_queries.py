@@ -216,8 +216,12 @@ def a7_class_recall(s):
 @query("scores", sql="""
 SELECT product, median(score) AS med, round(1.4826 * mad(score), 9) AS scaled_mad, quantile_cont(score, 0.99) AS p99, quantile_cont(score, 0.3) AS p30 FROM scores GROUP BY product""")
 def a12_robust_statistics(s):
-    stats = s.groupBy("product").agg(F.median("score").alias("med"), F.percentile("score", 0.99).alias("p99"), F.percentile("score", 0.3).alias("p30"))
-    mad = s.join(stats.select("product", "med"), "product").groupBy("product").agg(F.round(1.4826 * F.median(F.abs(F.col("score") - F.col("med"))), 9).alias("scaled_mad"))
+    stats = None
+    for q, name in ((0.5, "med"), (0.99, "p99"), (0.3, "p30")):
+        one = op.quantile(s, ["product"], "score", q, name)
+        stats = one if stats is None else stats.join(one, "product")
+    off = s.join(stats.select("product", "med"), "product").select("product", F.abs(F.col("score") - F.col("med")).alias("off"))
+    mad = op.quantile(off, ["product"], "off", 0.5, "mad").select("product", F.round(1.4826 * F.col("mad"), 9).alias("scaled_mad"))
     return stats.join(mad, "product")
 
 
@@ -244,8 +248,10 @@ def a16_min_max(s):
 @query("scores", sql=f"""
 WITH {_TAU}, p AS (SELECT product, source, CASE WHEN count(*) < 3 THEN 1.0 ELSE quantile_cont(score, 0.99) * 1.2 END AS fallback FROM normal GROUP BY ALL) SELECT product, source, round(fallback, 9) AS fallback FROM p""")
 def v8_legacy_threshold(s):
-    g = s.filter("defect = 0").filter(op.usable()).groupBy("product", "source")
-    return g.agg(F.round(F.when(F.count(F.lit(1)) < 3, 1.0).otherwise(F.percentile("score", 0.99) * 1.2), 9).alias("fallback"))
+    rows = s.filter("defect = 0").filter(op.usable())
+    n = rows.groupBy("product", "source").agg(F.count(F.lit(1)).alias("n"))
+    p99 = op.quantile(rows, ["product", "source"], "score", 0.99, "p99")
+    return n.join(p99, ["product", "source"]).select("product", "source", F.round(F.when(F.col("n") < 3, 1.0).otherwise(F.col("p99") * 1.2), 9).alias("fallback"))
 
 
 @query("scores", sql=f"""

@@ -278,3 +278,20 @@ QUERIES["m5_explained_variance"] = m5_explained_variance
 def st_daily_windows(q):
     rows = q.groupBy(F.window("created_at", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "NG").alias("ng_count"))
     return rows.select(F.to_date("w.start").alias("day"), "total", "ng_count")
+
+
+@query("marks", sql="""
+SELECT concat('/ocr/', CAST(id AS VARCHAR)) AS image_path, sha1(truth) AS image_hash, 'rapidocr' AS engine, '' AS scene, 1 AS roi_count, predicted AS raw_text, truth AS corrected_text, 0.0::DOUBLE AS confidence, 0.75::DOUBLE AS confidence_threshold,
+  CASE WHEN predicted = truth THEN 'OK' ELSE 'NG' END AS verdict, 0.0::DOUBLE AS elapsed_sec, '{}' AS structured_json, truth AS text_content, '[]' AS ng_regions,
+  CASE WHEN predicted = truth THEN '[]' ELSE '[' || CAST(to_json(predicted) AS VARCHAR) || ', ' || CAST(to_json(truth) AS VARCHAR) || ']' END AS corrections FROM marks""")
+def k6_ocr_audit(m):
+    rows = m.select(
+        F.concat(F.lit("/ocr/"), F.col("id").cast("string")).alias("image_path"),
+        F.sha1("truth").alias("image_hash"),
+        F.lit("rapidocr").alias("engine"),
+        F.col("predicted").alias("raw_text"),
+        F.col("truth").alias("corrected_text"),
+        F.when(F.col("predicted") == F.col("truth"), "OK").otherwise("NG").alias("verdict"),
+        F.when(F.col("predicted") != F.col("truth"), F.array("predicted", "truth")).alias("corrections"),
+    )
+    return sinks.ocr_audit_rows(rows)

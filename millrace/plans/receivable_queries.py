@@ -220,6 +220,16 @@ def r21_retry_due(n):
     return op.retry_due(n, "2024-01-15T12:00:00")
 
 
+@query("notification_log", sql="""
+WITH due AS (SELECT id FROM notification_log WHERE success = 0 AND attempts < max_attempts AND (next_retry_at = '' OR next_retry_at <= '2024-01-15T12:00:00') ORDER BY id LIMIT 50)
+SELECT n.* REPLACE (CASE WHEN d.id IS NOT NULL AND n.id % 3 = 0 THEN 1 ELSE success END AS success, CAST(CASE WHEN d.id IS NOT NULL AND n.id % 3 < 2 THEN attempts + 1 ELSE attempts END AS INT) AS attempts,
+  CASE WHEN d.id IS NULL OR n.id % 3 <> 1 THEN next_retry_at WHEN attempts + 1 >= 3 THEN '' WHEN attempts = 0 THEN '2024-01-15T12:00:30' ELSE '2024-01-15T12:02:00' END AS next_retry_at)
+FROM notification_log n LEFT JOIN due d ON d.id = n.id""")
+def st4_retried(n):
+    """Outcomes are known for two thirds of all messages; only those of due messages count."""
+    return op.retried(n, n.filter("id % 3 < 2").selectExpr("id", "id % 3 = 0 AS ok"), "2024-01-15T12:00:00")
+
+
 @query("qc_results", sql="SELECT image_path FROM qc_results WHERE id = 42")
 def r22_image_path(q):
     return q.filter("id = 42").select("image_path")

@@ -54,10 +54,18 @@ def images(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,bmp,t
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
+def mask_defect(content: Column) -> Column:
+    """Whether an uncompressed bitmap has any pixel byte set: the pixels start where bytes 11 to 14 (little-endian) say."""
+    at = F.conv(F.hex(F.concat(*[F.substring(content, i, 1) for i in (14, 13, 12, 11)])), 16, 10).cast("int")
+    return F.hex(F.substr(content, at + 1)).rlike("[1-9A-F]")
+
+
 def paired(images: DataFrame, masks: DataFrame, suffix: str = "_label") -> DataFrame:
-    """Images with their masks (name plus suffix); a mask with any byte set marks a defect."""
+    """Images with their masks (name plus suffix); a mask with any pixel byte set marks a defect. Masks without contents bring
+    their own column ``defect``."""
     stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]*$", "")
-    m = masks.select(F.regexp_replace(stem(F.col("path")), f"{suffix}$", "").alias("stem"), F.col("defect"))
+    defect = F.col("defect") if "defect" in masks.columns else mask_defect(F.col("content"))
+    m = masks.select(F.regexp_replace(stem(F.col("path")), f"{suffix}$", "").alias("stem"), defect.alias("defect"))
     return images.withColumn("stem", stem(F.col("path"))).join(m, "stem", "left")
 
 

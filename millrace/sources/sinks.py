@@ -48,6 +48,26 @@ def qc_rows(results: DataFrame) -> DataFrame:
     return results.withColumns({"defect_json": F.substring("defect_json", 1, 5000), "barcode_content": F.substring("barcode_content", 1, 200)})
 
 
+#: The audit columns of a recognised text, with what stands where a record has none; lists are written as JSON.
+OCR_DEFAULTS = {"image_path": "", "image_hash": "", "engine": "", "scene": "", "roi_count": 1, "raw_text": "", "corrected_text": "", "confidence": 0.0, "confidence_threshold": 0.75, "verdict": "OK", "elapsed_sec": 0.0, "structured_json": "{}"}
+OCR_LISTS = ("ng_regions", "corrections")
+
+
+def json_list(items: Column) -> Column:
+    """A list of texts as JSON, a space after each comma; null is the empty list."""
+    one = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", "$1")
+    return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(items, one), ", "), F.lit("]")), F.lit("[]"))
+
+
+def ocr_audit_rows(records: DataFrame) -> DataFrame:
+    """Recognition results as they are appended to the audit table. Columns that the records lack take their defaults; the corrected text is
+    also kept as text_content."""
+    plain = [F.col(c) if c in records.columns else F.lit(v).alias(c) for c, v in OCR_DEFAULTS.items()]
+    lists = [(json_list(F.col(c)) if c in records.columns else F.lit("[]")).alias(c) for c in OCR_LISTS]
+    text = F.col("corrected_text") if "corrected_text" in records.columns else F.lit("")
+    return records.select(*plain, text.alias("text_content"), *lists)
+
+
 def content_name(content: Column, path: Column) -> Column:
     """Name of a content-addressed copy: 16 hex digits and the extension."""
     return F.concat(F.substring(F.sha1(content), 1, 16), F.coalesce(F.regexp_extract(path, r"(\.[^./]+)$", 1), F.lit("")))

@@ -75,3 +75,14 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "arch/product=p/session=s").is_dir()
     q = spark.createDataFrame([("x" * 6000, "y" * 300)], "defect_json string, barcode_content string")
     assert [len(v) for v in sinks.qc_rows(q).first()] == [5000, 200]
+
+
+def test_masks_by_their_pixels(spark):
+    def bitmap(pixels):
+        head = b"BM" + (62 + len(pixels)).to_bytes(4, "little") + bytes(4) + (62).to_bytes(4, "little")
+        return bytes(head + bytes([40]) + bytes(47) + pixels)
+
+    images = spark.createDataFrame([("/a/x.jpg",), ("/a/y.jpg",), ("/a/z.jpg",)], "path string")
+    masks = spark.createDataFrame([("/a/x_label.bmp", bytearray(bitmap(bytes(16)))), ("/a/y_label.bmp", bytearray(bitmap(bytes(15) + b"\x01")))], "path string, content binary")
+    got = {r.path: r.defect for r in readers.paired(images, masks).collect()}
+    assert got == {"/a/x.jpg": False, "/a/y.jpg": True, "/a/z.jpg": None}
