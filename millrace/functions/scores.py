@@ -41,3 +41,33 @@ def photometric_class(delta: Column, width: Column, height: Column) -> Column:
     polarity = F.when(delta <= -8, "dark").when(delta >= 8, "bright").otherwise("flat")
     aspect = F.greatest(width, height) / F.greatest(F.least(width, height), F.lit(1.0))
     return F.concat(polarity, F.when(aspect >= 3, F.lit("_line")).otherwise(F.lit("")))
+
+
+def scene(phone: Column, megapixels: Column, sharpness: Column, white: Column, handwriting: Column) -> tuple[Column, Column]:
+    """(scene, share): additive rule points; the largest share wins if it is 0.7 or more, else camera. Ties go to document, then camera."""
+    point = lambda test, n: F.when(test, n).otherwise(0.0)
+    camera = point(phone, 2.0) + F.when((megapixels > 8) & phone, 1.5).when(megapixels > 8, 0.5).otherwise(0.0) + point(sharpness < 100, 1.5)
+    document = point(sharpness > 500, 1.5) + point(white > 0.7, 1.0)
+    hand = F.when(handwriting > 0.5, 2.0 * handwriting).otherwise(0.0)
+    top, total = F.greatest(document, camera, hand), document + camera + hand
+    share = F.when(total > 0, top / F.when(total > 0, total)).otherwise(0.0)
+    best = F.when(document == top, "document").when(camera == top, "camera").otherwise("handwriting")
+    return F.when(share < 0.7, "camera").otherwise(best), share
+
+
+#: The engine of each scene, and the one that stands in.
+SCENE_ENGINES = {"document": "ppocr", "handwriting": "hunyuan", "camera": "rapidocr"}
+FALLBACK_ENGINE = "rapidocr"
+
+
+def scene_engine(scene: Column, ready: dict[str, Column]) -> Column:
+    """The engine of a scene if it is ready (engines not named are), else the one that stands in."""
+    out = F.lit(FALLBACK_ENGINE)
+    for kind, engine in SCENE_ENGINES.items():
+        out = F.when((scene == kind) & ready.get(engine, F.lit(True)), engine).otherwise(out)
+    return out
+
+
+def extraction_tier(confidence: Column, complete: Column, local: Column, enough: float = 0.6) -> Column:
+    """Rules where they are sure and complete, else the local model if there is one, else the remote one."""
+    return F.when((confidence >= enough) & complete, "regex").when(local, "local").otherwise("cloud")

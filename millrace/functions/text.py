@@ -9,6 +9,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -359,8 +360,7 @@ def truncated(text, most: int = 12000, head: int = 3000, tail: int = 2000) -> Co
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, head), F.lit("\n[...]\n"), F.array_join(kept, "\n"), F.lit("\n[...]\n"), F.substring(t, -tail, tail)))
 
 
-@F.udf(T.StringType())
-def _closed_json(text):
+def _closed(text: str | None) -> str | None:
     """A JSON object made whole: fences and what surrounds it are cut off, and what a cut text left open is closed."""
     import json
 
@@ -395,7 +395,15 @@ def _closed_json(text):
     return None
 
 
+def _closed_json(text: Column) -> Column:
+    @F.pandas_udf(T.StringType())
+    def closed(texts: pd.Series) -> pd.Series:
+        return texts.map(_closed)
+
+    return closed(text)
+
+
 def whole_json(text) -> Column:
-    """Text as JSON if it is, else repaired row by row (the open brackets are a stack, which columns can't express)."""
+    """Text as JSON if it is, else repaired by an Arrow function (the open brackets are a stack, which columns can't express)."""
     t = _c(text)
     return F.when(F.try_parse_json(t).isNotNull(), t).otherwise(_closed_json(t))

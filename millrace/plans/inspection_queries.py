@@ -281,7 +281,7 @@ def v18_ocr_verdict(s):
 @query("scores", sql="""
 SELECT event_id, CASE WHEN score / 100 >= 0.6 AND event_id % 3 <> 0 THEN 'regex' WHEN user_id % 2 = 0 THEN 'local' ELSE 'cloud' END AS tier FROM scores""")
 def v20_tiered_routing(s):
-    return s.select("event_id", F.when((F.col("score") / 100 >= 0.6) & (F.col("event_id") % 3 != 0), "regex").when(F.col("user_id") % 2 == 0, "local").otherwise("cloud").alias("tier"))
+    return s.select("event_id", scores.extraction_tier(F.col("score") / 100, F.col("event_id") % 3 != 0, F.col("user_id") % 2 == 0).alias("tier"))
 
 
 @query("scores", sql="""

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from millrace.functions import geometry
+from millrace.functions import geometry, scores
 from millrace.functions import text as tx
 from millrace.operators import inspection as op
 from millrace.operators import receivables as rc
@@ -166,34 +166,26 @@ def m10_corners(b):
     return g.select("frame_id", *[c["k"].alias(k) for k, c in geometry.corners("p").items()])
 
 
-def scene(phone, megapixels, sharpness, white, handwriting):
-    """(scene, share): additive rule points; the largest share wins if it is 0.7 or more, else camera. Ties go to document, then camera."""
-    point = lambda test, n: F.when(test, n).otherwise(0.0)
-    camera = point(phone, 2.0) + F.when((megapixels > 8) & phone, 1.5).when(megapixels > 8, 0.5).otherwise(0.0) + point(sharpness < 100, 1.5)
-    document = point(sharpness > 500, 1.5) + point(white > 0.7, 1.0)
-    hand = F.when(handwriting > 0.5, 2.0 * handwriting).otherwise(0.0)
-    top, total = F.greatest(document, camera, hand), document + camera + hand
-    share = F.when(total > 0, top / F.when(total > 0, total)).otherwise(0.0)
-    best = F.when(document == top, "document").when(camera == top, "camera").otherwise("handwriting")
-    return F.when(share < 0.7, "camera").otherwise(best), share
-
-
-@query("scores", sql="""
+_SCENE = """
 WITH p AS (SELECT event_id, user_id % 3 = 0 AS phone, score / 10 AS mp, score * 10 AS sharp, (user_id % 10) / 10.0 AS white, (event_id % 10) / 10.0 AS hw FROM scores),
 q AS (SELECT event_id, CASE WHEN phone THEN 2.0 ELSE 0.0 END + CASE WHEN mp > 8 AND phone THEN 1.5 WHEN mp > 8 THEN 0.5 ELSE 0.0 END + CASE WHEN sharp < 100 THEN 1.5 ELSE 0.0 END AS c,
-  CASE WHEN sharp > 500 THEN 1.5 ELSE 0.0 END + CASE WHEN white > 0.7 THEN 1.0 ELSE 0.0 END AS d, CASE WHEN hw > 0.5 THEN 2.0 * hw ELSE 0.0 END AS h FROM p)
-SELECT event_id, CASE WHEN c + d + h = 0 OR greatest(d, c, h)::DOUBLE / (c + d + h) < 0.7 THEN 'camera' WHEN d >= greatest(c, h) THEN 'document' WHEN c >= h THEN 'camera' ELSE 'handwriting' END AS scene FROM q""")
+  CASE WHEN sharp > 500 THEN 1.5 ELSE 0.0 END + CASE WHEN white > 0.7 THEN 1.0 ELSE 0.0 END AS d, CASE WHEN hw > 0.5 THEN 2.0 * hw ELSE 0.0 END AS h FROM p),
+k AS (SELECT event_id, CASE WHEN c + d + h = 0 OR greatest(d, c, h)::DOUBLE / (c + d + h) < 0.7 THEN 'camera' WHEN d >= greatest(c, h) THEN 'document' WHEN c >= h THEN 'camera' ELSE 'handwriting' END AS scene FROM q)"""
+
+
+def _scene(s):
+    return scores.scene(F.col("user_id") % 3 == 0, F.col("score") / 10, F.col("score") * 10, (F.col("user_id") % 10) / 10.0, (F.col("event_id") % 10) / 10.0)[0]
+
+
+@query("scores", sql=f"{_SCENE} SELECT event_id, scene FROM k")
 def m13_scene(s):
-    best, _ = scene(F.col("user_id") % 3 == 0, F.col("score") / 10, F.col("score") * 10, (F.col("user_id") % 10) / 10.0, (F.col("event_id") % 10) / 10.0)
-    return s.select("event_id", best.alias("scene"))
+    return s.select("event_id", _scene(s).alias("scene"))
 
 
-@query("scores", sql="SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'ppocr' WHEN user_id % 3 = 1 AND event_id % 2 = 0 THEN 'hunyuan' ELSE 'rapidocr' END AS engine FROM scores")
+@query("scores", sql=f"{_SCENE} SELECT event_id, CASE WHEN scene = 'document' THEN 'ppocr' WHEN scene = 'handwriting' AND event_id % 2 = 0 THEN 'hunyuan' ELSE 'rapidocr' END AS engine FROM k")
 def v19_scene_routing(s):
-    route = F.create_map(*map(F.lit, ("document", "ppocr", "handwriting", "hunyuan", "camera", "rapidocr")))
-    kind = F.when(F.col("user_id") % 3 == 0, "document").when(F.col("user_id") % 3 == 1, "handwriting").otherwise("camera")
-    loaded = F.when(kind == "handwriting", F.col("event_id") % 2 == 0).otherwise(True)
-    return s.select("event_id", F.when(loaded, F.element_at(route, kind)).otherwise("rapidocr").alias("engine"))
+    ready = {"ppocr": F.lit(True), "hunyuan": F.col("event_id") % 2 == 0}
+    return s.select("event_id", scores.scene_engine(_scene(s), ready).alias("engine"))
 
 
 @query("notification_log", sql="""
