@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, exact_dedup, minhash, packing, quality
-from millrace.llm.common import documents, saved
+from millrace.llm.common import documents, drop_saved, saved
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_saved(before)
     return docs
