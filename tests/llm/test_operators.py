@@ -163,6 +163,13 @@ def test_line_edges(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in line_dedup.line_dedup(frame(spark, rows)).collect()) == [("1", 0), ("1", 0), ("2", 2), ("None", 0)]
 
 
+def test_long_single_lines(spark):
+    long = "x" * 260
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, "a"), (5, long[:249]), (6, long[:249])]
+    out = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert out == {1: (0, rows[0][1]), 2: (1, "c\nd"), 3: (1, ""), 4: (0, "a"), 5: (0, long[:249]), 6: (0, long[:249])}
+
+
 # --- packing
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -201,6 +208,35 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, []), BPE).count() == 0
 
 
+def test_fast_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    lib, e = Tokenizer.from_file(BPE), packing.IdEncoder(BPE)
+    assert e.fast is not None
+    ids = lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    points = [c for c in range(0x3100) if not 0xD800 <= c < 0xE000] + list(range(0x3100, 0x110000, 211))
+    points = [c for c in points if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b1{chr(c)}2.{chr(c)} {chr(c)}\n" for c in points[i : i + 50]) for i in range(0, len(points), 50)]
+    texts += ["", " ", "\n\n", "  a  ", "it's we'll I'M don't", "<|endoftext|>", "a<|endoftext|>b", " " * 5000, "x" * 5000, "\x00\x01", "a\u200bb", "\r\n\t x"]
+    assert e.encode(texts) == [ids(t) for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=80), max_size=4))
+def test_fast_ids_on_any_text(texts):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BPE)
+    assert packing.encoder(BPE).encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_packing_certificates(spark):
+    docs = [(i, "word " * (10 + 7 * i % 90)) for i in range(400)]
+    rows = packing.pack_documents(frame(spark, docs), BPE, 128).collect()
+    used = len({r.sequence_id for r in rows})
+    assert all(r.gap >= 0 for r in rows) and used <= packing.lower_bound(np.array([r.length for r in rows]), 128) * 1.05 + 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit_and_bound(sizes):
