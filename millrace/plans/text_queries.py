@@ -72,6 +72,33 @@ def t5_parties_and_numbers(t):
     return t.select("id", tx.party(head, "甲").alias("party_a"), tx.party(head, "乙").alias("party_b"), F.regexp_extract(F.substring("text", 1, 600), "(?iU)" + tx.CONTRACT_NO, 1).alias("contract_no"), F.regexp_extract("text", "(?U)" + tx.SIGNER, 1).alias("signer"))
 
 
+_SIDES = f"sides AS (SELECT id, trim(regexp_extract(substr(text, 1, 800), {_q('甲' + tx.PARTY)}, 1)) AS a, trim(regexp_extract(substr(text, 1, 800), {_q('乙' + tx.PARTY)}, 1)) AS b FROM texts)"
+
+
+@query("texts", sql=f"""
+WITH {_SEGS}, {_SIDES}, p AS (SELECT id, s, {_amount('s')} AS amount, regexp_extract(s, {_q(tx.ROLE + '向[ ]*' + tx.ROLE)}, 1) AS x, regexp_extract(s, {_q(tx.ROLE + '向[ ]*' + tx.ROLE)}, 2) AS y
+  FROM seg WHERE s <> '' AND NOT {_any('s', tx.PENALTY_KEYS)} AND {_any('s', tx.PAYMENT_KEYS)})
+SELECT id, CASE WHEN x IN ('甲方', '发包方', '买方', '委托方', '需方') THEN a WHEN x IN ('乙方', '承包方', '卖方', '受托方', '供方') THEN b ELSE x END AS payer,
+  CASE WHEN y IN ('甲方', '发包方', '买方', '委托方', '需方') THEN a WHEN y IN ('乙方', '承包方', '卖方', '受托方', '供方') THEN b ELSE y END AS payee,
+  CASE WHEN y <> '' AND contains(CASE WHEN y = '甲方' THEN a ELSE b END, '锐新科技') THEN 'receivable' WHEN x <> '' AND contains(CASE WHEN x = '甲方' THEN a ELSE b END, '锐新科技') THEN 'payable' ELSE 'receivable' END AS direction
+FROM p JOIN sides USING (id) WHERE amount IS NOT NULL""")
+def t6_payer_and_payee(t):
+    return extracted(t).select("id", F.explode("payments").alias("p")).select("id", "p.payer", "p.payee", "p.direction")
+
+
+_HEADED = "concat('合同名称：', CASE WHEN id % 3 = 0 THEN concat('HT-', CAST(10000 + id AS STRING)) ELSE concat('设备采购 ', CAST(id AS STRING)) END, chr(10), CASE WHEN id % 2 = 0 THEN concat('终止日期：2031-2-', CAST(1 + id % 31 AS STRING)) ELSE concat('2030年1月2日至2031年', CAST(1 + id % 13 AS STRING), '月4日') END, chr(10), text)"
+
+
+@query("texts", sql=f"""
+WITH h AS (SELECT id, {_HEADED.replace('STRING', 'VARCHAR')} AS t FROM texts),
+x AS (SELECT id, t, regexp_extract(substr(t, 1, 600), {_q('(?i)' + tx.CONTRACT_NO)}, 1) AS no, trim(regexp_extract(substr(t, 1, 500), {_q(tx.TITLE.replace(chr(92) + 's*(', '[ ' + chr(92) + 'n]*('))}, 1)) AS title FROM h)
+SELECT id, CASE WHEN title = no OR regexp_full_match(title, '[A-Za-z0-9/-]+') OR (no <> '' AND contains(title, no)) OR starts_with(title, '编号') THEN '' ELSE title END AS title,
+  CASE WHEN {_date('substr(t, 1, 1200)', tx.END)} <> '' THEN {_date('substr(t, 1, 1200)', tx.END)} ELSE {_date('substr(t, 1, 1200)', tx.RANGE, 4)} END AS end_date,
+  CASE WHEN {_date('substr(t, 1, 800)', tx.START)} <> '' THEN {_date('substr(t, 1, 800)', tx.START)} ELSE {_date('substr(t, 1, 1200)', tx.RANGE)} END AS start_date FROM x""")
+def t7_title_and_dates(t):
+    return extracted(t.withColumn("text", F.expr(_HEADED))).select("id", "title", "end_date", "start_date")
+
+
 @query("texts", sql=f"""
 WITH {_SEGS}, {_PAY}, {_TOTAL}, p AS (SELECT id, count(*) AS n, round(sum(amount), 2) AS paid, count(*) FILTER (WHERE due_date <> '') AS dated FROM pay WHERE amount IS NOT NULL GROUP BY id)
 SELECT t.id, total_amount, coalesce(n, 0) AS n_payments, NOT coalesce(total_amount <> 0 AND paid > 0 AND abs(paid - total_amount) / total_amount > 0.01, false) AS valid,
