@@ -63,3 +63,11 @@ def corners(points) -> dict[str, Column]:
     by = lambda key, last: F.element_at(F.array_sort(F.transform(points, lambda p: F.struct(key(p).alias("k"), p["x"].alias("x"), p["y"].alias("y")))), -1 if last else 1)
     plus, minus = (lambda p: p["x"] + p["y"]), (lambda p: p["y"] - p["x"])
     return {"tl": by(plus, False), "tr": by(minus, False), "br": by(plus, True), "bl": by(minus, True)}
+
+
+def corner_points(x: Column, y: Column) -> dict[str, Column]:
+    """``corners`` as aggregates over rows: the points (struct v, x, y; v the value compared) with the least and greatest x + y and y - x, ties going to the
+    least x, then y. No group is gathered."""
+    point = lambda v: F.struct(v.alias("v"), x.alias("x"), y.alias("y"))
+    last = lambda v: F.min(F.struct((-v).alias("v"), x.alias("x"), y.alias("y")))
+    return {"tl": F.min(point(x + y)), "tr": F.min(point(y - x)), "br": last(x + y), "bl": last(y - x)}

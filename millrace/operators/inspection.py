@@ -63,13 +63,18 @@ def p_value(score: Column, mu: Column, sigma: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - scores.normal_cdf((F.log1p(F.greatest(score, F.lit(0.0))) - mu) / sigma)))
 
 
-def empirical_p_value(rows: DataFrame, normal: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """(number of normal scores >= score, plus 1) / (n + 1), by one merged cumulative count per key."""
+def empirical_p_value(rows: DataFrame, normal: DataFrame, keys: list[str], score: str = "score", splits: int = 64) -> DataFrame:
+    """(number of normal scores >= score, plus 1) / (n + 1), by one merged cumulative count per key, taken inside ranges of scores and carried over
+    by the ranges' sums, so no group is sorted in one task."""
     both = rows.select(*keys, score, F.lit(0).alias("__normal")).unionByName(normal.filter(usable(score)).select(*keys, score, F.lit(1).alias("__normal")))
     per = both.groupBy(*keys, score).agg(F.sum("__normal").alias("__c"), (F.count(F.lit(1)) - F.sum("__normal")).alias("__q"))
-    w = Window.partitionBy(*keys)
-    at_least = F.sum("__c").over(w.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return per.withColumn("p_value", (at_least + 1.0) / (F.sum("__c").over(w) + 1.0)).filter("__q > 0").select(*keys, score, "p_value")
+    cuts = per.groupBy(*keys).agg(F.percentile_approx(score, [i / splits for i in range(1, splits)]).alias("__cuts"), F.sum("__c").alias("__n"))
+    per = per.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(score))))
+    sums = per.groupBy(*keys, "__part").agg(F.sum("__c").alias("__pc"))
+    above = F.coalesce(F.sum("__pc").over(Window.partitionBy(*keys).orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.join(sums.select(*keys, "__part", above.alias("__above")), [*keys, "__part"])
+    at_least = F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)) + F.col("__above")
+    return per.withColumn("p_value", (at_least + 1.0) / (F.col("__n") + 1.0)).filter("__q > 0").select(*keys, score, "p_value")
 
 
 def p_values(rows: DataFrame, normal: DataFrame, keys: list[str], epsilon: float = 0.1, score: str = "score") -> DataFrame:
@@ -110,17 +115,44 @@ def auroc(rows: DataFrame, keys: list[str], score: str = "score", label: str = "
     return out.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), float("nan")).otherwise(F.try_divide("w", F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auroc"))
 
 
-def drift(rows: DataFrame, key: str, window: int = 200, least: int = 30, factor: float = 3.0, floor: float = 0.05) -> DataFrame:
-    """Per observation (key, ts, event_id, score, tau, eps) the rate over tau among the last ``window`` and whether it is too high."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(-(window - 1), 0)
-    out = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rate", F.avg((F.col("score") > F.col("tau")).cast("double")).over(w)).withColumn("eps_ref", F.max("eps").over(w))
+def in_order(rows: DataFrame, key: str, name: str, ts: str = "ts", tie: str = "event_id", splits: int = 64) -> DataFrame:
+    """``rows`` numbered from 1 per key in order of time, then tie. Approximate quantiles of the time cut a key's history into ranges, numbered each
+    on its own and carried over by their counts."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = rows.groupBy(key).agg(F.percentile_approx(t, [i / splits for i in range(1, splits)]).alias("__cuts"))
+    placed = rows.join(cuts, key).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < t))).drop("__cuts")
+    counts = placed.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.join(counts.select(key, "__part", before.alias("__before")), [key, "__part"])
+    here = F.row_number().over(Window.partitionBy(key, "__part").orderBy(ts, tie))
+    return placed.withColumn(name, here + F.col("__before")).drop("__part", "__before")
+
+
+def in_blocks(rows: DataFrame, key: str, number: str, window: int, block: int = 10_000) -> DataFrame:
+    """``rows`` with __block and __carried: blocks of neighbouring numbers, each led by copies of the ``window`` - 1 rows before it, so that sliding
+    windows need one block alone."""
+    at = F.col(number) - 1
+    own = rows.withColumns({"__block": F.floor(at / block), "__carried": F.lit(False)})
+    tail = rows.filter(at % block > block - window).withColumns({"__block": F.floor(at / block) + 1, "__carried": F.lit(True)})
+    return own.unionByName(tail)
+
+
+def drift(rows: DataFrame, key: str, window: int = 200, least: int = 30, factor: float = 3.0, floor: float = 0.05, block: int = 10_000) -> DataFrame:
+    """Per observation (key, ts, event_id, score, tau, eps) the rate over tau among the last ``window`` and whether it is too high. A key's history is
+    worked in blocks."""
+    w = Window.partitionBy(key, "__block").orderBy("__rn").rowsBetween(-(window - 1), 0)
+    out = in_blocks(in_order(rows, key, "__rn"), key, "__rn", window, block)
+    out = out.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rate", F.avg((F.col("score") > F.col("tau")).cast("double")).over(w)).withColumn("eps_ref", F.max("eps").over(w))
+    out = out.filter(~F.col("__carried")).drop("__rn", "__block", "__carried")
     return out.withColumn("drifting", (F.col("n") >= least) & (F.col("rate") > F.greatest(factor * F.col("eps_ref"), F.col("eps_ref") + floor)))
 
 
-def latency(rows: DataFrame, key: str, value: str, window: int = 20) -> DataFrame:
-    """Sliding mean of the last ``window`` values, count so far and last value, per observation."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    return rows.withColumn("mean_last", F.round(F.avg(value).over(w.rowsBetween(-(window - 1), 0)), 1)).withColumn("seen", F.row_number().over(w)).withColumn("last", F.col(value))
+def latency(rows: DataFrame, key: str, value: str, window: int = 20, block: int = 10_000, digits: int = 1) -> DataFrame:
+    """Sliding mean of the last ``window`` values, count so far and last value, per observation; in blocks as ``drift``."""
+    w = Window.partitionBy(key, "__block").orderBy("seen").rowsBetween(-(window - 1), 0)
+    out = in_blocks(in_order(rows, key, "seen"), key, "seen", window, block)
+    out = out.withColumn("mean_last", F.round(F.avg(value).over(w), digits)).filter(~F.col("__carried")).drop("__block", "__carried")
+    return out.withColumn("last", F.col(value))
 
 
 def fusion_stage(n_cal: Column) -> Column:

@@ -98,8 +98,7 @@ def w5_drift(s):
 @query("scores", sql="""
 SELECT event_id, user_id, round(avg(score) OVER (x ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS mean_last, row_number() OVER x AS seen, score AS last FROM scores WINDOW x AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def w6_latency(s):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-19, 0)
-    rows = op.latency(s, "user_id", "score").withColumn("mean_last", F.round(F.avg("score").over(w), 6))
+    rows = op.latency(s, "user_id", "score", digits=6)
     return rows.select("event_id", "user_id", "mean_last", F.col("seen").cast("long").alias("seen"), "last")
 
 

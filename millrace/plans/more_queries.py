@@ -160,10 +160,14 @@ def m9_padded_rois(b):
     return b.withColumns({"w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1")}).select("det_id", *[c.alias(k) for k, c in p.items()])
 
 
-@query("boxes", sql="SELECT frame_id, min(x1 + y1) AS tl, min(y1 - x1) AS tr, max(x1 + y1) AS br, max(y1 - x1) AS bl FROM boxes GROUP BY frame_id")
+_POINT = "arg_min(CAST(x1 AS VARCHAR) || '/' || CAST(y1 AS VARCHAR), ({}, x1, y1))"
+
+
+@query("boxes", sql="SELECT frame_id, " + ", ".join(f"{_POINT.format(v)} AS {k}" for k, v in {"tl": "x1 + y1", "tr": "y1 - x1", "br": "-(x1 + y1)", "bl": "-(y1 - x1)"}.items()) + " FROM boxes GROUP BY frame_id")
 def m10_corners(b):
-    g = b.groupBy("frame_id").agg(F.collect_list(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))).alias("p"))
-    return g.select("frame_id", *[c["k"].alias(k) for k, c in geometry.corners("p").items()])
+    points = b.groupBy("frame_id").agg(*[c.alias(k) for k, c in geometry.corner_points(F.col("x1"), F.col("y1")).items()])
+    text = lambda k: F.concat(F.col(f"{k}.x").cast("string"), F.lit("/"), F.col(f"{k}.y").cast("string")).alias(k)
+    return points.select("frame_id", *[text(k) for k in ("tl", "tr", "br", "bl")])
 
 
 _SCENE = """

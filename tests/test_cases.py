@@ -188,3 +188,18 @@ def test_subspace_and_mixture_tell_shifted_vectors(spark):
     assert min(res[i] for i in range(300, 320)) > max(res[i] for i in range(300))
     nll, _ = op.DiagonalMixture(x).nll(np.vstack([x, bad]))
     assert nll[300:].min() > np.quantile(nll[:300], 0.95)
+
+
+def test_windows_in_small_blocks(spark):
+    """A hot key (90 % of all rows, many at one time) in blocks gives what one window over its whole history gives."""
+    from millrace.operators import inspection as ins
+
+    df = spark.range(3000).selectExpr("id AS event_id", "CASE WHEN id % 10 = 0 THEN concat('k', id % 7) ELSE 'hot' END AS key", "timestamp_seconds(CASE WHEN id % 3 = 0 THEN 500 ELSE (id * 7919) % 4000 END) AS ts", "CAST((id * 31) % 100 AS DOUBLE) AS score", "60.0D AS tau", "0.05D AS eps")
+    one = {r.event_id: (r.n, round(r.rate, 9), r.drifting) for r in ins.drift(df, "key", block=1_000_000).collect()}
+    few = {r.event_id: (r.n, round(r.rate, 9), r.drifting) for r in ins.drift(df, "key", block=250).collect()}
+    assert one == few and len(one) == 3000 and max(n for n, _, _ in one.values()) == 200
+    late = {r.event_id: (r.mean_last, r.seen) for r in ins.latency(df, "key", "score", block=40).collect()}
+    rows = sorted(df.filter("key = 'hot'").collect(), key=lambda r: (r.ts, r.event_id))
+    for i, r in enumerate(rows):
+        last = [x.score for x in rows[max(0, i - 19) : i + 1]]
+        assert late[r.event_id][1] == i + 1 and abs(late[r.event_id][0] - sum(last) / len(last)) <= 0.051
