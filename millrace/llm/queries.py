@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, line_dedup, minhash, packing, quality, sharding, substring, suffix, token_counts
+from . import decontam, exact_dedup, filter_audit, line_dedup, manifest, minhash, packing, pieces, quality, sharding, substring, suffix, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_merkle": manifest.op13_merkle,
 }
 
-SQL = {**decontam.SQL, **exact_dedup.SQL, **line_dedup.SQL}
+SQL = {**decontam.SQL, **exact_dedup.SQL, **line_dedup.SQL, **filter_audit.SQL, **manifest.SQL}
