@@ -75,6 +75,28 @@ SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS id, concat('P
 SELECT l_orderkey AS frame_id, l_linenumber AS box_id, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS det_id, CAST(l_partkey % 200 AS DOUBLE) AS x1, CAST(l_suppkey % 150 AS DOUBLE) AS y1,
   CAST(l_partkey % 200 AS DOUBLE) + l_quantity AS x2, CAST(l_suppkey % 150 AS DOUBLE) + l_quantity * 2 - 5 AS y2, l_discount * 10 AS score, l_returnflag AS label,
   CASE WHEN l_linestatus = 'O' THEN '2D' ELSE '3D' END AS kind FROM $lineitem""",
+    "images": """
+SELECT event_id AS image_id, ts, CASE WHEN user_id % 7 = 0 THEN '' WHEN user_id % 31 = 0 THEN NULL ELSE concat('P', CAST(user_id % 5 AS STRING)) END AS product, event_id % 97 <> 0 AS readable,
+  CASE WHEN event_id % 4 = 0 THEN '  ' WHEN event_id % 9 = 0 THEN NULL ELSE 'scratch' END AS prompt FROM $events""",
+    "signals": """
+SELECT event_id AS image_id, 'patchcore' AS source, value AS score, CAST(NULL AS INT) AS n_boxes, CASE WHEN event_id % 31 = 0 THEN 'inference failed' WHEN event_id % 5 = 0 THEN '' END AS error FROM $events WHERE event_id % 13 <> 0
+UNION ALL SELECT event_id, 'dinov2', CASE WHEN event_id % 17 = 0 THEN NULL ELSE value * 0.8 + 10 END, NULL, CASE WHEN event_id % 29 = 0 THEN 'out of memory' END FROM $events WHERE event_id % 10 <> 3
+UNION ALL SELECT event_id, 'dino', NULL, CAST(event_id % 3 AS INT), CASE WHEN event_id % 23 = 0 THEN 'no model' END FROM $events
+UNION ALL SELECT event_id, 'yolo', NULL, CAST(user_id % 2 AS INT), NULL FROM $events WHERE event_id % 3 = 0""",
+    "source_state": """
+SELECT concat('P', CAST(n_nationkey % 5 AS STRING)) AS product, CASE WHEN n_nationkey < 5 THEN 'patchcore' WHEN n_nationkey < 10 THEN 'dinov2' ELSE 'yolo' END AS source,
+  CASE WHEN n_nationkey = 7 OR n_nationkey >= 10 THEN NULL ELSE 100.0E0 + n_nationkey END AS tau,
+  CASE WHEN n_nationkey >= 10 THEN NULL WHEN n_nationkey % 5 = 1 THEN 20 WHEN n_nationkey % 5 = 2 THEN 5 ELSE 60 END AS n_cal, 0.1E0 AS epsilon
+FROM $nation WHERE n_nationkey < 14 AND n_nationkey <> 3""",
+    "cal_images": """
+SELECT event_id AS image_id, concat('C/', CAST(user_id AS STRING)) AS product, CASE WHEN event_type = 'error' AND user_id % 9 <> 0 THEN 'ng' ELSE 'cal' END AS role, event_id % 11 <> 0 AS readable FROM $events""",
+    "cal_scores": """
+SELECT event_id AS image_id, 'patchcore' AS source, CASE WHEN event_id % 37 = 0 THEN -1.0E0 ELSE value END AS score, CASE WHEN event_id % 19 = 0 THEN 'unreadable' END AS error FROM $events
+UNION ALL SELECT event_id, 'dinov2', CASE WHEN event_id % 23 = 0 THEN NULL ELSE value * 0.5 + 5 END, '' FROM $events WHERE event_id % 29 <> 0""",
+    "cal_state": """
+SELECT DISTINCT concat('C/', CAST(user_id AS STRING)) AS product, 'patchcore' AS source, user_id % 6 <> 0 AS registered, user_id % 4 <> 0 AS has_bank, 20.0E0 + user_id AS tau, user_id % 60 AS n_cal,
+  CASE WHEN user_id % 2 = 0 THEN 0.1E0 WHEN user_id % 3 = 0 THEN NULL ELSE 0.25E0 END AS epsilon FROM $events
+UNION ALL SELECT DISTINCT concat('C/', CAST(user_id AS STRING)), 'dinov2', true, user_id % 5 <> 0, CASE WHEN user_id % 10 = 1 THEN NULL ELSE 30.0E0 END, 3, 0.1E0 FROM $events WHERE user_id % 8 <> 0""",
 }
 
 
