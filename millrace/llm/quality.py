@@ -194,7 +194,8 @@ class Selection:
         weights = base.mapInArrow(_weigh(self.table), "doc_id long, weight double")
         self.weights = saved(weights, "weights").withColumn("key", gumbel_key("doc_id", "weight"))
         held = spark.createDataFrame([(int(i), bool(g)) for i, g in zip(ids[~fit], good[~fit], strict=True)], "doc_id long, good boolean")
-        checked = self.weights.join(F.broadcast(held), "doc_id").select("weight", "good").collect()  # at most LABELS rows
+        # One row a label, however many rows share its id: the worst weight counts. At most LABELS rows reach the driver.
+        checked = self.weights.join(F.broadcast(held), "doc_id").groupBy("doc_id").agg(F.min("weight").alias("weight"), F.first("good").alias("good")).collect()
         cut = best_cut(np.array([r.weight for r in checked]), np.array([r.good for r in checked], dtype=bool))
         k = self.weights.filter(F.col("weight") > cut).count()
         self.least = kth_largest(self.weights, k) if k else float("inf")
