@@ -43,12 +43,13 @@ def contained(a, b) -> Column:
     return intersection(a, b) / F.greatest(F.lit(1.0), (_c(a[2]) - _c(a[0])) * (_c(a[3]) - _c(a[1])))
 
 
-def padded(x, y, w, h, img_w: int, img_h: int, share: float) -> dict[str, Column]:
+def padded(x, y, w, h, img_w: float | Column, img_h: float | Column, share: float) -> dict[str, Column]:
     """x, y, w, h grown by a share of their size (rounded half to even) and clipped to the image."""
     x, y, w, h = map(_c, (x, y, w, h))
     pw, ph = F.bround(w * share), F.bround(h * share)
     left, top = F.greatest(F.lit(0.0), x - pw), F.greatest(F.lit(0.0), y - ph)
-    return {"x": left, "y": top, "w": F.least(F.lit(float(img_w)), x + w + pw) - left, "h": F.least(F.lit(float(img_h)), y + h + ph) - top}
+    right, bottom = (F.lit(v).cast("double") for v in (img_w, img_h))
+    return {"x": left, "y": top, "w": F.least(right, x + w + pw) - left, "h": F.least(bottom, y + h + ph) - top}
 
 
 def crop_scale(w, h, least: int = 256, most: int = 1024, cap: float = 4.0) -> Column:

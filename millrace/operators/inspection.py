@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions import geometry, scores
 
@@ -463,55 +462,6 @@ class Subspace:
         return rows.withColumn("residual", outside(vector))
 
 
-def plane_residuals(frames: DataFrame) -> DataFrame:
-    """Depth points (frame_id, x, y, value) with their deviation from a plane fitted robustly: least squares, inliers within
-    2.5 * 1.4826 MAD, fitted again. One frame is one group."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = np.isfinite(pdf["value"].to_numpy())
-        a = np.column_stack([pdf["x"], pdf["y"], np.ones(len(pdf))]).astype(np.float64)
-        z = pdf["value"].to_numpy(dtype=np.float64)
-        if ok.sum() < 3:
-            return pdf.assign(deviation=np.nan)
-        plane = np.linalg.lstsq(a[ok], z[ok], rcond=None)[0]
-        r = z - a @ plane
-        mad = 1.4826 * np.median(np.abs(r[ok] - np.median(r[ok])))
-        inside = ok & (np.abs(r - np.median(r[ok])) < 2.5 * max(mad, 1e-12))
-        if inside.sum() >= 3:
-            plane = np.linalg.lstsq(a[inside], z[inside], rcond=None)[0]
-        return pdf.assign(deviation=z - a @ plane)
-
-    return frames.groupBy("frame_id").applyInPandas(fit, T.StructType([*frames.schema.fields, T.StructField("deviation", T.DoubleType())]))
-
-
-def depth_regions(points: DataFrame, threshold: float = 0.5, least: int = 30) -> DataFrame:
-    """Connected regions (eight neighbours) of points that deviate by more than ``threshold``, with their figures."""
-    schema = "frame_id long, det_id int, x1 double, y1 double, x2 double, y2 double, area_px int, peak_mm double, abs_peak_mm double, polarity string"
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        hot = pdf[pdf["deviation"].abs() > threshold]
-        value = {(x, y): d for x, y, d in zip(hot["x"], hot["y"], hot["deviation"], strict=True)}
-        out, left = [], set(value)
-        while left:
-            todo, region = [left.pop()], []
-            while todo:
-                x, y = todo.pop()
-                region.append((x, y))
-                for q in [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
-                    if q in left:
-                        left.remove(q)
-                        todo.append(q)
-            if len(region) >= least:
-                xs, ys = zip(*region, strict=True)
-                peak = max((value[p] for p in region), key=abs)
-                out.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1, len(region), peak, abs(peak), "凸起" if peak > 0 else "凹陷"))
-        out.sort(key=lambda r: (-r[6], r[:4]))
-        frame = int(pdf["frame_id"].iloc[0])
-        return pd.DataFrame([(frame, i, *map(float, r[:4]), *r[4:]) for i, r in enumerate(out)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return points.groupBy("frame_id").applyInPandas(label, schema)
-
-
 def gate(name: str, value: Column, least: Column) -> Column:
     """An acceptance gate as a struct: a missing value fails."""
     return F.struct(F.lit(name).alias("gate"), value.alias("value"), F.coalesce(value >= least, F.lit(False)).alias("passed"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import geometry, scores
 from millrace.operators import inspection as op
+from millrace.operators import regions
 
 from .proxies import tables, with_sql
 
@@ -176,7 +177,28 @@ def v12_depth_fusion(b):
     return op.fuse_depth(b.filter("kind = '3D'").select(*cols), b.filter("kind = '2D'").select(*cols))[0]
 
 
-@query("boxes")
+_FOLD = """rec(map_id, i, kept) AS (
+  SELECT DISTINCT map_id, 0, CAST([] AS STRUCT(roi_id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, score DOUBLE)[]) FROM cand
+  UNION ALL
+  SELECT c.map_id, c.i + 1, CASE WHEN len(kept) >= 3 OR len(list_filter(kept, lambda k: greatest(0, least(r.x + r.w, k.x + k.w) - greatest(r.x, k.x)) * greatest(0, least(r.y + r.h, k.y + k.h) - greatest(r.y, k.y)) / greatest(1, r.w * r.h) >= 0.6::DOUBLE)) > 0
+    THEN kept ELSE list_append(kept, {'roi_id': r.roi_id, 'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h, 'score': r.score}) END
+  FROM rec c JOIN cand r ON r.map_id = c.map_id AND r.rn = c.i + 1
+), ends AS (SELECT map_id, arg_max(kept, i) AS kept FROM rec GROUP BY map_id),
+chosen AS (SELECT map_id, unnest(kept) AS r, unnest(range(1, len(kept) + 1)) AS rank FROM ends)"""
+
+
+def _padded(w: str, h: str) -> str:
+    """SQL of the fields of a region grown by a quarter and clipped."""
+    left, top = "greatest(0, x - round_even(w * 0.25::DOUBLE, 0))", "greatest(0, y - round_even(h * 0.25::DOUBLE, 0))"
+    return f"{left} AS x, {top} AS y, least({w}, x + w + round_even(w * 0.25::DOUBLE, 0)) - {left} AS w, least({h}, y + h + round_even(h * 0.25::DOUBLE, 0)) - {top} AS h"
+
+
+@query("boxes", sql=f"""
+WITH RECURSIVE b AS (SELECT frame_id AS map_id, det_id AS roi_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, score FROM boxes WHERE x2 > x1 AND y2 > y1),
+p AS (SELECT map_id, roi_id, {_padded('260', '260')}, score FROM b),
+cand AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY score DESC, roi_id) AS rn FROM p WHERE w >= 4 AND h >= 4),
+{_FOLD}
+SELECT map_id AS frame_id, r.roi_id, r.x, r.y, r.w, r.h, r.score, CAST(rank AS INT) AS rank FROM chosen""")
 def v13_select_rois(b):
     rois = b.filter("x2 > x1 and y2 > y1").select("frame_id", F.col("det_id").alias("roi_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), "score")
     p = geometry.padded("x", "y", "w", "h", 260, 260, 0.25)
@@ -383,22 +405,89 @@ def v7_subspace_residual(e):
     return op.Subspace(e).residual(e).select("vec_id", "residual")
 
 
-def _mock_frames(spark, frames: int = 4, side: int = 48):
-    """Synthetic depth frames: a tilted plane with one bump or dent each."""
-    p = spark.range(frames * side * side).select((F.col("id") / (side * side)).cast("long").alias("frame_id"), (F.col("id") % side).cast("int").alias("x"), ((F.col("id") / side).cast("long") % side).cast("int").alias("y"))
-    bump = F.when((F.abs(F.col("x") - 20) <= 4) & (F.abs(F.col("y") - 15) <= 3), F.when(F.col("frame_id") % 2 == 0, 1.5).otherwise(-2.0)).otherwise(0.0)
-    return p.withColumn("value", 100 + 0.01 * F.col("x") + 0.008 * F.col("y") + bump)
-
-
-def s12_mock_depth_frame(spark, sf_dir):
-    return _mock_frames(spark)
-
-
-def m16_depth_regions(spark, sf_dir):
-    return op.depth_regions(op.plane_residuals(_mock_frames(spark)))
-
-
-QUERIES |= {"s12_mock_depth_frame": s12_mock_depth_frame, "m16_depth_regions": m16_depth_regions}
+_PIXELS = "px AS (SELECT vec_id // 64 AS map_id, vec_id % 64 AS y, unnest(range(0, len(embedding))) AS x, unnest(embedding)::DOUBLE AS value FROM embeddings)"
+_SPREAD = """nb AS (SELECT dx, dy FROM (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)),
+lab(it, map_id, x, y, label, moved) AS (
+  SELECT 0, map_id, x, y, y * 64 + x, true FROM mask
+  UNION ALL
+  SELECT any_value(l.it) + 1, l.map_id, l.x, l.y, min(n.label), min(n.label) < any_value(l.label) FROM lab l, nb JOIN lab n ON n.map_id = l.map_id AND n.x = l.x + nb.dx AND n.y = l.y + nb.dy
+  WHERE (SELECT bool_or(moved) FROM lab) GROUP BY l.map_id, l.x, l.y
+), labels AS (SELECT map_id, x, y, label FROM lab WHERE it = (SELECT max(it) FROM lab))"""
+_HEAT = f"""{_PIXELS}, per AS (SELECT map_id, min(value) AS lo, max(value) AS hi, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY map_id HAVING max(value) - min(value) >= 1e-9),
+nm AS (SELECT px.map_id, x, y, w, h, (value - lo) / (hi - lo) AS norm FROM px JOIN per USING (map_id)),
+k AS (SELECT dx, dy FROM (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE NOT (abs(dy) = 2 AND dx <> 0)),
+grown AS (SELECT DISTINCT map_id, x + dx AS x, y + dy AS y FROM nm, k WHERE norm >= 0.8 AND x + dx BETWEEN 0 AND w - 1 AND y + dy BETWEEN 0 AND h - 1),
+mask AS (SELECT nm.map_id, nm.x, nm.y FROM nm JOIN k ON nm.x + dx BETWEEN 0 AND w - 1 AND nm.y + dy BETWEEN 0 AND h - 1 LEFT JOIN grown g ON g.map_id = nm.map_id AND g.x = nm.x + dx AND g.y = nm.y + dy GROUP BY ALL HAVING count(*) = count(g.x)),
+{_SPREAD},
+comp AS (SELECT map_id, label AS roi_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM labels GROUP BY map_id, label),
+heat AS (SELECT c.map_id, c.roi_id, c.x, c.y, c.w, c.h, avg(nm.norm) AS score FROM comp c JOIN per ON per.map_id = c.map_id AND c.area >= 0.001::DOUBLE * per.w * per.h
+  JOIN mask m ON m.map_id = c.map_id AND m.x BETWEEN c.x AND c.x + c.w - 1 AND m.y BETWEEN c.y AND c.y + c.h - 1 JOIN nm ON nm.map_id = m.map_id AND nm.x = m.x AND nm.y = m.y GROUP BY ALL)"""
+
+
+@on_table("embeddings", sql=f"WITH RECURSIVE {_HEAT} SELECT map_id, roi_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, round(score, 9) AS score FROM heat")
+def v13_heat_regions(e):
+    """Regions of heat maps: 64 neighbouring vectors are a map, a vector is a pixel row."""
+    return regions.heat_rois(regions.grid_of_vectors(e, 64), 0.8, 0.001).withColumn("score", F.round("score", 9)).drop("mw", "mh")
+
+
+def v13_map_rois(spark, sf_dir):
+    """The regions to look at closely, from heat maps and detected boxes together."""
+    maps = regions.grid_of_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 64)
+    boxes = tables(spark, sf_dir, "boxes")[0].select(F.col("frame_id").alias("map_id"), F.col("det_id").alias("roi_id"), "x1", "y1", "x2", "y2", "score")
+    out = regions.select_map_rois(maps, boxes, min_area=0.001, rel_thresh=0.8)
+    return out.withColumn("score", F.round("score", 9))
+
+
+QUERIES["v13_map_rois"] = v13_map_rois
+SQL["v13_map_rois"] = with_sql(f"""
+WITH RECURSIVE {_HEAT}, d AS (SELECT frame_id AS map_id, 1099511627776 + det_id AS roi_id, round_even(x1, 0) AS x, round_even(y1, 0) AS y, round_even(x2 - x1, 0) AS w, round_even(y2 - y1, 0) AS h, score FROM boxes WHERE x2 > x1 AND y2 > y1),
+allr AS (SELECT * FROM heat UNION ALL SELECT * FROM d),
+size AS (SELECT map_id, max(x) + 1 AS mw, max(y) + 1 AS mh FROM px GROUP BY map_id HAVING max(x) >= 7 AND max(y) >= 7),
+p AS (SELECT map_id, roi_id, {_padded('mw', 'mh')}, score FROM allr JOIN size USING (map_id)),
+cand AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY score DESC, roi_id) AS rn FROM p WHERE w >= 4 AND h >= 4),
+{_FOLD}
+SELECT map_id, r.roi_id, r.x, r.y, r.w, r.h, round(r.score, 9) AS score, CAST(rank AS INT) AS rank FROM chosen""", "boxes")
+
+
+def _depth_frames(e):
+    """Depth maps from a table of vectors: a tilted plane, and the vectors' values as heights over it; every 50th pixel has no depth."""
+    p = regions.grid_of_vectors(e, 64)
+    height = 100 + 0.01 * F.col("x") + 0.008 * F.col("y") + 4 * F.col("value")
+    return p.withColumn("value", F.when((F.col("x") * 7 + F.col("y") * 13) % 50 != 0, height))
+
+
+_PLANE = "covar_pop(x, {z}) AS xz, covar_pop(y, {z}) AS yz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, avg(x) AS mx, avg(y) AS my, avg({z}) AS mz"
+_ABC = "(xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b, mx, my, mz"
+_FRAMES = f"{_PIXELS}, fr AS (SELECT map_id, x, y, CASE WHEN (x * 7 + y * 13) % 50 <> 0 THEN 100 + 0.01::DOUBLE * x + 0.008::DOUBLE * y + 4 * value END AS value FROM px)"
+_DEPTH = f"""{_FRAMES},
+ok AS (SELECT * FROM fr WHERE value IS NOT NULL),
+p1 AS (SELECT map_id, {_ABC} FROM (SELECT map_id, {_PLANE.format(z='value')} FROM ok GROUP BY map_id)),
+r1 AS (SELECT ok.*, value - (mz + a * (x - mx) + b * (y - my)) AS r FROM ok JOIN p1 USING (map_id)),
+m1 AS (SELECT map_id, median(r) AS mid, mad(r) AS mad FROM r1 GROUP BY map_id),
+p2 AS (SELECT map_id, {_ABC} FROM (SELECT map_id, {_PLANE.format(z='value')} FROM r1 JOIN m1 USING (map_id) WHERE abs(r - mid) < 2.5::DOUBLE * 1.4826::DOUBLE * (mad + 1e-6::DOUBLE) GROUP BY map_id)),
+dv AS (SELECT fr.map_id, x, y, value, coalesce(value - (mz + a * (x - mx) + b * (y - my)), 0) AS deviation FROM fr JOIN p2 USING (map_id))"""
+
+
+@on_table("embeddings", sql=f"WITH {_FRAMES} SELECT map_id, x, y, round(value, 9) AS value FROM fr")
+def s12_depth_frames(e):
+    """Depth frames as pixels."""
+    return _depth_frames(e).withColumn("value", F.round("value", 9))
+
+
+@on_table("embeddings", sql=f"WITH {_DEPTH} SELECT map_id, x, y, round(deviation, 6) AS deviation FROM dv")
+def m16_plane_deviations(e):
+    """Heights over a robustly fitted plane."""
+    return regions.deviations(_depth_frames(e)).select("map_id", "x", "y", F.round("deviation", 6).alias("deviation"))
+
+
+@on_table("embeddings", sql=f"""
+WITH RECURSIVE {_DEPTH}, mask AS (SELECT map_id, x, y FROM dv WHERE value IS NOT NULL AND abs(deviation) > 0.75::DOUBLE), {_SPREAD},
+g AS (SELECT map_id, label, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS area_px, arg_max(deviation, abs(deviation)) AS peak, avg(x) AS cx, avg(y) AS cy FROM labels JOIN dv USING (map_id, x, y) GROUP BY map_id, label HAVING count(*) >= 6)
+SELECT map_id, row_number() OVER (PARTITION BY map_id ORDER BY abs(peak) DESC, label) - 1 AS det_id, x1, y1, x2, y2, area_px, round(peak, 6) AS peak_mm, round(abs(peak), 6) AS abs_peak_mm, CASE WHEN peak > 0 THEN '凸起' ELSE '凹坑' END AS polarity, round(cx, 6) AS cx, round(cy, 6) AS cy FROM g""")
+def m16_depth_regions(e):
+    """Connected regions that rise over the fitted plane or sink below it."""
+    out = regions.depth_regions(regions.deviations(_depth_frames(e)), 0.75, 6)
+    return out.withColumns({c: F.round(c, 6) for c in ("peak_mm", "abs_peak_mm", "cx", "cy")})
 
 
 @query("boxes", sql="""
