@@ -11,7 +11,8 @@ of words that return are kept, in a table of bounded size. Under any other vocab
 Decoding joins the bytes of the pieces: byte pieces form runs that are read as UTF-8, an invalid byte
 becomes U+FFFD, control pieces are silent, the unknown piece has its own surface, and the one space that the model puts before a text goes.
 
-``check`` runs the sentencepiece library over the same Arrow batch and reports, per row, whether ids and text agree.
+The encoder is checked against the sentencepiece library in Arrow batches: all words that are new to a worker's tables in a batch go to the library in one call,
+and a difference fails the job. Whole texts can be compared too.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; ids of rows may be null or repeat, each row is encoded by
 itself; other columns are ignored; an empty table gives an empty result; a very long word takes one heap, n log n in its length.
@@ -34,12 +35,15 @@ SPACE = "▁"
 _PROBES = ["a", " a", "a ", "  a  b ", "a\tb\n c\r", "Ａ ﬁ é é", " 　x", "\x00​"]
 #: Longer words are encoded each time they come.
 LONGEST_KEPT = 48
+#: Up to so many symbols the agenda is a list, beyond a heap.
+SHORT = 40
+NEVER = float("inf")
 
 
 class PieceCodec:
     """Encoder and decoder of one model; tables of at most ``keep`` words and their older generation."""
 
-    def __init__(self, model_file: str, keep: int = 400_000):
+    def __init__(self, model_file: str, keep: int = 150_000):
         import sentencepiece
 
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -48,7 +52,8 @@ class PieceCodec:
         if any(model.is_unused(i) for i in plain):
             raise ValueError("models with unused pieces are not supported")
         self.id_of = {model.id_to_piece(i): i for i in plain}
-        self.score = {p: model.get_score(i) for p, i in self.id_of.items()}
+        #: What makes a pair come early in the agenda: less is earlier.
+        self.cost = {p: -model.get_score(i) for p, i in self.id_of.items()}
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = None if all(model.is_byte(i) for i in self.byte) else model.unk_id()
         self.normalised = all(model.normalize(t) == self._spaced(t) for t in _PROBES)  # nothing but the spaces changes
@@ -65,11 +70,15 @@ class PieceCodec:
         self.silent_ids = {i for i in ids if self.silent[i]}
         #: Only a piece that starts with the space sign loses it at the start of a text.
         self.leads = [not model.is_unknown(i) and not model.is_byte(i) and model.id_to_piece(i).startswith(SPACE) for i in ids]
+        self.fresh: list[tuple[str, int, array]] = []
         self.line_feed = self._ids("\n")
+        #: Ids of a line feed at the start of a text, which the library puts a space before.
+        self.line_start = len(self._ids(SPACE)) // 4 + len(self.line_feed) // 4
         # User-defined pieces have the score 0; any other kind of model shows in the ids of ordinary text.
-        odd = [p for p, x in self.score.items() if x == 0.0 and len(p) > 1] + ["An ordinary line of text, to tell the kind of model."]
+        odd = [p for p, x in self.cost.items() if x == 0.0 and len(p) > 1] + ["An ordinary line of text, to tell the kind of model."]
         if any(np.frombuffer(self.encode(f"x{p}x"), np.int32).tolist() != model.encode(f"x{p}x") for p in odd):
             raise ValueError("not a plain BPE model")
+        self.check_fresh()
         self.strips = model.decode([self.id_of[SPACE]]) == "" if SPACE in self.id_of else False
 
     @staticmethod
@@ -78,16 +87,33 @@ class PieceCodec:
 
     def agenda(self, s: str) -> list[str]:
         """The symbols of ``s`` (spaces written as the model does) after all merges."""
-        score, part = self.score, list(s)
+        part = list(s)
+        return part if len(part) < 2 else self._short(part) if len(part) <= SHORT else self._long(part)
+
+    def _short(self, part: list[str]) -> list[str]:
+        """The agenda as the list of the scores of neighbouring pairs: the best, of equals the leftmost, comes next."""
+        cost = self.cost.get
+        agenda = [cost(x + y, NEVER) for x, y in zip(part, part[1:])]
+        while True:
+            best = min(agenda)
+            if best == NEVER:
+                return part
+            i = agenda.index(best)
+            merged = part[i] = part[i] + part.pop(i + 1)
+            del agenda[i]
+            if not agenda:
+                return part
+            if i:
+                agenda[i - 1] = cost(part[i - 1] + merged, NEVER)
+            if i < len(agenda):
+                agenda[i] = cost(merged + part[i + 1], NEVER)
+
+    def _long(self, part: list[str]) -> list[str]:
+        """The agenda as a heap; entries whose symbols have changed since are skipped."""
+        cost = self.cost.get
         n = len(part)
-        if n < 2:
-            return part
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            got = score.get(part[i] + part[i + 1])
-            if got is not None:
-                heap.append((-got, i, i + 1, len(part[i]) + len(part[i + 1])))
+        heap = [(c, i, i + 1, 2) for i in range(n - 1) if (c := cost(part[i] + part[i + 1])) is not None]
         heapify(heap)
         while heap:
             _, a, b, size = heappop(heap)
@@ -99,17 +125,15 @@ class PieceCodec:
             after = right[a] = right[b]
             if after < n:
                 left[after] = a
-                got = score.get(merged + part[after])
-                if got is not None:
-                    heappush(heap, (-got, a, after, size + len(part[after])))
+                if (c := cost(merged + part[after])) is not None:
+                    heappush(heap, (c, a, after, size + len(part[after])))
             before = left[a]
-            if before >= 0:
-                got = score.get(part[before] + merged)
-                if got is not None:
-                    heappush(heap, (-got, before, a, size + len(part[before])))
+            if before >= 0 and (c := cost(part[before] + merged)) is not None:
+                heappush(heap, (c, before, a, size + len(part[before])))
         return [p for p in part if p]
 
-    def _ids(self, s: str) -> bytes:
+    def _ids(self, s: str, as_text: str | None = None, skip: int = 0) -> bytes:
+        """The ids of a stretch. Encoded by the library, ``as_text`` gives the same ids after its first ``skip``."""
         out = array("i")
         for p in self.agenda(s):
             i = self.id_of.get(p)
@@ -119,11 +143,22 @@ class PieceCodec:
                 out.extend([self.byte[b] for b in p.encode()])
             elif not out or out[-1] != self.unknown:  # neighbouring unknown characters are one piece
                 out.append(self.unknown)
+        if as_text is not None:
+            self.fresh.append((as_text, skip, out))
         return out.tobytes()
 
+    def check_fresh(self) -> int:
+        """Compare what was encoded anew since the last call with the library, in one call to it; the number of stretches. Words are apart in
+        both (see ``by_word``), so a text's ids agree when those of its words do."""
+        fresh, self.fresh = self.fresh, []
+        for (text, skip, got), want in zip(fresh, self.library.encode([t for t, _, _ in fresh], num_threads=1) if fresh else (), strict=True):
+            if got.tolist() != want[skip:]:
+                raise ValueError(f"the library encodes {text!r} differently")
+        return len(fresh)
+
     def _word(self, w: str) -> bytes:
         """The ids of a word and the space before it."""
-        got = self.older.get(w) or self._ids(SPACE + w)
+        got = self.older.get(w) or self._ids(SPACE + w, w)
         if len(w) <= LONGEST_KEPT:
             if len(self.words) >= self.keep:
                 self.older = dict(self.words)
@@ -133,7 +168,7 @@ class PieceCodec:
 
     def _first(self, w: str) -> bytes:
         """The ids of a word that starts a line."""
-        got = self._ids(w)
+        got = self._ids(w, "\n" + w, self.line_start)
         if len(w) <= LONGEST_KEPT:
             if len(self.firsts) >= self.keep // 4:
                 self.firsts.clear()
@@ -142,7 +177,7 @@ class PieceCodec:
 
     def _unit(self, s: str) -> bytes:
         """The ids of a run of spaces, alone or with the word behind it."""
-        got = self.units.get(s) or self._ids(s)
+        got = self.units.get(s) or self._ids(s, s.replace(SPACE, " ")[1:] or None)
         if len(s) <= LONGEST_KEPT:
             if len(self.units) >= self.keep // 4:
                 self.units.clear()
@@ -154,7 +189,7 @@ class PieceCodec:
         if not text:
             return b""
         if not self.by_word:
-            return self._ids(self._spaced(text) if self.normalised else self.library.normalize(text))
+            return self._ids(self._spaced(text) if self.normalised else self.library.normalize(text), text)
         out, word = [], self._word
         get = self.words.get
         for k, line in enumerate(text.replace(SPACE, " ").split("\n")):
@@ -239,11 +274,7 @@ def codec(model_file: str) -> PieceCodec:
     return _CODECS[model_file]
 
 
-def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False, batch_rows: int = 128) -> DataFrame:
-    """One row per document: doc_id, ids, and with ``check`` agrees (whether the library gives the same ids and, from them, the same text)."""
-    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("agrees", pa.bool_())] * check
-    schema = pa.schema(fields)
-
+def _rows(model_file: str, check: str | None, decode: bool, batch_rows: int, schema: pa.Schema):
     def run(batches):
         c = codec(model_file)
         for batch in batches:
@@ -251,16 +282,31 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                 part = batch.slice(at, batch_rows)
                 texts = part.column(1).to_pylist()
                 found = [c.encode(t) for t in texts]
+                if check:
+                    c.check_fresh()
+                else:
+                    c.fresh.clear()
                 ends = np.cumsum([0, *[len(x) // 4 for x in found]])
                 values = np.frombuffer(b"".join(found), dtype=np.int32)
                 cols = [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))]
-                if check:
+                if decode:
+                    cols.append(pa.array([c.decode(x.tolist()) for x in np.split(values, ends[1:-1])] if texts else [], pa.string()))
+                if check == "texts":
                     want = c.library.encode(texts, num_threads=1)
-                    same = [w == np.frombuffer(x, dtype=np.int32).tolist() and c.library.decode(w) == c.decode(w) for w, x in zip(want, found, strict=True)]
-                    cols.append(pa.array(same, pa.bool_()))
+                    cols.append(pa.array([w == x.tolist() and c.library.decode(w) == c.decode(w) for w, x in zip(want, np.split(values, ends[1:-1]), strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", agrees boolean" * check)
+    return run
+
+
+def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", check: str | None = "words", decode: bool = False, batch_rows: int = 128) -> DataFrame:
+    """One row per document: doc_id, ids, with ``decode`` decoded (the text of the ids).
+
+    With ``check`` 'words' every word that is not in a worker's tables yet is also encoded by the library, in one call for an Arrow batch, and a difference
+    fails the job. With 'texts' whole texts are compared as well, and agrees tells whether the library gives the same ids and, from them, the same text."""
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.string())] * decode + [("agrees", pa.bool_())] * (check == "texts")
+    kinds = "doc_id long, ids array<int>" + ", decoded string" * decode + ", agrees boolean" * (check == "texts")
+    return id_text(docs, id_col, text_col).mapInArrow(_rows(model_file, check, decode, batch_rows, pa.schema(fields)), kinds)
 
 
 def decode_ids(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -276,19 +322,13 @@ def decode_ids(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_c
     return encoded.withColumn(text_col, arrow_udf(run, "string")(F.col(ids_col)))
 
 
-def encode_and_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
-    """One row per document: doc_id, ids, decoded, and with ``check`` agrees."""
-    return decode_ids(encode_texts(docs, model_file, id_col, text_col, check), model_file)
-
-
 def op11_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    out = encode_texts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        "agrees",
     )

@@ -67,6 +67,23 @@ def test_tables_are_bounded_and_forgetting_changes_nothing():
     assert len(c.words) <= 50 and len(c.older) <= 50 and len(c.firsts) <= 13 and len(c.units) <= 13
 
 
+def test_a_difference_from_the_library_is_found():
+    c = pieces.PieceCodec(MODEL)
+    c.encode("plain words\nand  more")
+    assert c.check_fresh() >= 4 and c.check_fresh() == 0
+    c.words["broken"] = c._ids("▁broken", "brokem")
+    with pytest.raises(ValueError, match="brokem"):
+        c.check_fresh()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(SCRAPS), max_size=60))
+def test_list_and_heap_agree(scraps):
+    c, part = pieces.codec(MODEL), list("".join(scraps).replace(" ", "▁"))
+    if len(part) > 1:
+        assert c._short(part[:]) == c._long(part[:])
+
+
 def test_whole_texts_where_words_are_not_apart():
     c = pieces.PieceCodec(MODEL)
     c.by_word = False
@@ -80,10 +97,12 @@ def test_encode_texts_rows(spark):
     rows = [(1, "A text"), (1, "another  text "), (None, "A text"), (2, None), (3, ""), (4, " lead"), (5, "é" * 3000)]
     df = wide(spark, [(d, t, None, None, 0) for d, t in rows])
     lib = pieces.codec(MODEL).library
-    got = pieces.encode_and_decode(df, MODEL, check=True).collect()
+    got = pieces.encode_texts(df, MODEL, check="texts", decode=True).collect()
     want = sorted((str(d), lib.encode(t or ""), lib.decode(lib.encode(t or ""))) for d, t in rows)
     assert sorted((str(r.doc_id), list(r.ids), r.decoded) for r in got) == want and all(r.agrees for r in got)
-    assert pieces.encode_and_decode(df.limit(0), MODEL).count() == 0
+    assert pieces.encode_texts(df.limit(0), MODEL, decode=True).count() == 0
+    again = pieces.decode_ids(pieces.encode_texts(df, MODEL), MODEL).collect()
+    assert sorted((str(r.doc_id), list(r.ids), r.decoded) for r in again) == want
     part = spark.createDataFrame([([28705, 229],), (None,), ([],)], "ids array<int>")
     assert sorted(r.t for r in pieces.decode_ids(part, MODEL, text_col="t").collect()) == ["", "", lib.decode([28705, 229])]
 
@@ -94,8 +113,8 @@ def test_op11_digests(spark):
     want = {}
     for d in docs:
         ids = lib.encode(d.text or "")
-        want[d.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest(), True)
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.agrees) for r in queries.QUERIES["op11_sentencepiece"](spark, SF).collect()}
+        want[d.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.QUERIES["op11_sentencepiece"](spark, SF).collect()}
     assert got == want
 
 
