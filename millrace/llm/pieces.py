@@ -43,7 +43,7 @@ NEVER = float("inf")
 class PieceCodec:
     """Encoder and decoder of one model; tables of at most ``keep`` words and their older generation."""
 
-    def __init__(self, model_file: str, keep: int = 150_000):
+    def __init__(self, model_file: str, keep: int = 400_000):
         import sentencepiece
 
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -70,7 +70,7 @@ class PieceCodec:
         self.silent_ids = {i for i in ids if self.silent[i]}
         #: Only a piece that starts with the space sign loses it at the start of a text.
         self.leads = [not model.is_unknown(i) and not model.is_byte(i) and model.id_to_piece(i).startswith(SPACE) for i in ids]
-        self.fresh: list[tuple[str, int, array]] = []
+        self.fresh: list[tuple[str, int, list[int]]] = []
         self.line_feed = self._ids("\n")
         #: Ids of a line feed at the start of a text, which the library puts a space before.
         self.line_start = len(self._ids(SPACE)) // 4 + len(self.line_feed) // 4
@@ -134,25 +134,29 @@ class PieceCodec:
 
     def _ids(self, s: str, as_text: str | None = None, skip: int = 0) -> bytes:
         """The ids of a stretch. Encoded by the library, ``as_text`` gives the same ids after its first ``skip``."""
-        out = array("i")
-        for p in self.agenda(s):
-            i = self.id_of.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.unknown is None:
-                out.extend([self.byte[b] for b in p.encode()])
-            elif not out or out[-1] != self.unknown:  # neighbouring unknown characters are one piece
-                out.append(self.unknown)
+        parts, id_of = self.agenda(s), self.id_of
+        try:
+            out = [id_of[p] for p in parts]
+        except KeyError:
+            out = []
+            for p in parts:
+                i = id_of.get(p)
+                if i is not None:
+                    out.append(i)
+                elif self.unknown is None:
+                    out += [self.byte[b] for b in p.encode()]
+                elif not out or out[-1] != self.unknown:  # neighbouring unknown characters are one piece
+                    out.append(self.unknown)
         if as_text is not None:
             self.fresh.append((as_text, skip, out))
-        return out.tobytes()
+        return array("i", out).tobytes()
 
     def check_fresh(self) -> int:
         """Compare what was encoded anew since the last call with the library, in one call to it; the number of stretches. Words are apart in
         both (see ``by_word``), so a text's ids agree when those of its words do."""
         fresh, self.fresh = self.fresh, []
         for (text, skip, got), want in zip(fresh, self.library.encode([t for t, _, _ in fresh], num_threads=1) if fresh else (), strict=True):
-            if got.tolist() != want[skip:]:
+            if got != want[skip:]:
                 raise ValueError(f"the library encodes {text!r} differently")
         return len(fresh)
 
