@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -289,129 +285,6 @@ def nearest_share(rows: DataFrame, share: float, least: int, key: str = "vec_id"
     return near.filter("d2 < cut").select(key).unionByName(tied.filter("rn <= k - before").select(key))
 
 
-def nearest_distance(queries: DataFrame, bank: np.ndarray, vector: str = "embedding", block: int = 2048) -> DataFrame:
-    """Each row with the least Euclidean distance to a bank of vectors, by blocks of a matrix product. The bank is a coreset
-    of bounded size (see ``coreset``) and is broadcast."""
-    shared = queries.sparkSession.sparkContext.broadcast(np.asarray(bank, dtype=np.float64))
-
-    def run(frames):
-        b = shared.value
-        norms = (b * b).sum(axis=1)
-        for pdf in frames:
-            out = []
-            for at in range(0, len(pdf), block):
-                q = np.stack(pdf[vector].iloc[at : at + block].to_numpy()).astype(np.float64)
-                d = (q * q).sum(axis=1)[:, None] + norms[None, :] - 2 * q @ b.T
-                out.append(np.sqrt(np.maximum(d.min(axis=1), 0)))
-            yield pdf.drop(columns=[vector]).assign(distance=np.concatenate(out) if out else [])
-
-    rest = [f for f in queries.schema.fields if f.name != vector]
-    return queries.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["distance double"]))
-
-
-def coreset(vectors: np.ndarray, size: int) -> np.ndarray:
-    """Indexes of a greedy farthest-point selection, from the vector nearest the mean."""
-    x = np.asarray(vectors, dtype=np.float64)
-    chosen = [int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())]
-    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < min(size, len(x)):
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return np.array(chosen)
-
-
-def coreset_rows(features: DataFrame, size: int, order: str = "vec_id", vector: str = "embedding") -> list:
-    """Ids of a greedy farthest-point selection over all rows, from the vector nearest the mean; ties go to the least id. Each
-    round is one pass in which every task gives its best row; only the chosen vectors are kept on the driver."""
-    rows = features.select(F.col(order).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-
-    def best(near: np.ndarray, sign: int):
-        """The row with the greatest ``sign`` times distance to the nearest of ``near``."""
-
-        def run(frames):
-            for pdf in frames:
-                if len(pdf):
-                    x = np.stack(pdf["v"].to_numpy())
-                    far = np.full(len(x), np.inf)
-                    for c in near:
-                        far = np.minimum(far, ((x - c) ** 2).sum(axis=1))
-                    i = np.lexsort((pdf["id"].to_numpy(), -sign * far))[0]
-                    yield pdf.iloc[[i]].assign(score=sign * far[i])
-
-        found = rows.mapInPandas(run, "id long, v array<double>, score double")
-        return found.agg(F.min_by(F.struct("id", "v", "score"), F.struct(-F.col("score"), "id")).alias("r")).first().r
-
-    mean = [r.m for r in rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]
-    if not mean:
-        return []
-    first = best(np.array([mean]), -1)
-    ids, near = [first.id], [np.array(first.v)]
-    while len(ids) < size:
-        r = best(np.stack(near), 1)
-        if r.score <= 0:  # every row equals a chosen one
-            break
-        ids.append(r.id)
-        near.append(np.array(r.v))
-    return ids
-
-
-def feature_bank(features: DataFrame, ratio: float, cap: int = 25_000, seed: int = 2026, order: str = "vec_id", vector: str = "embedding") -> np.ndarray:
-    """A coreset of a hash-ordered sample of at most ``cap`` vectors."""
-    sample = features.orderBy(F.xxhash64(order, F.lit(seed)), order).limit(cap).select(vector).toPandas()
-    if sample.empty:
-        return np.empty((0, 0))
-    x = np.stack(sample[vector].to_numpy())
-    return x[coreset(x, max(100, int(len(x) * ratio)))]
-
-
-class DiagonalMixture:
-    """PCA whitening and a Gaussian mixture with diagonal covariances, fitted by EM on a bounded sample. With ``reseed`` rounds, components of
-    less than ``dead_share`` of an even weight start anew at points among the hundredth that fits worst, and the mixture is fitted again."""
-
-    def __init__(self, x: np.ndarray, dim: int = 64, components: int = 8, rounds: int = 50, seed: int = 0, reseed: int = 0, dead_share: float = 0.5):
-        x = np.asarray(x, dtype=np.float64)
-        n = len(x)
-        self.mean = x.mean(axis=0)
-        _, s, v = np.linalg.svd(x - self.mean, full_matrices=False)
-        k = max(1, min(dim, n - 1, x.shape[1], int((s > 1e-9 * s[0]).sum())))
-        self.axes = v[:k].T / (s[:k] / math.sqrt(max(n - 1, 1)))
-        z = (x - self.mean) @ self.axes
-        m = max(1, min(components, n // 10))
-        self.mu = z[np.random.default_rng(seed).permutation(n)[:m]]
-        self.var = np.tile(z.var(axis=0) + 1e-6, (m, 1))
-        self.weight = np.full(m, 1 / m)
-        self._fit(z, rounds)
-        rng = np.random.default_rng(2026)
-        for _ in range(reseed):
-            dead = np.flatnonzero(self.weight < dead_share / m)
-            if not len(dead):
-                break
-            logp = self._log(z)
-            worst = np.argsort(np.logaddexp.reduce(logp, axis=1), kind="stable")[: max(len(dead), n // 100, 1)]
-            self.mu[dead] = z[rng.choice(worst, size=len(dead), replace=len(dead) > len(worst))]
-            self.var = np.tile(z.var(axis=0) + 1e-6, (m, 1))
-            self.weight = np.full(m, 1 / m)
-            self._fit(z, rounds)
-
-    def _fit(self, z: np.ndarray, rounds: int) -> None:
-        n = len(z)
-        for _ in range(rounds):
-            logp = self._log(z)
-            r = np.exp(logp - np.logaddexp.reduce(logp, axis=1, keepdims=True))
-            mass = r.sum(axis=0) + 1e-12
-            self.weight, self.mu = mass / n, (r.T @ z) / mass[:, None]
-            self.var = np.maximum((r.T @ (z * z)) / mass[:, None] - self.mu**2, 1e-6)
-
-    def _log(self, z: np.ndarray) -> np.ndarray:
-        quad = ((z * z) @ (1 / self.var).T) - 2 * z @ (self.mu / self.var).T + (self.mu**2 / self.var).sum(axis=1)
-        return np.log(self.weight + 1e-300) - 0.5 * (quad + np.log(2 * math.pi * self.var).sum(axis=1))
-
-    def nll(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Negative log likelihood and the most likely component of each row."""
-        logp = self._log((np.asarray(x, dtype=np.float64) - self.mean) @ self.axes)
-        return -np.logaddexp.reduce(logp, axis=1), logp.argmax(axis=1)
-
-
 def robust_by_component(rows: DataFrame, score: str = "nll") -> DataFrame:
     """Scores centred and scaled by the median and 1.4826 MAD of their component; components of under five use the overall median, unscaled."""
     counts = rows.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
@@ -424,44 +297,6 @@ def robust_by_component(rows: DataFrame, score: str = "nll") -> DataFrame:
     return j.withColumn("normalised", (F.col(score) - F.when(few, F.col("all_med")).otherwise(F.col("med"))) / F.when(few | (F.col("mad") < 1e-9), 1.0).otherwise(F.col("mad"))).drop("c", "med", "mad", "all_med")
 
 
-class Subspace:
-    """A linear model of normal vectors: the residual outside the directions that explain ``share`` of the variance.
-
-    Mean and covariance are sums over all rows (d x d numbers reach the driver); only the eigenvectors are computed there."""
-
-    def __init__(self, features: DataFrame, vector: str = "embedding", share: float = 0.99):
-        d = features.select(F.size(vector).alias("d")).first().d
-
-        def moments(frames):
-            n, s, g = 0, np.zeros(d), np.zeros((d, d))
-            for pdf in frames:
-                if len(pdf):
-                    x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                    n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
-            yield pd.DataFrame({"i": range(d + 1), "v": [*g.tolist(), [*s.tolist(), float(n)]]})
-
-        sums = features.select(vector).mapInPandas(moments, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-        g = np.zeros((d + 1, d + 1))
-        g[sums["i"], sums["j"]] = sums["x"]
-        n, total = g[d, d], g[d, :d]
-        self.mean = total / n
-        values, axes = np.linalg.eigh((g[:d, :d] - np.outer(total, total) / n) / max(n - 1, 1))
-        values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
-        self.k = int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), share) + 1)
-        self.axes = axes[:, : self.k]
-
-    def residual(self, rows: DataFrame, vector: str = "embedding") -> DataFrame:
-        mean, axes = self.mean, self.axes
-
-        @F.pandas_udf("double")
-        def outside(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy()).astype(np.float64) - mean
-            p = x @ axes
-            return pd.Series(np.maximum((x * x).sum(axis=1) - (p * p).sum(axis=1), 0))
-
-        return rows.withColumn("residual", outside(vector))
-
-
 def gate(name: str, value: Column, least: Column) -> Column:
     """An acceptance gate as a struct: a missing value fails."""
     return F.struct(F.lit(name).alias("gate"), value.alias("value"), F.coalesce(value >= least, F.lit(False)).alias("passed"))

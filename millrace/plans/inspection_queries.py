@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -368,43 +367,6 @@ def v15_bootstrap_normals(e):
     return op.nearest_share(e, 0.75, 3)
 
 
-@on_table("embeddings")
-def v3_nearest_bank(e):
-    """Distance to the nearest vector of a bank chosen from the whole table; tests/test_inspection.py compares it with brute force."""
-    return op.nearest_distance(e.select("vec_id", "embedding"), op.feature_bank(e, 0.05)).withColumn("distance", F.round("distance", 5))
-
-
-@on_table("embeddings")
-def v1_feature_bank_score(e):
-    return op.nearest_distance(e.select("vec_id", "embedding"), op.feature_bank(e, 0.1))
-
-
-@on_table("embeddings")
-def v4_mixture_nll(e):
-    sample = e.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(50_000).select("embedding").toPandas()
-    model = e.sparkSession.sparkContext.broadcast(op.DiagonalMixture(np.stack(sample["embedding"].to_numpy())))
-
-    def run(frames):
-        for pdf in frames:
-            if len(pdf):
-                nll, best = model.value.nll(np.stack(pdf["embedding"].to_numpy()))
-                yield pdf[["vec_id"]].assign(nll=nll, component=best)
-
-    return e.select("vec_id", "embedding").mapInPandas(run, "vec_id long, nll double, component long")
-
-
-def v6_robust_components(spark, sf_dir):
-    return op.robust_by_component(QUERIES["v4_mixture_nll"](spark, sf_dir))
-
-
-QUERIES["v6_robust_components"] = v6_robust_components
-
-
-@on_table("embeddings")
-def v7_subspace_residual(e):
-    return op.Subspace(e).residual(e).select("vec_id", "residual")
-
-
 _PIXELS = "px AS (SELECT vec_id // 64 AS map_id, vec_id % 64 AS y, unnest(range(0, len(embedding))) AS x, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 _SPREAD = """nb AS (SELECT dx, dy FROM (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)),
 lab(it, map_id, x, y, label, moved) AS (

@@ -257,19 +257,6 @@ def w11_fixed_order(b):
     return rc.numbered(b, "frame_id", [rank, F.col("det_id"), F.col("x1"), F.col("y1")], "no").select("frame_id", "det_id", F.col("no").cast("long").alias("no"))
 
 
-@on_table("embeddings")
-def v2_coreset(e):
-    return e.sparkSession.createDataFrame(list(enumerate(op.coreset_rows(e, 100))), "place int, vec_id long")
-
-
-def m5_explained_variance(spark, sf_dir):
-    e = readers.table(spark, f"{sf_dir}/embeddings.parquet")
-    return spark.createDataFrame([(op.Subspace(e, share=s).k, s) for s in (0.5, 0.9, 0.99)], "components int, share double")
-
-
-QUERIES["m5_explained_variance"] = m5_explained_variance
-
-
 @query("qc_results", sql="SELECT CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE verdict = 'NG') AS ng_count FROM qc_results GROUP BY 1")
 def st_daily_windows(q):
     rows = q.groupBy(F.window("created_at", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "NG").alias("ng_count"))

@@ -170,26 +170,6 @@ def test_register_files(spark):
     assert sorted((r.id, r.contract_id) for r in rc.register_files(df).collect()) == [(1, 7), (3, None)]
 
 
-def test_depth_regions(spark):
-    from millrace.plans.inspection_queries import _mock_frames
-
-    r = op.depth_regions(op.plane_residuals(_mock_frames(spark))).collect()
-    assert len(r) == 4 and {x.area_px for x in r} == {63} and {round(x.peak_mm, 1) for x in r} == {1.5, -2.0}
-
-
-def test_subspace_and_mixture_tell_shifted_vectors(spark):
-    rng = np.random.default_rng(0)
-    basis = rng.normal(size=(4, 32))
-    x = rng.normal(size=(300, 4)) @ basis + 0.01 * rng.normal(size=(300, 32))
-    bad = x[:20] + rng.normal(size=32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *bad])], "vec_id long, embedding array<double>")
-    model = op.Subspace(df.filter("vec_id < 300"))
-    res = {r.vec_id: r.residual for r in model.residual(df).collect()}
-    assert min(res[i] for i in range(300, 320)) > max(res[i] for i in range(300))
-    nll, _ = op.DiagonalMixture(x).nll(np.vstack([x, bad]))
-    assert nll[300:].min() > np.quantile(nll[:300], 0.95)
-
-
 def test_windows_in_small_blocks(spark):
     """A hot key (90 % of all rows, many at one time) in blocks gives what one window over its whole history gives."""
     from millrace.operators import inspection as ins
