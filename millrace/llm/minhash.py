@@ -9,7 +9,8 @@ similarity 0.85 misses all of them with probability 6e-9, one of 0.8 with 5e-6.
 
 Links are confirmed on the full sets. Equal sets are one class from the start, known by a 128-bit digest, and are never compared.
 First every member of a bucket is tested against the bucket's leader (its most central member), so a bucket costs as many tests as it has members, and the links
-found merge components. Buckets whose members are then in one component are finished. In the others, elements that no other
+found merge components. Buckets whose members are then in one component are finished. The others get a new leader, who is tested against the members of other components, and
+so on, while rounds close buckets; a round costs a test a member at most. In buckets that stay open, elements that no other
 open class has can be in no intersection: the rest of a class bounds what it can share with any other, in all and by part of
 the hash space. Members that the bound keeps from any link leave (this settles large groups of copies just under the threshold);
 what remains are pairs of *different* components that share a bucket and that both bounds leave possible, and these are
@@ -170,6 +171,33 @@ def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary"), "links")
 
 
+def _lead_again(open_: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Rounds in which every open bucket gets a new leader, who meets the members of other components and then leaves the bucket. A round costs a
+    test a bucket row at most, links merge components at once, and buckets of one component are closed. Rounds go on while each finds links and closes a fifth of the
+    open rows, ``rounds`` of them at most; the caller settles exactly what is open then."""
+    rows = open_.count()
+    for round_ in range(rounds if rows else 0):
+        lead = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "comp")).alias("l"))
+        met = open_.join(lead, "key").select("key", "node", "n", "comp", F.col("l.node").alias("l"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp"))
+        near = met.filter((F.col("comp") != F.col("l_comp")) & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")))
+        ends = near.select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b"), "comp", "l_comp").dropDuplicates(["a", "b"])
+        links = _tested(ends.select("a", "b"), sets, percent)
+        merged = saved(components(ends.join(links, ["a", "b"]).select(F.col("comp").alias("a"), F.col("l_comp").alias("b"))), "merged")
+        # Components are named by one of their nodes, so a component's new name is also that of nodes without a label yet.
+        names = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+        known = labels.join(names, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+        added = merged.join(labels.select("node"), "node", "left_anti").select("node", "component")
+        new_labels = saved(known.unionByName(added), "labels")
+        rest = met.filter(F.col("node") != F.col("l")).join(names, F.col("comp") == F.col("old"), "left").select("key", "node", "n", F.coalesce("new", "comp").alias("comp"))
+        new_open = saved(_mixed(rest).drop("least_n"), "open")
+        found = not merged.isEmpty()
+        drop_saved(open_, labels, links, merged)
+        open_, labels, before, rows = new_open, new_labels, rows, new_open.count()
+        if not rows or not found or 5 * rows > 4 * before:
+            break
+    return open_, labels
+
+
 def _link_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) of every class that has a link. texts: t, text (bytes); classes: cls, t, n, bands."""
     rows = classes.select(F.col("cls").alias("node"), "n", F.explode("bands").alias("key"))
@@ -189,9 +217,10 @@ def _link_classes(texts: DataFrame, classes: DataFrame, percent: int) -> DataFra
     links = _tested(near.select(F.col("l").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
     labels = saved(components(links), "labels")
 
-    # What is left: buckets of several components, without their leaders and without the members that can have no link.
+    # What is left: buckets of several components, without their leaders, who have met everybody.
     open_ = buckets.filter(F.col("node") != F.col("l")).join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
     open_ = saved(_mixed(open_).drop("least_n"), "open")
+    open_, labels = _lead_again(open_, labels, sets, percent)
     nodes = open_.select("node").distinct()
     inside = sets.join(nodes, "node", "left_semi")
     own = inside.select("node", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
