@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, exact_dedup, minhash, packing, quality
-from millrace.llm.common import documents, drop_saved, saved
+from millrace.llm.common import documents, drop_saved, intermediates, saved
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Only the last stage's written result is left; what the stages wrote on their way is deleted."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with intermediates(spark) as made:
+            docs = saved(stage(spark, before, sf_dir), f"pipeline-{name}")
+            made.remove(docs._millrace_path)
         drop_saved(before)
     return docs
