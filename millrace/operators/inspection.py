@@ -190,14 +190,22 @@ def size_filter(boxes: DataFrame, keys: list[str], min_px: float = 0, max_px: fl
     return boxes.withColumn("area", geometry.area(geometry.box())).withColumn("kept", F.col("area").between(min_px, max_px))
 
 
-def overlapping(a: DataFrame, b: DataFrame, least: float = 0.1) -> DataFrame:
-    """Pairs of boxes of one frame whose overlap exceeds ``least``; frames meet by an equi-join and the sides are compared before the ratio."""
-    left = a.select("frame_id", *[F.col(c).alias(f"a_{c}") for c in a.columns if c != "frame_id"])
-    right = b.select("frame_id", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "frame_id"])
+def overlapping(a: DataFrame, b: DataFrame, least: float = 0.1, cell: float = 128.0) -> DataFrame:
+    """Pairs of boxes of one frame whose overlap exceeds ``least``. Boxes meet in the cells of a grid that they lie in, each pair in the one cell that holds
+    the corner of its overlap; the sides are compared before the ratio."""
     ba, bb = geometry.box("a_"), geometry.box("b_")
+
+    def placed(rows: DataFrame, side: str, box) -> DataFrame:
+        named = rows.select(F.col("frame_id").alias(f"{side}_frame"), *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "frame_id"])
+        cells = lambda low, high: F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
+        return named.withColumn(f"{side}_cx", cells(box[0], box[2])).withColumn(f"{side}_cy", cells(box[1], box[3]))
+
+    left, right = placed(a, "a", ba), placed(b, "b", bb)
+    meet = (F.col("a_frame") == F.col("b_frame")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy"))
+    once = (F.floor(F.greatest(ba[0], bb[0]) / cell) == F.col("a_cx")) & (F.floor(F.greatest(ba[1], bb[1]) / cell) == F.col("a_cy"))
     touch = (ba[0] < bb[2]) & (bb[0] < ba[2]) & (ba[1] < bb[3]) & (bb[1] < ba[3])
-    pairs = left.join(right, "frame_id").filter(touch).withColumn("iou", geometry.iou(ba, bb))
-    return pairs.filter(F.col("iou") > least)
+    pairs = left.join(right, meet).filter(touch & once).withColumn("iou", geometry.iou(ba, bb)).withColumnRenamed("a_frame", "frame_id")
+    return pairs.filter(F.col("iou") > least).drop("b_frame", "a_cx", "a_cy", "b_cx", "b_cy")
 
 
 def fuse_depth(depth: DataFrame, flat: DataFrame, mode: str = "or") -> tuple[DataFrame, DataFrame]:
@@ -280,9 +288,11 @@ def nearest_share(rows: DataFrame, share: float, least: int, key: str = "vec_id"
     k = F.greatest(F.lit(least), F.floor(F.col("n") * share))
     cut = kth_smallest(d, ["all"], "d2", F.least(k, F.col("n"))).select(F.col("d2").alias("cut"), k.alias("k"))
     near = d.crossJoin(F.broadcast(cut))  # one row
+    # Of the rows tied at the cut those of least key stay: again a rank, over the tied keys.
     before = near.filter("d2 < cut").agg(F.count(F.lit(1)).alias("before"))
-    tied = near.filter("d2 = cut").crossJoin(F.broadcast(before)).withColumn("rn", F.row_number().over(Window.partitionBy("all").orderBy(key)))
-    return near.filter("d2 < cut").select(key).unionByName(tied.filter("rn <= k - before").select(key))
+    tied = near.filter("d2 = cut").crossJoin(F.broadcast(before)).select(key, "all", (F.col("k") - F.col("before")).alias("room"))  # one row
+    last = kth_smallest(tied, ["all", "room"], key, F.least(F.col("room"), F.col("n"))).select("all", F.col(key).alias("last"))
+    return near.filter("d2 < cut").select(key).unionByName(tied.join(last, "all").filter(F.col(key) <= F.col("last")).select(key))
 
 
 def robust_by_component(rows: DataFrame, score: str = "nll") -> DataFrame:

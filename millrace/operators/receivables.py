@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import number_text
 
+from . import ranks
+
 
 def money(c: Column) -> Column:
     return F.round(F.coalesce(c, F.lit(0.0)), 2)
@@ -270,10 +272,10 @@ def python_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
-def audited_update(old: DataFrame, new: DataFrame, key: str, fields: list[str], operator: str = "ui_user") -> tuple[DataFrame, DataFrame]:
+def audited_update(old: DataFrame, new: DataFrame, key: str, fields: list[str], operator: str = "ui_user", now_text: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows after the update, audit rows: the key and AUDIT). ``new`` has the key and, for allow-listed fields only, the values to write; where it has
     a boolean column ``set_<field>``, that tells which of its rows write the field (else all do). A written value may be null. Every field whose text changes gives an
-    audit row; every row that is written gets the next version, whether a text changed or not."""
+    audit row; every row that is written gets the next version, whether a text changed or not, and the operator and time where the table has columns for them."""
     at = {f: F.col(f"__s_{f}") for f in fields}
     sets = [(F.col(f"set_{f}") if f"set_{f}" in new.columns else F.lit(True)).alias(f"__s_{f}") for f in fields]
     n = new.select(F.col(key).alias("__k"), *[F.col(f).alias(f"__n_{f}") for f in fields], *sets)
@@ -284,9 +286,10 @@ def audited_update(old: DataFrame, new: DataFrame, key: str, fields: list[str],
     audit = both.select(key, F.explode(diff).alias("d"))
     audit = audit.select(key, F.lit("update").alias("action"), F.lit(operator).alias("operator"), "d.field", "d.old_value", "d.new_value", F.lit("").alias("note"))
     now = both.withColumns({f: F.when(at[f], F.col(f"__n_{f}")).otherwise(F.col(f)) for f in fields})
-    if "version" in old.columns:
-        written = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in at.values()])
-        now = now.withColumn("version", F.when(written, F.coalesce("version", F.lit(1)) + 1).otherwise(F.col("version")))
+    written = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in at.values()])
+    stamp = F.lit(now_text) if now_text else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    touched = {"version": F.coalesce(F.col("version"), F.lit(1)) + 1 if "version" in old.columns else F.lit(None), "updated_by": F.lit(operator), "updated_at": stamp}
+    now = now.withColumns({c: F.when(written, v).otherwise(F.col(c)) for c, v in touched.items() if c in old.columns})
     return now.select(*old.columns), audit
 
 
@@ -308,6 +311,48 @@ def review(contracts: DataFrame, ids: DataFrame, reject: bool = False, reason: s
     return rows.withColumns(changes).select(*contracts.columns), audit, errors
 
 
+#: Columns of new rows with their types and defaults.
+NEW_CONTRACT = {
+    "title": ("string", ""), "raw_text": ("string", ""), "contract_no": ("string", ""), "our_party": ("string", ""), "counterparty": ("string", ""), "signer": ("string", ""),
+    "start_date": ("string", ""), "end_date": ("string", ""), "total_amount": ("double", None), "currency": ("string", "CNY"), "direction": ("string", "receivable"),
+    "extract_source": ("string", "llm"), "confidence": ("double", 0.0),
+}
+NEW_RECEIVABLE = {
+    "due_date": ("string", None), "amount": ("double", None), "currency": ("string", "CNY"), "condition_text": ("string", ""), "penalty": ("string", ""),
+    "direction": ("string", "receivable"), "status": ("string", "pending"), "source": ("string", "regex"),
+}
+NEW_ALERT = {"level": ("string", "yellow"), "rule": ("string", ""), "message": ("string", ""), "evidence": ("string", "")}
+
+
+def inserted(table: DataFrame, new: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
+    """``new`` with ids that go on from the greatest of ``table`` without a gap, in the order of the columns."""
+    top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
+    rows = ranks.gapless(new, [], order, "__rank").crossJoin(F.broadcast(top))  # one row
+    return rows.select((F.col("__top") + F.col("__rank") + 1).alias(id_col), *[c for c in new.columns if c != id_col])
+
+
+def insert_extracted(extracted: DataFrame, payments: DataFrame, alerts: DataFrame, contracts: DataFrame, receivables: DataFrame, risk_alerts: DataFrame) -> dict[str, DataFrame]:
+    """The rows that new documents add to each table: contracts, receivables and risk_alert.
+
+    extracted: file_path (one row a document) and any of the fields of a contract; payments and alerts: file_path, seq (their order in the document) and their
+    fields. Children bear the id that their document's contract got. Missing fields get their defaults; texts are cut to 20,000 characters."""
+
+    def default(rows: DataFrame, values: dict[str, tuple[str, object]]) -> DataFrame:
+        keep = {c: F.coalesce(F.col(c).cast(kind), F.lit(v).cast(kind)) if c in rows.columns else F.lit(v).cast(kind) for c, (kind, v) in values.items()}
+        return rows.withColumns(keep)
+
+    rows = default(extracted, NEW_CONTRACT)
+    both = F.trim(F.concat("our_party", F.lit(" / "), "counterparty"))
+    parties = F.regexp_replace(both, r"^[ /]+|[ /]+$", "")
+    rows = rows.withColumns({"parties": parties, "raw_text": F.substring(F.col("raw_text"), 1, 20_000), "status": F.lit("active"), "reviewed": F.lit(0)})
+    c = inserted(contracts, rows.select("file_path", "parties", "status", "reviewed", *NEW_CONTRACT), ["file_path"])
+    ids = c.select("file_path", F.col("id").alias("contract_id"))
+    pay = default(payments.join(ids, "file_path"), NEW_RECEIVABLE).withColumn("due_date", F.when(F.col("due_date") != "", F.col("due_date")))
+    r = inserted(receivables, pay.select("contract_id", "seq", *NEW_RECEIVABLE), ["contract_id", "seq"]).drop("seq")
+    a = inserted(risk_alerts, default(alerts.join(ids, "file_path"), NEW_ALERT).select("contract_id", "seq", *NEW_ALERT), ["contract_id", "seq"]).drop("seq")
+    return {"contracts": c, "receivables": r, "risk_alert": a}
+
+
 def structurally_valid() -> Column:
     """The extraction's own verdict, null counting as no; where there is none or it can't be read, a positive total."""
     said = F.try_variant_get(F.try_parse_json("structured_json"), "$.valid", "boolean")

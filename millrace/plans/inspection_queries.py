@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import geometry, scores
 from millrace.operators import inspection as op
-from millrace.operators import regions
+from millrace.operators import ranks, regions
 
 from .proxies import tables, with_sql
 
@@ -112,10 +111,23 @@ def w7_outliers(s):
 
 @query("scores", sql="SELECT product, count(*) AS n, CAST(greatest(3, count(*) // 5) AS BIGINT) AS held_out FROM scores GROUP BY product")
 def w8_split_sizes(s):
-    rn = F.row_number().over(Window.partitionBy("product").orderBy(F.xxhash64("event_id", F.lit(2026)), "event_id"))
-    rows = s.withColumn("rn", rn).join(s.groupBy("product").agg(F.count(F.lit(1)).alias("n")), "product")
-    rows = rows.withColumn("held", F.col("rn") <= F.greatest(F.lit(3), F.expr("n div 5")))
-    return rows.groupBy("product").agg(F.max("n").alias("n"), F.count_if("held").alias("held_out"))
+    """A fifth of each product's rows, three at least, in the order of a seeded hash."""
+    rows = ranks.split(s, ["product"], "event_id", F.greatest(F.lit(3), F.expr("n div 5")))
+    return rows.groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.count_if("held").alias("held_out"))
+
+
+@query("scores", sql="SELECT product, defect, count(*) AS n, CAST(greatest(1, floor(count(*) * 0.15::DOUBLE)) AS BIGINT) AS held_out FROM scores GROUP BY ALL")
+def w8_stratified_split(s):
+    """A share of every class of every product, one row at least."""
+    rows = ranks.split(s, ["product", "defect"], "event_id", F.greatest(F.lit(1), F.floor(F.col("n") * 0.15)), seed=42)
+    return rows.groupBy("product", "defect").agg(F.count(F.lit(1)).alias("n"), F.count_if("held").alias("held_out"))
+
+
+@query("scores", sql="SELECT product, count(*) AS n, count(*) AS numbers, 0::BIGINT AS lowest, count(*) - 1 AS highest FROM scores GROUP BY product")
+def w8_shuffled_ranks(s):
+    """Seeded shuffles: every product's rows numbered without a gap."""
+    rows = ranks.shuffled(s.select("product", "event_id"), ["product"], "event_id")
+    return rows.groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rank").alias("numbers"), F.min("rank").alias("lowest"), F.max("rank").alias("highest"))
 
 
 @query("boxes", sql="""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from millrace.functions import text as tx
 from millrace.operators import inspection as op
 from millrace.operators import receivables as rc
 from millrace.sources import readers, sinks
+from millrace.storage import shared_dir
 
 from .proxies import tables, with_sql
 
@@ -48,6 +51,45 @@ def s5_label_from_name(t):
     return t.select("p_partkey", readers.label_from_name(path).alias("label"))
 
 
+def _written(df, kind: str, **options) -> str:
+    """``df`` in files of another format, in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/millrace/{kind}-{uuid.uuid4().hex}"
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+@on_table("part", "SELECT concat('p', CAST(p_partkey AS VARCHAR), '.jpg') AS filename, trim(concat(p_name, ', \"', p_brand, '\"')) AS text FROM part")
+def s3_annotation_csv(t):
+    """Annotations written as CSV and read back."""
+    rows = t.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("filename"), F.concat(F.lit(" "), "p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("text"))
+    return readers.annotation_csv(t.sparkSession, _written(rows, "csv", header=True, escape='"'))
+
+
+@on_table("part", "SELECT concat('d/', CAST(p_partkey AS VARCHAR)) AS path, concat(p_name, chr(9), p_brand) AS text FROM part WHERE p_size % 7 <> 0")
+def s4_tab_labels(t):
+    """Label lines written as text and read back; lines without a tab are no labels."""
+    line = F.when(F.col("p_size") % 7 == 0, F.col("p_name")).otherwise(F.concat(F.lit("d/"), F.col("p_partkey").cast("string"), F.lit("\t"), "p_name", F.lit("\t"), "p_brand"))
+    return readers.tab_labels(t.sparkSession, _written(t.select(line.alias("value")), "text"))
+
+
+@query("boxes", sql="""
+SELECT concat('f', CAST(frame_id AS VARCHAR), '.jpg') AS filename, 640 AS width, 480 AS height, lower(label) AS label, x1 AS xmin, y1 AS ymin, x2 AS xmax, y2 AS ymax FROM boxes WHERE label IN ('R', 'N')""")
+def s6_voc_boxes(b):
+    """Annotations written as XML, one element a frame, and read back."""
+    box = F.struct(F.col("label").alias("name"), F.struct(F.col("x1").alias("xmin"), F.col("y1").alias("ymin"), F.col("x2").alias("xmax"), F.col("y2").alias("ymax")).alias("bndbox"))
+    size = F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(3).alias("depth"))
+    frames = b.groupBy("frame_id").agg(F.collect_list(box).alias("object")).select(F.concat(F.lit("f"), F.col("frame_id").cast("string"), F.lit(".jpg")).alias("filename"), size.alias("size"), "object")
+    return readers.voc_boxes(b.sparkSession, _written(frames, "xml", rootTag="annotations", rowTag="annotation"), ["r", "n"])
+
+
+@on_table("events", "SELECT CAST(event_id AS VARCHAR) AS ts, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, event_type AS logger, props AS msg, CASE WHEN event_type = 'error' THEN concat('Error ', CAST(user_id AS VARCHAR)) END AS exc FROM events")
+def s13_json_log(e):
+    """Log lines written as JSON and read with the schema of the log."""
+    error = F.col("event_type") == "error"
+    rows = e.select(F.col("event_id").cast("string").alias("ts"), F.when(error, "ERROR").otherwise("INFO").alias("level"), F.col("event_type").alias("logger"), F.col("props").alias("msg"), F.when(error, F.concat(F.lit("Error "), F.col("user_id").cast("string"))).alias("exc"))
+    return readers.json_log(e.sparkSession, _written(rows, "json"))
+
+
 @query("files", sql="""
 SELECT id, CASE id % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN CASE WHEN length(trim(content)) >= 30 THEN 'text' ELSE 'ocr' END WHEN 2 THEN 'ocr' WHEN 3 THEN 'ocr' ELSE 'rejected' END AS route FROM files""")
 def s10_document_route(f):

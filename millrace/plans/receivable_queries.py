@@ -243,15 +243,59 @@ def r23_appended_rows(c, r):
     return a.unionByName(b)
 
 
+# Row by row: the direction is always written, the title on every second contract, at times as null.
+_CHANGES = ["CASE WHEN id % 10 = 0 THEN NULL WHEN id % 4 = 0 THEN concat('New ', CAST(id AS STRING)) ELSE title END AS title", "CASE WHEN id % 6 = 0 THEN 'receivable' ELSE direction END AS direction"]
+
+
+_NEW = """n AS (SELECT *, row_number() OVER (ORDER BY file_path) AS rn FROM (SELECT concat('/new', file_path) AS file_path, id AS old_id, title, counterparty, signer, total_amount, confidence, direction FROM contracts WHERE status = 'active')),
+nc AS (SELECT n.*, (SELECT max(id) FROM contracts) + rn AS id FROM n)"""
+
+
+def _inserts(c, r, a):
+    new = c.filter("status = 'active'").select(F.concat(F.lit("/new"), "file_path").alias("file_path"), F.col("id").alias("old_id"), "title", "counterparty", "signer", "total_amount", "confidence", "direction")
+    named = new.select("file_path", "old_id")
+    pay = r.join(named, F.col("contract_id") == F.col("old_id")).select("file_path", F.col("id").alias("seq"), "due_date", "amount", F.when(F.col("amount") > 30000, F.col("status")).alias("status"))
+    alerts = a.join(named, F.col("contract_id") == F.col("old_id")).select("file_path", F.col("id").alias("seq"), F.col("rule"), "message")
+    return op.insert_extracted(new.drop("old_id"), pay, alerts, c, r, a)
+
+
+@query("contracts", "receivables", "risk_alert", sql=f"""
+WITH {_NEW} SELECT id, file_path, trim(concat('/ ', coalesce(counterparty, '')), ' /') AS parties, coalesce(title, '') AS title, coalesce(signer, '') AS signer, total_amount, 'CNY' AS currency, 'active' AS status, 0 AS reviewed, 'llm' AS extract_source FROM nc""")
+def r23_inserted_contracts(c, r, a):
+    """Contracts of new documents, with ids that go on from the greatest."""
+    return _inserts(c, r, a)["contracts"].select("id", "file_path", "parties", "title", "signer", "total_amount", "currency", "status", "reviewed", "extract_source")
+
+
+@query("contracts", "receivables", "risk_alert", sql=f"""
+WITH {_NEW} SELECT (SELECT max(id) FROM receivables) + row_number() OVER (ORDER BY nc.id, r.id) AS id, nc.id AS contract_id, nullif(due_date, '') AS due_date, amount, CASE WHEN amount > 30000 THEN r.status ELSE 'pending' END AS status, 'regex' AS source
+FROM receivables r JOIN nc ON r.contract_id = nc.old_id""")
+def r23_inserted_receivables(c, r, a):
+    """Their payments, under the new ids."""
+    return _inserts(c, r, a)["receivables"].select("id", "contract_id", "due_date", "amount", "status", "source")
+
+
+@query("contracts", "receivables", "risk_alert", sql=f"""
+WITH {_NEW} SELECT (SELECT max(id) FROM risk_alert) + row_number() OVER (ORDER BY nc.id, a.id) AS id, nc.id AS contract_id, 'yellow' AS level, rule, message, '' AS evidence FROM risk_alert a JOIN nc ON a.contract_id = nc.old_id""")
+def r23_inserted_alerts(c, r, a):
+    """Their alerts, under the new ids."""
+    return _inserts(c, r, a)["risk_alert"]
+
+
+@query("contracts", sql=f"""
+WITH n AS (SELECT id, {_CHANGES[0]}, {_CHANGES[1]} FROM contracts WHERE id % 3 <> 0)
+SELECT c.id, CASE WHEN n.id IS NOT NULL THEN 'li' ELSE 'import' END AS updated_by, CASE WHEN n.id IS NOT NULL THEN '1998-06-15 09:00:00' ELSE '1998-01-01 00:00:00' END AS updated_at, CASE WHEN n.id IS NOT NULL THEN 2 END AS version FROM contracts c LEFT JOIN n USING (id)""")
+def r24_touched(c):
+    """Who wrote a row last, and when."""
+    new = c.filter("id % 3 <> 0").selectExpr("id", *_CHANGES)
+    old = c.select("id", "title", "direction", F.lit("import").alias("updated_by"), F.lit("1998-01-01 00:00:00").alias("updated_at"), F.lit(None).cast("int").alias("version"))
+    return op.audited_update(old, new, "id", ["title", "direction"], operator="li", now_text="1998-06-15 09:00:00")[0].select("id", "updated_by", "updated_at", "version")
+
+
 @query("notification_log", sql="SELECT * FROM notification_log WHERE success = 1 ORDER BY id DESC LIMIT 100")
 def r20_delivered_notifications(n):
     return op.notification_list(n, success_only=True)
 
 
-# Row by row: the direction is always written, the title on every second contract, at times as null.
-_CHANGES = ["CASE WHEN id % 10 = 0 THEN NULL WHEN id % 4 = 0 THEN concat('New ', CAST(id AS STRING)) ELSE title END AS title", "CASE WHEN id % 6 = 0 THEN 'receivable' ELSE direction END AS direction"]
-
-
 @query("contracts", sql=f"""
 WITH n AS (SELECT id, {_CHANGES[0]}, {_CHANGES[1]} FROM contracts),
 f AS (SELECT c.id, 'title' AS field, c.title AS o, n.title AS v, c.id % 2 = 0 AS written FROM contracts c JOIN n USING (id) UNION ALL SELECT c.id, 'direction', c.direction, n.direction, true FROM contracts c JOIN n USING (id))
