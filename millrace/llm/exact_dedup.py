@@ -9,7 +9,7 @@ The aggregation combines on the map side, so a text that a third of all rows rep
 row per task. Rows then meet their group through an inner join on the hash, which adaptive execution may split.
 
 Defined cases: a null text counts as empty, and all empty texts are one group; a null id ranks last in its group
-and can stay only if no row of the group has an id; rows that repeat an id *and* its text
+and can stay only if no row of the group has an id; of rows that repeat the id that stays only the longest are kept, and rows that repeat an id *and* its text
 tie in every respect and share their fate. An empty table gives an empty result. Columns other than id and text
 are ignored.
 """
@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = saved(
         hashed.groupBy("h")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"), (F.min("norm") != F.max("norm")).alias("collides"))
-        .select("h", (-F.col("best.d")).alias("keep_id"), "group_size", "collides"),
+        .select("h", (-F.col("best.d")).alias("keep_id"), F.col("best.n").alias("keep_n"), "group_size", "collides"),
         "exact",
     )
     rows = hashed.select("doc_id", "n_codepoints", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Different texts under one hash: those few groups are formed again by the text itself.
     clash = hashed.join(groups.filter("collides").select("h"), "h", "left_semi")
     again = clash.groupBy("h", "norm").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    again = again.select("h", "norm", (-F.col("best.d")).alias("keep_id"), "group_size")
+    again = again.select("h", "norm", (-F.col("best.d")).alias("keep_id"), F.col("best.n").alias("keep_n"), "group_size")
     mixed = clash.join(again, ["h", "norm"]).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
     return _result(pure).unionByName(_result(mixed))
 
@@ -58,20 +58,21 @@ def _result(df: DataFrame) -> DataFrame:
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_codepoints") == F.col("keep_n"))).alias("kept"),
         "text_sha256",
         F.col("n_codepoints").cast("long").alias("n_codepoints"),
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Rows are rejected by id and text; of rows that repeat both, any one stays."""
-    this, text_key = free_name(docs, "exact_id"), free_name(docs, "exact_text")
-    flags = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(this), F.col("text_sha256").alias(f"{text_key}_gone")).distinct()
-    norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, "")
-    named = docs.withColumn(text_key, F.sha2(norm.cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col(this)) & (F.col(text_key) == F.col(f"{text_key}_gone"))
-    return named.join(sorted_side(flags), same, "left_anti").dropDuplicates(["doc_id", text_key]).drop(text_key)
+    """The documents that stay, with all their columns. Rows are rejected by id, normalised text and length, so an id's longest row stays; of rows that agree in
+    all three, any one stays."""
+    this, text_key, length = (free_name(docs, x) for x in ("exact_id", "exact_text", "exact_length"))
+    flags = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(this), F.col("text_sha256").alias(f"{text_key}_gone"), F.col("n_codepoints").alias(f"{length}_gone")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumns({text_key: F.sha2(F.translate(text, WHITE, "").cast("binary"), 256), length: F.char_length(text)})
+    same = F.col("doc_id").eqNullSafe(F.col(this)) & (F.col(text_key) == F.col(f"{text_key}_gone")) & (F.col(length) == F.col(f"{length}_gone"))
+    return named.join(sorted_side(flags), same, "left_anti").dropDuplicates(["doc_id", text_key, length]).drop(text_key, length)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop_saved, id_text, saved, sorted_side
+from .common import by_row, documents, drop_saved, id_text, saved, sorted_side
 
 MIN_LINES = 2
 LONG_LINE = 250  # bytes
@@ -89,7 +89,11 @@ def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame:
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_runs, longest_block (see ``longest_blocks``; 0 if
     no line occurs twice), kept_text."""
-    base = id_text(docs, id_col, text_col).select("doc_id", F.split("text", "\n").alias("lines"))
+    return by_row(id_text(docs, id_col, text_col), lambda rows: _line_dedup(rows, min_lines, long_line))
+
+
+def _line_dedup(texts: DataFrame, min_lines: int, long_line: int) -> DataFrame:
+    base = texts.select("doc_id", F.split("text", "\n").alias("lines"))
     line = lambda i: F.get(F.col("lines"), i)
     one = lambda i: F.struct(F.unhex(F.md5(line(i).cast("binary"))).alias("name"), (F.octet_length(line(i)) >= long_line).alias("long"))
     named = base.filter("doc_id is not null").select("doc_id", F.posexplode(F.transform(_filled(F.col("lines")), one)).alias("q", "x")).select("doc_id", "q", "x.name", "x.long")

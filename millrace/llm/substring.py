@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, saved
+from .common import by_row, documents, id_text, saved
 from .spans import ROWS, cut_spans, repeats_and_mixed, stretches
 
 MIN_CHUNK, SOFT_CHUNK, MAX_CHUNK = 16, 64, 96
@@ -72,7 +72,11 @@ def chunks(raw: bytes):
 
 def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets)."""
-    base = id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
+    return by_row(id_text(docs, id_col, text_col), lambda rows: _substring_dedup(rows, min_run))
+
+
+def _substring_dedup(texts: DataFrame, min_run: int) -> DataFrame:
+    base = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = base.filter("doc_id is not null").mapInArrow(stretches(chunks, None), ROWS)
     repeats = saved(repeats_and_mixed(rows, False).select("doc_id", F.col("start").alias("s"), (F.col("start") + F.col("extent")).alias("e")), "chunks")
     return cut_spans(base, repeats, min_run)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, saved, sorted_side
+from .common import by_row, documents, id_text, saved, sorted_side
 from .spans import ROWS, cut_spans, repeats_and_mixed, stretches
 
 LENGTH, K = 100, 32
@@ -183,7 +183,11 @@ def _crowded(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, group_rows: int = 20_000, many: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets)."""
-    base = id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
+    return by_row(id_text(docs, id_col, text_col), lambda rows: _repeated_strings(rows, length, group_rows, many))
+
+
+def _repeated_strings(texts: DataFrame, length: int, group_rows: int, many: int) -> DataFrame:
+    base = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = base.filter("doc_id is not null").mapInArrow(stretches(phrases(length), many), ROWS)
     found = saved(repeats_and_mixed(rows, True).select("t", "doc_id", "start", "extent", "mixed"), "phrases")
     whole = found.filter("not mixed").select("doc_id", F.col("start").alias("s"), (F.col("start") + F.col("extent") + length - 1).alias("e"))
