@@ -6,7 +6,7 @@ Patterns are written for Java's engine; ``U`` makes \\s, \\d and \\b follow Unic
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -28,7 +28,7 @@ TOTAL_KEYS = ("合同总价", "合同金额", "合同总额", "总金额", "总
 PAYMENT_KEYS = ("付款", "支付", "结算", "定金", "尾款", "预付款", "进度款", "验收款")
 ROLES_A = ("甲方", "发包方", "买方", "委托方", "需方")
 ROLES_B = ("乙方", "承包方", "卖方", "受托方", "供方")
-ROLE = "(" + "|".join(("甲方", "乙方", "发包方", "承包方", "买方", "卖方", "委托方", "受托方", "供方", "需方")) + ")"
+ROLE = "(甲方|乙方|发包方|承包方|买方|卖方|委托方|受托方|供方|需方)"
 CONTRACT_NO = r"(?:合同|协议|编号|编码|号码)\s*(?:编号|编码|号码)?\s*[:：]\s*([A-Za-z0-9\-/]{4,40})"
 SIGNER = r"(?:甲方代表|乙方代表|委托代理人|负责人|签署人|签字人)\s*[:：]\s*([\u4e00-\u9fa5A-Za-z]{2,10})"
 TITLE = r"(?:合同|协议)[名称]*[:：]?\s*([^\n]{4,40})"
@@ -56,6 +56,25 @@ PROMPT_WORDS = {
     "缺陷": "defect", "不良": "defect", "异常": "anomaly",
 }
 LABELS = {"missing_hole": "缺孔", "mouse_bite": "鼠咬", "open_circuit": "开路", "short": "短路", "spur": "毛刺", "spurious_copper": "杂铜"}
+PENALTY_WORDS = ("违约", "滞纳金", "罚则", "逾期")
+RISK_TEXTS = {
+    "amount_mismatch": "金额矛盾: 条款合计 {} ≠ 合同总额 {}",
+    "amount_mismatch_evidence": "合同总额={}, 条款合计={}",
+    "date_contradiction": "日期矛盾: 终止日 {} 早于起始日 {}",
+    "date_contradiction_evidence": "start_date={}, end_date={}",
+    "missing_penalty": "缺少违约条款: 所有收付款条目均无违约金/滞纳金约定",
+    "missing_penalty_evidence": "全文未找到违约/滞纳金相关条款",
+    "missing_signer": "未识别到签单人/负责人, 提醒将降级发送给默认联系人",
+    "missing_signer_evidence": "signer 字段为空",
+    "party_unidentified": "我方主体未识别: 请检查 config.yaml company.name 配置",
+    "party_unidentified_evidence": "our_party 字段为空",
+    "missing_amount": "未抽取到任何金额: 合同总额和条款金额均为空",
+    "missing_amount_evidence": "total_amount=null, payments 无有效金额",
+    "no_due_date": "所有条款均无绝对到期日, 回款日程无法自动排列, 需人工补充",
+    "no_due_date_evidence": "所有 payments[].due_date 为空",
+    "direction_unknown": "我方主体未配置, 方向待人工确认: 请检查 config.yaml company.name/aliases",
+    "direction_unknown_evidence": "direction=unknown, 无法判定应收/应付",
+}
 COLOURS = {"scratch": "0,165,255", "dent": "0,0,255", "crack": "0,0,200", "stain": "255,180,0", "burr": "0,200,200", "missing": "180,0,255", "deform": "0,100,255"}
 
 
@@ -117,10 +136,11 @@ def first_match(pairs: Sequence[tuple[Column, Column]], other: Column) -> Column
     return reduce(lambda rest, p: F.when(p[0], p[1]).otherwise(rest), reversed(pairs), other)
 
 
-def our_party(a: Column, b: Column, names: Sequence[str]) -> tuple[Column, Column]:
-    """(our party, the other one): names in order, each sought in a, then in b."""
-    tests = [(side.contains(n), mine, other) for n in names for side, mine, other in ((a, a, b), (b, b, a))]
+def our_party(a: Column, b: Column, names: Sequence[str], whole: Column | None = None) -> tuple[Column, Column]:
+    """(our party, the other one): names in order, each sought in a, then in b, then in ``whole``, the text of both parties, where the name itself is ours and the other
+    stays empty."""
     none = F.lit("")
+    tests = [(side.contains(n), mine, other) for n in names for side, mine, other in ((a, a, b), (b, b, a), *([] if whole is None else [(whole, F.lit(n), none)]))]
     return first_match([(t, m) for t, m, _ in tests], none), first_match([(t, o) for t, _, o in tests], none)
 
 
@@ -205,26 +225,57 @@ def extract_contracts(df: DataFrame, text: str, base: Column, names: Sequence[st
     return df.withColumns({"direction": F.when(blank, "receivable").otherwise(F.col("direction")), "valid": ~blank & F.col("valid"), "confidence": F.when(blank, 0.0).otherwise(F.col("confidence"))})
 
 
-def risks(text: Column) -> Column:
-    """Alerts of a contract (columns as of ``extract_contracts``) in rule order: array of (level, rule, message, evidence)."""
+def filled(message: str, *values: Column) -> Column:
+    """``message`` with the values in the places marked {}."""
+    parts = message.split("{}")
+    return F.concat(F.lit(parts[0]), *[x for v, after in zip(values, parts[1:], strict=True) for x in (v, F.lit(after))]) if values else F.lit(message)
+
+
+def alert(test: Column, level: str, rule: str, message: Column, evidence: Column) -> Column:
+    """A rule's alert where ``test`` holds, else null: what a risk rule returns."""
+    return F.when(test, F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"), message.alias("message"), evidence.alias("evidence")))
+
+
+def _rule(test: Column, level: str, rule: str, values: Sequence[Column] = (), shown: Sequence[Column] = (), evidence: Column | None = None) -> Column:
+    return alert(test, level, rule, filled(RISK_TEXTS[rule], *values), filled(RISK_TEXTS[f"{rule}_evidence"], *shown) if evidence is None else evidence)
+
+
+def risks(text: Column, added: Sequence[Callable[[Column], Column]] = ()) -> Column:
+    """Alerts of a contract (columns as of ``extract_contracts``) in rule order: array of (level, rule, message, evidence). ``added`` are further rules: functions of
+    the text that return an ``alert`` over the same columns; theirs come last, in order."""
     pays, total = F.col("payments"), F.coalesce("total_amount", F.lit(0.0))
     paid = F.aggregate(pays, F.lit(0.0), lambda s, p: s + F.coalesce(p["amount"], F.lit(0.0)))
     some = F.size(pays) > 0
-    alert = lambda test, level, rule, message, evidence: F.when(test, F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"), message.alias("message"), evidence.alias("evidence")))
-    lit = F.lit
-    found = first_match([(text.contains(k), F.substring(text, F.greatest(F.instr(text, k) - 10, lit(1)), F.least(F.instr(text, k) - 1, lit(10)) + 40)) for k in ("违约", "滞纳金", "罚则", "逾期")], lit("全文未找到违约/滞纳金相关条款"))
+    found = first_match([(text.contains(k), F.substring(text, F.greatest(F.instr(text, k) - 10, F.lit(1)), F.least(F.instr(text, k) - 1, F.lit(10)) + 40)) for k in PENALTY_WORDS], F.lit(RISK_TEXTS["missing_penalty_evidence"]))
     s, e = F.col("start_date"), F.col("end_date")
+    off = F.coalesce(F.try_divide(F.abs(paid - total), total) > 0.01, F.lit(False))
     rules = [
-        alert((total != 0) & (paid > 0) & F.coalesce(F.try_divide(F.abs(paid - total), total) > 0.01, lit(False)), "red", "amount_mismatch", F.concat(lit("金额矛盾: 条款合计 "), F.format_number(paid, 0), lit(" ≠ 合同总额 "), F.format_number(total, 0)), F.concat(lit("合同总额="), number_text(total), lit(", 条款合计="), number_text(paid))),
-        alert((s != "") & (e != "") & (e < s), "red", "date_contradiction", F.concat(lit("日期矛盾: 终止日 "), e, lit(" 早于起始日 "), s), F.concat(lit("start_date="), s, lit(", end_date="), e)),
-        alert(some & ~F.exists(pays, lambda p: F.trim(p["penalty"]) != ""), "yellow", "missing_penalty", lit("缺少违约条款: 所有收付款条目均无违约金/滞纳金约定"), found),
-        alert(F.trim("signer") == "", "yellow", "missing_signer", lit("未识别到签单人/负责人, 提醒将降级发送给默认联系人"), lit("signer 字段为空")),
-        alert(F.trim("our_party") == "", "yellow", "party_unidentified", lit("我方主体未识别: 请检查 config.yaml company.name 配置"), lit("our_party 字段为空")),
-        alert((total == 0) & ~F.exists(pays, lambda p: F.coalesce(p["amount"], lit(0.0)) != 0), "red", "missing_amount", lit("未抽取到任何金额: 合同总额和条款金额均为空"), lit("total_amount=null, payments 无有效金额")),
-        alert(some & ~F.exists(pays, lambda p: F.trim(p["due_date"]) != ""), "yellow", "no_due_date", lit("所有条款均无绝对到期日, 回款日程无法自动排列, 需人工补充"), lit("所有 payments[].due_date 为空")),
-        alert(F.col("direction") == "unknown", "yellow", "direction_unknown", lit("我方主体未配置, 方向待人工确认: 请检查 config.yaml company.name/aliases"), lit("direction=unknown, 无法判定应收/应付")),
+        _rule((total != 0) & (paid > 0) & off, "red", "amount_mismatch", (F.format_number(paid, 0), F.format_number(total, 0)), (number_text(total), number_text(paid))),
+        _rule((s != "") & (e != "") & (e < s), "red", "date_contradiction", (e, s), (s, e)),
+        _rule(some & ~F.exists(pays, lambda p: F.trim(p["penalty"]) != ""), "yellow", "missing_penalty", evidence=found),
+        _rule(F.trim("signer") == "", "yellow", "missing_signer"),
+        _rule(F.trim("our_party") == "", "yellow", "party_unidentified"),
+        _rule((total == 0) & ~F.exists(pays, lambda p: F.coalesce(p["amount"], F.lit(0.0)) != 0), "red", "missing_amount"),
+        _rule(some & ~F.exists(pays, lambda p: F.trim(p["due_date"]) != ""), "yellow", "no_due_date"),
+        _rule(F.col("direction") == "unknown", "yellow", "direction_unknown"),
     ]
-    return F.array_compact(F.array(*rules))
+    return F.array_compact(F.array(*rules, *[rule(text) for rule in added]))
+
+
+def plain_date(value) -> Column:
+    """A date written as four, two and two digits, else the empty text."""
+    t = F.trim(F.coalesce(_c(value).cast("string"), F.lit("")))
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t).otherwise("")
+
+
+def plain_payment(p: Column) -> Column:
+    """A payment (due_date, amount, currency, condition_text, penalty, payer, payee, all texts) in its normal form; null if it has neither an amount nor a
+    condition. Texts that are no number have no amount."""
+    amount = F.round(F.nullif(F.trim(p["amount"]), F.lit("")).try_cast("double"), 2)
+    cut = lambda c, n: F.substring(F.coalesce(p[c], F.lit("")), 1, n).alias(c)
+    currency = F.coalesce(F.nullif(p["currency"], F.lit("")), F.lit("CNY"))
+    out = F.struct(plain_date(p["due_date"]).alias("due_date"), amount.alias("amount"), currency.alias("currency"), cut("condition_text", 200), cut("penalty", 200), cut("payer", 100), cut("payee", 100))
+    return F.when(amount.isNotNull() | (F.coalesce(p["condition_text"], F.lit("")) != ""), out)
 
 
 def corrected(text, rules=CORRECTIONS) -> tuple[Column, Column]:

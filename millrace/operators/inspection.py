@@ -307,6 +307,26 @@ def robust_by_component(rows: DataFrame, score: str = "nll") -> DataFrame:
     return j.withColumn("normalised", (F.col(score) - F.when(few, F.col("all_med")).otherwise(F.col("med"))) / F.when(few | (F.col("mad") < 1e-9), 1.0).otherwise(F.col("mad"))).drop("c", "med", "mad", "all_med")
 
 
+def fusion_acceptance(rows: DataFrame, drop: float = 0.3) -> DataFrame:
+    """The acceptance figures of a fusion against the plain union, one row. rows: defect, any_ng (some source says NG), verdict. Recall counts NG and REVIEW; false alarms
+    count NG alone. Accepted where recall is no lower than the union's, false alarms are at least ``drop`` fewer and no defect that the union catches passes as OK."""
+    bad, good = F.col("defect") == 1, F.col("defect") == 0
+    share = lambda of, test: F.avg(F.when(of, test.cast("double")))
+    ng, kept = F.col("verdict") == "NG", F.col("verdict").isin("NG", "REVIEW")
+    r = rows.agg(
+        share(good, F.col("any_ng")).alias("base_fpr"),
+        share(bad, F.col("any_ng")).alias("base_recall"),
+        share(good, ng).alias("fpr_ng"),
+        share(good, F.col("verdict") == "REVIEW").alias("fpr_review"),
+        share(bad, ng).alias("recall_ng"),
+        share(bad, kept).alias("recall_effective"),
+        F.count_if(bad & F.col("any_ng") & (F.col("verdict") == "OK")).alias("leaked"),
+    )
+    r = r.withColumn("fpr_drop", F.when(F.col("base_fpr") > 0, (F.col("base_fpr") - F.col("fpr_ng")) / F.col("base_fpr")).otherwise(0.0))
+    passed = (F.col("recall_effective") >= F.col("base_recall") - 1e-9) & (F.col("fpr_drop") >= drop) & (F.col("leaked") == 0)
+    return r.withColumn("passed", F.coalesce(passed, F.lit(False)))
+
+
 def gate(name: str, value: Column, least: Column) -> Column:
     """An acceptance gate as a struct: a missing value fails."""
     return F.struct(F.lit(name).alias("gate"), value.alias("value"), F.coalesce(value >= least, F.lit(False)).alias("passed"))

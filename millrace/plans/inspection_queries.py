@@ -326,6 +326,25 @@ def v16_acceptance_gates(s):
     return r.select(F.explode(gates).alias("g")).select("g.gate", F.round("g.value", 6).alias("value"), "g.passed")
 
 
+@query("scores", sql=f"""
+WITH {_FLAGS}, x AS (
+  SELECT f.*, s.defect, len(ng) > 0 AS any_ng, list_min(list_filter([n1, n2], lambda n: coalesce(n, 0) > 0)) AS n_cal, len(list_filter([n1, n2], lambda n: coalesce(n, 0) > 0)) AS present,
+    len(list_filter(ng, lambda s: s IN ('patchcore', 'dinov2'))) AS cal, len(list_filter(ng, lambda s: s IN ('dino', 'yolo'))) AS uncal FROM flags f JOIN scores s USING (event_id)
+), v AS (SELECT *, CASE WHEN NOT any_ng THEN 'OK' WHEN n_cal IS NULL OR n_cal < 10 OR present < 2 OR cal >= 2 OR (cal = 1 AND uncal > 0) THEN 'NG' ELSE 'REVIEW' END AS verdict FROM x),
+r AS (SELECT avg(CAST(any_ng AS INT)) FILTER (WHERE defect = 0) AS base_fpr, avg(CAST(any_ng AS INT)) FILTER (WHERE defect = 1) AS base_recall, avg(CAST(verdict = 'NG' AS INT)) FILTER (WHERE defect = 0) AS fpr_ng,
+  avg(CAST(verdict = 'REVIEW' AS INT)) FILTER (WHERE defect = 0) AS fpr_review, avg(CAST(verdict = 'NG' AS INT)) FILTER (WHERE defect = 1) AS recall_ng, avg(CAST(verdict <> 'OK' AS INT)) FILTER (WHERE defect = 1) AS recall_effective,
+  count(*) FILTER (WHERE defect = 1 AND any_ng AND verdict = 'OK') AS leaked FROM v)
+SELECT round(base_fpr, 9) AS base_fpr, round(base_recall, 9) AS base_recall, round(fpr_ng, 9) AS fpr_ng, round(fpr_review, 9) AS fpr_review, round(recall_ng, 9) AS recall_ng, round(recall_effective, 9) AS recall_effective, leaked,
+  round((base_fpr - fpr_ng) / base_fpr, 9) AS fpr_drop, recall_effective >= base_recall - 1e-9 AND (base_fpr - fpr_ng) / base_fpr >= 0.3 AND leaked = 0 AS passed FROM r""")
+def v16_fusion_acceptance(s):
+    """Staged fusion against the plain union: recall kept, false alarms down by 30 % or more, nothing let pass."""
+    ng = F.array_compact(F.array(F.when(F.col("score") > 60, "patchcore"), F.when(F.col("event_id") % 3 == 0, "dinov2"), F.when(F.col("event_id") % 5 == 0, "dino"), F.when(F.col("event_id") % 7 == 0, "yolo")))
+    n = {"patchcore": F.when(F.col("user_id") % 4 != 0, F.col("user_id")), "dinov2": F.when(F.col("user_id") % 5 == 0, 0).otherwise(F.col("user_id") + 5)}
+    rows = s.select("defect", (F.size(ng) > 0).alias("any_ng"), op.staged_fusion(ng, n)["verdict"].alias("verdict"))
+    out = op.fusion_acceptance(rows)
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c not in ("leaked", "passed")})
+
+
 def _cdf(z: str) -> str:
     t = f"(1.0::DOUBLE / (1.0::DOUBLE + {scores.ERF_P}::DOUBLE * abs({z}) / sqrt(2.0::DOUBLE)))"
     poly = "0.0::DOUBLE"

@@ -286,10 +286,40 @@ def t16_value_normalisers(c):
     return c.select("id", F.col("contract_no").try_cast("double").alias("a"), F.round(F.replace("contract_no", F.lit("HT-"), F.lit("")).try_cast("double"), 2).alias("b"))
 
 
-@query("scores", sql="SELECT event_id FROM scores WHERE product IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 3)")
-def f5_product_gate(s):
-    products = s.sparkSession.createDataFrame([(0,), (1,), (2,)], "product long")
-    return s.join(products, "product", "left_semi").select("event_id")
+@query("images", "source_state", sql="SELECT image_id FROM images i WHERE EXISTS (SELECT 1 FROM source_state s WHERE s.source = 'yolo' AND s.product = i.product)")
+def f5_product_gate(i, states):
+    """Images whose product has weights of its own."""
+    return i.join(states.filter("source = 'yolo'").select("product"), "product", "left_semi").select("image_id")
+
+
+_RAW_PAYMENT = """SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 4 WHEN 0 THEN concat(' ', CAST(CAST(l_shipdate AS DATE) AS STRING), ' ') WHEN 1 THEN concat(CAST(CAST(l_shipdate AS DATE) AS STRING), 'T00') WHEN 2 THEN NULL ELSE '1998/01/02' END AS due_date,
+  CASE l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN 'about 5' WHEN 2 THEN NULL ELSE CAST(l_partkey AS STRING) END AS amount, CASE WHEN l_suppkey % 2 = 0 THEN 'USD' WHEN l_suppkey % 3 = 0 THEN '' END AS currency,
+  CASE WHEN l_partkey % 2 = 0 THEN repeat(l_returnflag, 250) WHEN l_partkey % 3 = 0 THEN '' END AS condition_text, CASE WHEN l_partkey % 5 = 0 THEN '0.1%' END AS penalty, repeat(l_linestatus, 120) AS payer, CAST(NULL AS STRING) AS payee FROM lineitem"""
+
+
+def t16_plain_payments(spark, sf_dir):
+    """Payments in their normal form; those without an amount and a condition are left out."""
+    readers.table(spark, f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("millrace_t16")
+    raw = spark.sql(_RAW_PAYMENT.replace("FROM lineitem", "FROM millrace_t16"))
+    fields = ("due_date", "amount", "currency", "condition_text", "penalty", "payer", "payee")
+    return raw.select("id", tx.plain_payment(F.struct(*fields)).alias("p")).filter("p is not null").select("id", "p.*")
+
+
+QUERIES["t16_plain_payments"] = t16_plain_payments
+SQL["t16_plain_payments"] = f"""
+WITH r AS ({_RAW_PAYMENT.replace('CAST(NULL AS STRING)', 'NULL')}), n AS (SELECT *, TRY_CAST(nullif(trim(amount), '') AS DOUBLE) AS a FROM r)
+SELECT id, CASE WHEN regexp_full_match(trim(coalesce(due_date, '')), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN trim(due_date) ELSE '' END AS due_date, round(a, 2) AS amount, coalesce(nullif(currency, ''), 'CNY') AS currency,
+  left(coalesce(condition_text, ''), 200) AS condition_text, coalesce(penalty, '') AS penalty, left(payer, 100) AS payer, '' AS payee FROM n WHERE a IS NOT NULL OR coalesce(condition_text, '') <> ''"""
+
+
+@query("contracts", sql="SELECT stamp, count(*) AS n FROM contracts, (SELECT unnest(['3', '4', '5', '6', '7']) AS stamp) s GROUP BY stamp")
+def k8_snapshots(c):
+    """Seven snapshots of a table, of which the newest five are kept."""
+    root = f"{shared_dir(c.sparkSession)}/millrace/snapshots-{uuid.uuid4().hex}"
+    for stamp in range(1, 8):
+        sinks.snapshot(c.select("id", "status"), root, str(stamp))
+    kept = c.sparkSession.read.parquet(root)
+    return kept.groupBy(F.col("snapshot").cast("string").alias("stamp")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("boxes", sql="""

@@ -126,6 +126,65 @@ def t12_our_party_and_direction(t):
     return extracted(t).select("id", "direction", "our_party", "counterparty")
 
 
+_PARTIES = """SELECT o_orderkey AS id, c_name AS name, CASE o_orderkey % 5 WHEN 0 THEN concat('甲方（买方）：', c_name, '，乙方（卖方）：锐新科技股份') WHEN 1 THEN concat('甲方: 华远贸易；乙方: ', c_name) WHEN 2 THEN concat('由锐新科技与', c_name, '签订')
+  WHEN 3 THEN concat(c_name, '与某公司') ELSE concat('甲方（委托方）锐新科技，乙方：华远') END AS parties, CASE o_orderkey % 3 WHEN 0 THEN '锐新科技' WHEN 1 THEN c_name END AS payer, CASE o_orderkey % 4 WHEN 0 THEN '华远贸易' WHEN 1 THEN c_name END AS payee FROM orders JOIN customer ON o_custkey = c_custkey"""
+_NAMES = ("锐新科技", "华远")
+
+
+def t12_one_line_parties(spark, sf_dir):
+    """Our party, the other one and the direction where both parties stand in one line, or in no role at all."""
+    for t in ("orders", "customer"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"millrace_t12_{t}")
+    rows = spark.sql(_PARTIES.replace("FROM orders JOIN customer", "FROM millrace_t12_orders JOIN millrace_t12_customer"))
+    ours, other = tx.our_party(tx.party("parties", "甲"), tx.party("parties", "乙"), _NAMES, F.col("parties"))
+    way = tx.direction(F.coalesce("payer", F.lit("")), F.coalesce("payee", F.lit("")), _NAMES)
+    return rows.select("id", ours.alias("our_party"), other.alias("counterparty"), way.alias("direction"))
+
+
+QUERIES["t12_one_line_parties"] = t12_one_line_parties
+SQL["t12_one_line_parties"] = f"""
+WITH p AS ({_PARTIES}) SELECT id, CASE id % 5 WHEN 0 THEN '锐新科技股份' WHEN 1 THEN '华远贸易' WHEN 2 THEN '锐新科技' WHEN 3 THEN '' ELSE '锐新科技' END AS our_party,
+  CASE id % 5 WHEN 0 THEN name WHEN 1 THEN name WHEN 2 THEN '' WHEN 3 THEN '' ELSE '华远' END AS counterparty,
+  CASE WHEN payee LIKE '%华远%' THEN 'receivable' WHEN payer LIKE '%锐新%' THEN 'payable' ELSE 'receivable' END AS direction FROM p"""
+
+
+def _large(text):
+    """An added rule: a contract of a large total."""
+    return tx.alert(F.col("total_amount") > 200_000, "yellow", "large_total", F.lit("large"), F.col("total_amount").cast("long").cast("string"))
+
+
+@query("contracts", "receivables", sql="""
+WITH r AS (SELECT contract_id, count(*) AS n, sum(amount) AS paid, count(due_date) AS dated, count(*) FILTER (WHERE id % 3 = 0 AND contract_id % 2 = 0) AS pen FROM receivables GROUP BY contract_id),
+f AS (SELECT c.id, coalesce(total_amount, 0) AS total, coalesce(signer, '') AS signer, CASE WHEN c.id % 6 = 0 THEN '' ELSE counterparty END AS our, CASE WHEN c.id % 10 = 0 THEN 'unknown' ELSE direction END AS way,
+  CAST(CAST(created_at AS DATE) AS VARCHAR) AS s, CASE c.id % 3 WHEN 0 THEN '1991-06-01' WHEN 1 THEN '' ELSE '2099-01-01' END AS e, coalesce(n, 0) AS n, coalesce(paid, 0) AS paid, coalesce(dated, 0) AS dated, coalesce(pen, 0) AS pen FROM contracts c LEFT JOIN r ON r.contract_id = c.id)
+SELECT id, 'red' AS level, 'amount_mismatch' AS rule, '' AS evidence FROM f WHERE total <> 0 AND paid > 0 AND abs(paid - total) / total > 0.01
+UNION ALL SELECT id, 'red', 'date_contradiction', 'start_date=' || s || ', end_date=' || e FROM f WHERE e <> '' AND e < s
+UNION ALL SELECT id, 'yellow', 'missing_penalty', '全文未找到违约/滞纳金相关条款' FROM f WHERE n > 0 AND pen = 0
+UNION ALL SELECT id, 'yellow', 'missing_signer', 'signer 字段为空' FROM f WHERE trim(signer) = ''
+UNION ALL SELECT id, 'yellow', 'party_unidentified', 'our_party 字段为空' FROM f WHERE our = ''
+UNION ALL SELECT id, 'red', 'missing_amount', 'total_amount=null, payments 无有效金额' FROM f WHERE total = 0 AND paid = 0
+UNION ALL SELECT id, 'yellow', 'no_due_date', '所有 payments[].due_date 为空' FROM f WHERE n > 0 AND dated = 0
+UNION ALL SELECT id, 'yellow', 'direction_unknown', 'direction=unknown, 无法判定应收/应付' FROM f WHERE way = 'unknown'
+UNION ALL SELECT id, 'yellow', 'large_total', CAST(CAST(trunc(total) AS BIGINT) AS VARCHAR) FROM f WHERE total > 200000""")
+def t17_rules_on_fields(c, r):
+    """All rules, and an added one, on the fields of contracts."""
+    penalty = F.when((F.col("id") % 3 == 0) & (F.col("contract_id") % 2 == 0), "0.1%").otherwise(" ")
+    pays = r.groupBy("contract_id").agg(F.collect_list(F.struct("amount", F.coalesce("due_date", F.lit("")).alias("due_date"), penalty.alias("penalty"))).alias("payments"))
+    end = F.when(F.col("id") % 3 == 0, "1991-06-01").when(F.col("id") % 3 == 1, "").otherwise("2099-01-01")
+    rows = c.join(pays, c["id"] == pays["contract_id"], "left").select(
+        "id",
+        "total_amount",
+        F.coalesce("signer", F.lit("")).alias("signer"),
+        F.when(F.col("id") % 6 == 0, "").otherwise(F.col("counterparty")).alias("our_party"),
+        F.when(F.col("id") % 10 == 0, "unknown").otherwise(F.col("direction")).alias("direction"),
+        F.col("created_at").cast("date").cast("string").alias("start_date"),
+        end.alias("end_date"),
+        F.coalesce("payments", F.array().cast(pays.schema["payments"].dataType)).alias("payments"),
+    )
+    found = rows.select("id", F.explode(tx.risks(F.lit("no clause"), [_large])).alias("a")).select("id", "a.level", "a.rule", "a.evidence")
+    return found.withColumn("evidence", F.when(F.col("rule") == "amount_mismatch", "").otherwise(F.col("evidence")))
+
+
 def _fix(s: str) -> str:
     for a, b in (("O", "0"), ("[Il]", "1"), ("S", "5"), ("B", "8"), ("Z", "2")):
         for _ in range(2):  # matches share a digit
