@@ -45,6 +45,10 @@ CORRECTIONS = (
     ("B_to_8_in_numbers", r"(?<=\d)B(?=\d)", "8"),
     ("Z_to_2_in_numbers", r"(?<=\d)Z(?=\d)", "2"),
 )
+#: Rules that are off unless a caller adds them.
+SERIAL_NUMBERS = ("hex_like_serial", r"\b(\d{6,12})\b", "$1")
+TRAILING_G = ("G_to_6_trailing", r"(?<=\d)G\b", "6")
+BASE_CONFIDENCE = {"regex": 0.5, "llm": 0.85}
 PROMPT_WORDS = {
     "划痕": "scratch", "刮伤": "scratch", "划伤": "scratch", "凹陷": "dent", "凹坑": "dent", "压痕": "dent", "裂纹": "crack", "裂缝": "crack", "开裂": "crack",
     "污渍": "stain", "脏污": "stain", "污点": "stain", "毛刺": "burr", "飞边": "burr", "色差": "color difference", "变色": "discoloration",
@@ -150,6 +154,23 @@ def direction(payer: Column, payee: Column, names: Sequence[str]) -> Column:
     return F.when(has_any(payee, names), "receivable").when(has_any(payer, names), "payable").otherwise("receivable")
 
 
+def confidence(method: Column, payments: Column, total: Column, ours: Column) -> Column:
+    """How far an extraction can be trusted, 0 to 1: more by a model than by rules, more with amounts, a total and our party, less with payments of which none has a date."""
+    base = F.when(method == "regex", BASE_CONFIDENCE["regex"]).otherwise(BASE_CONFIDENCE["llm"])
+    some = F.coalesce(F.size(payments) > 0, F.lit(False))
+    paid, dated = (F.coalesce(x, F.lit(False)) for x in (F.exists(payments, lambda p: p["amount"] != 0), F.exists(payments, lambda p: p["due_date"] != "")))
+    signs = [paid, F.coalesce(total, F.lit(0.0)) != 0, F.coalesce(ours, F.lit("")) != ""]
+    points = base + 0.05 * reduce(lambda a, b: a + b, [x.cast("int") for x in signs]) - 0.05 * (some & ~dated).cast("int")
+    return F.round(F.least(F.greatest(points, F.lit(0.0)), F.lit(1.0)), 3)
+
+
+def joined_words(words: DataFrame, k: int, word: str = "word") -> DataFrame:
+    """(prompt): the ``k`` most frequent words, joined by full stops; of equally frequent ones the first in the alphabet."""
+    top = words.groupBy(word).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), word).limit(k)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(word).alias("w"))))
+    return top.agg(F.array_join(F.transform(ranked, lambda x: x["w"]), ".").alias("prompt"))
+
+
 def majority(directions: Column) -> Column:
     """Of the directions of a contract's items."""
     n = lambda v: F.size(F.filter(directions, lambda d: d == v))
@@ -217,9 +238,7 @@ def extract_contracts(df: DataFrame, text: str, base: Column, names: Sequence[st
     df = df.withColumn("payments", F.transform(priced, payment))
     amounts = F.transform("payments", lambda p: p["amount"])
     df = df.withColumns({"direction": majority(F.transform("payments", lambda p: p["direction"])), "valid": reconciles(F.col("total_amount"), amounts)})
-    dated, paid = F.exists("payments", lambda p: p["due_date"] != ""), F.exists("payments", lambda p: p["amount"] != 0)
-    points = 0.5 + 0.05 * (paid.cast("int") + (F.coalesce("total_amount", F.lit(0.0)) != 0).cast("int") + (F.col("our_party") != "").cast("int")) - 0.05 * ((F.size("payments") > 0) & ~dated).cast("int")
-    df = df.withColumn("confidence", F.round(F.least(F.greatest(points, F.lit(0.0)), F.lit(1.0)), 3)).drop("__seg", "__a", "__b", "__penalty")
+    df = df.withColumn("confidence", confidence(F.lit("regex"), F.col("payments"), F.col("total_amount"), F.col("our_party"))).drop("__seg", "__a", "__b", "__penalty")
     # A blank text has a result of its own: nothing found, receivable, not valid.
     blank = F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), U + r"\s+", "")) == ""
     return df.withColumns({"direction": F.when(blank, "receivable").otherwise(F.col("direction")), "valid": ~blank & F.col("valid"), "confidence": F.when(blank, 0.0).otherwise(F.col("confidence"))})

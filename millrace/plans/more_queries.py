@@ -286,6 +286,14 @@ def t16_value_normalisers(c):
     return c.select("id", F.col("contract_no").try_cast("double").alias("a"), F.round(F.replace("contract_no", F.lit("HT-"), F.lit("")).try_cast("double"), 2).alias("b"))
 
 
+@on_table("events", """
+SELECT CASE WHEN user_id % 4 = 0 THEN '?' ELSE concat(event_type, CASE WHEN user_id % 3 = 0 THEN '_edge' ELSE '' END) END AS class, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM events GROUP BY 1""")
+def a7_recall_by_file_class(e):
+    """Recall by the class that a file's name holds."""
+    name = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("/d/img_"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("/d/01_"), "event_type", F.when(F.col("user_id") % 3 == 0, "_edge").otherwise(""), F.lit("_"), F.col("event_id").cast("string"), F.lit(".jpg")))
+    return e.groupBy(readers.class_from_name(name).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("value") > 50).cast("double")), 6).alias("recall"))
+
+
 @query("images", "source_state", sql="SELECT image_id FROM images i WHERE EXISTS (SELECT 1 FROM source_state s WHERE s.source = 'yolo' AND s.product = i.product)")
 def f5_product_gate(i, states):
     """Images whose product has weights of its own."""

@@ -198,6 +198,16 @@ def t18_corrections(m):
     return m.select("id", fixed.alias("fixed"), (F.size(log) > 0).alias("changed"))
 
 
+@query("marks", sql="""
+WITH t AS (SELECT id, concat(predicted, CASE WHEN id % 3 = 0 THEN 'G' WHEN id % 3 = 1 THEN ' 12GE 7G' ELSE ' 123456' END) AS t FROM marks)
+SELECT id, regexp_replace(t, '([0-9])G\\b', '\\16', 'g') AS fixed, t <> regexp_replace(t, '([0-9])G\\b', '\\16', 'g') AS changed FROM t""")
+def t18_optional_corrections(m):
+    """The rules that are off by default."""
+    tail = F.when(F.col("id") % 3 == 0, "G").when(F.col("id") % 3 == 1, " 12GE 7G").otherwise(" 123456")
+    fixed, log = tx.corrected(F.concat("predicted", tail), (tx.SERIAL_NUMBERS, tx.TRAILING_G))
+    return m.select("id", fixed.alias("fixed"), (F.size(log) > 0).alias("changed"))
+
+
 def _norm(c: str) -> str:
     return f"upper(replace(trim({c}), ' ', ''))"
 
@@ -238,6 +248,24 @@ def a11_top_words(f):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(20)
 
 
+@query("files", sql="""
+SELECT string_agg(word, '.' ORDER BY n DESC, word) AS prompt FROM (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[a-z]+')) AS w FROM files) GROUP BY w ORDER BY n DESC, w LIMIT 8)""")
+def a11_prompt_candidate(f):
+    """The most frequent words as one prompt."""
+    return tx.joined_words(f.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0))).alias("word")), 8)
+
+
+@query("contracts", "receivables", sql="""
+WITH r AS (SELECT contract_id, count(*) AS n, count(due_date) AS dated, count(*) FILTER (WHERE amount <> 0) AS paid FROM receivables GROUP BY contract_id)
+SELECT c.id, round(least(1, CASE WHEN c.id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.85::DOUBLE END + 0.05::DOUBLE * (CAST(coalesce(paid, 0) > 0 AS INT) + CAST(coalesce(total_amount, 0) <> 0 AS INT) + CAST(coalesce(signer, '') <> '' AS INT)) - 0.05::DOUBLE * CAST(coalesce(n, 0) > 0 AND dated = 0 AS INT)), 3) AS confidence
+FROM contracts c LEFT JOIN r ON r.contract_id = c.id""")
+def t15_confidence(c, r):
+    """Confidence of extractions by rules and by a model."""
+    pays = r.groupBy("contract_id").agg(F.collect_list(F.struct("amount", F.coalesce("due_date", F.lit("")).alias("due_date"))).alias("payments"))
+    rows = c.join(pays, c["id"] == pays["contract_id"], "left")
+    return rows.select("id", tx.confidence(F.when(F.col("id") % 2 == 0, "regex").otherwise("llm"), F.col("payments"), F.col("total_amount"), F.col("signer")).alias("confidence"))
+
+
 _TAGGED = "concat(content, chr(10), '付款说明 ', CAST(id AS STRING), chr(10), content, chr(10), '违约责任 ', content)"
 
 

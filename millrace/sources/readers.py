@@ -42,6 +42,12 @@ def label_from_name(path: Column) -> Column:
     return F.translate(stem, "_-", "  ")
 
 
+def class_from_name(path: Column) -> Column:
+    """The class in a file name of the form NN_<class>_MM: what stands between the first and the last part, else '?'."""
+    parts = F.split(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), "_")
+    return F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), "_")).otherwise("?")
+
+
 def voc_boxes(spark: SparkSession, path: str, classes: list[str] | None = None) -> DataFrame:
     """One row per object; class names in lower case, only listed ones if a list is given."""
     rows = spark.read.format("xml").option("rowTag", "annotation").schema(VOC).load(path)
