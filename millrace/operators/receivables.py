@@ -334,8 +334,8 @@ def inserted(table: DataFrame, new: DataFrame, order: list[str], id_col: str = "
 def insert_extracted(extracted: DataFrame, payments: DataFrame, alerts: DataFrame, contracts: DataFrame, receivables: DataFrame, risk_alerts: DataFrame) -> dict[str, DataFrame]:
     """The rows that new documents add to each table: contracts, receivables and risk_alert.
 
-    extracted: file_path (one row a document) and any of the fields of a contract; payments and alerts: file_path, seq (their order in the document) and their
-    fields. Children bear the id that their document's contract got. Missing fields get their defaults; texts are cut to 20,000 characters."""
+    extracted: file_path (one row a document) and any of the fields of a contract; payments and alerts: file_path, seq (their order in the document; of equal
+    ones the due date, amount and status decide) and their fields. Children bear the id that their document's contract got. Missing fields get their defaults; texts are cut to 20,000 characters."""
 
     def default(rows: DataFrame, values: dict[str, tuple[str, object]]) -> DataFrame:
         keep = {c: F.coalesce(F.col(c).cast(kind), F.lit(v).cast(kind)) if c in rows.columns else F.lit(v).cast(kind) for c, (kind, v) in values.items()}
@@ -348,7 +348,7 @@ def insert_extracted(extracted: DataFrame, payments: DataFrame, alerts: DataFram
     c = inserted(contracts, rows.select("file_path", "parties", "status", "reviewed", *NEW_CONTRACT), ["file_path"])
     ids = c.select("file_path", F.col("id").alias("contract_id"))
     pay = default(payments.join(ids, "file_path"), NEW_RECEIVABLE).withColumn("due_date", F.when(F.col("due_date") != "", F.col("due_date")))
-    r = inserted(receivables, pay.select("contract_id", "seq", *NEW_RECEIVABLE), ["contract_id", "seq"]).drop("seq")
+    r = inserted(receivables, pay.select("contract_id", "seq", *NEW_RECEIVABLE), ["contract_id", "seq", "due_date", "amount", "status"]).drop("seq")
     a = inserted(risk_alerts, default(alerts.join(ids, "file_path"), NEW_ALERT).select("contract_id", "seq", *NEW_ALERT), ["contract_id", "seq"]).drop("seq")
     return {"contracts": c, "receivables": r, "risk_alert": a}
 

@@ -267,7 +267,7 @@ def r23_inserted_contracts(c, r, a):
 
 
 @query("contracts", "receivables", "risk_alert", sql=f"""
-WITH {_NEW} SELECT (SELECT max(id) FROM receivables) + row_number() OVER (ORDER BY nc.id, r.id) AS id, nc.id AS contract_id, nullif(due_date, '') AS due_date, amount, CASE WHEN amount > 30000 THEN r.status ELSE 'pending' END AS status, 'regex' AS source
+WITH {_NEW} SELECT (SELECT max(id) FROM receivables) + row_number() OVER (ORDER BY nc.id, r.id, nullif(due_date, '') NULLS FIRST, amount NULLS FIRST, CASE WHEN amount > 30000 THEN r.status ELSE 'pending' END) AS id, nc.id AS contract_id, nullif(due_date, '') AS due_date, amount, CASE WHEN amount > 30000 THEN r.status ELSE 'pending' END AS status, 'regex' AS source
 FROM receivables r JOIN nc ON r.contract_id = nc.old_id""")
 def r23_inserted_receivables(c, r, a):
     """Their payments, under the new ids."""
