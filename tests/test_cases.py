@@ -183,3 +183,13 @@ def test_windows_in_small_blocks(spark):
     for i, r in enumerate(rows):
         last = [x.score for x in rows[max(0, i - 19) : i + 1]]
         assert late[r.event_id][1] == i + 1 and abs(late[r.event_id][0] - sum(last) / len(last)) <= 0.051
+
+
+def test_reading_order(spark):
+    """Labels run from top to bottom, then from left to right; boxes at one place go by their id."""
+    from millrace.plans import inspection_queries as q
+
+    rows = [(1, 9, 5.0, 40.0, 30.0, 80.0), (1, 8, 50.0, 10.0, 90.0, 20.0), (1, 7, 5.0, 10.0, 30.0, 40.0), (1, 6, 5.0, 40.0, 30.0, 80.0), (2, 5, 0.0, 0.0, 20.0, 20.0)]
+    boxes = spark.createDataFrame(rows, "frame_id long, det_id long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.det_id: (r.frame_id, r.label_no, r.used) for r in q.w9_reading_order(boxes).collect()}
+    assert got == {7: (1, 1, True), 8: (1, 2, False), 6: (1, 3, True), 9: (1, 4, True), 5: (2, 1, True)}
