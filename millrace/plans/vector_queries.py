@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scores
 from millrace.operators import inspection, vectors
+from millrace.storage import saved
 
 QUERIES, SQL = {}, {}
 
@@ -31,7 +32,7 @@ def _products(e: DataFrame) -> DataFrame:
 def _typical(e: DataFrame, count: int) -> DataFrame:
     """The ``count`` vectors of every label nearest its mean: a rank cuts each label's distances, only what lies within it is numbered."""
     parts = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    mean = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
+    mean = saved(parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean")), "mean")  # one mean for cut and rank
     d = e.join(mean, "label").withColumn("d2", scores.squared_distance("embedding", "mean"))
     cut = inspection.kth_smallest(d, ["label"], "d2", F.least(F.lit(count), F.col("n"))).select("label", F.col("d2").alias("cut"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("d2", "vec_id"))

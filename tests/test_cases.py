@@ -207,3 +207,9 @@ def test_quantiles_between_ranks(spark):
     df = spark.createDataFrame([(k, v) for k, x in values.items() for v in x], "k string, v double")
     for q in (0.0, 0.3, 0.5, 0.99, 1.0):
         assert {r.k: round(r.q, 9) for r in op.quantile(df, ["k"], "v", q, "q").collect()} == {k: round(float(np.quantile(x, q)), 9) for k, x in values.items()}
+
+
+def test_one_mean_for_cut_and_members(spark):
+    rows = spark.range(20).selectExpr("id AS vec_id", "array(CAST(id AS FLOAT), 1.0F) AS embedding")
+    plan = op.nearest_share(rows, 0.5, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "avg(" not in plan
