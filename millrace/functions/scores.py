@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ def squared_distance(a, b) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
 
 
-def dual_path_score(confidence: Column, lines: Column, most: Column) -> Column:
-    return 0.7 * confidence + 0.3 * lines / F.greatest(most, F.lit(1))
+def dual_path_score(confidence: Column, lines: Column, most: Column, full: int = 1) -> Column:
+    """Confidence (out of ``full``) and share of lines, weighed 7 to 3. Tied scores must be equal in their last bit too: the weight comes before the division, and that of
+    the lines, which are whole numbers, is multiplied as a decimal."""
+    return 0.7 * confidence / full + (F.lit(Decimal("0.3")) * lines).cast("double") / F.greatest(most, F.lit(1))
 
 
 def image_quality(sharpness: Column, brightness: Column) -> Column:

@@ -213,3 +213,21 @@ def test_one_mean_for_cut_and_members(spark):
     rows = spark.range(20).selectExpr("id AS vec_id", "array(CAST(id AS FLOAT), 1.0F) AS embedding")
     plan = op.nearest_share(rows, 0.5, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "avg(" not in plan
+
+
+def test_equal_scores_of_the_dual_path_tie(spark):
+    """Scores that the decimal formula makes equal, and those of DuckDB in the last bit."""
+    from millrace.functions import scores
+    from millrace.plans import inspection_queries as q
+
+    rows = [(i, 1, (i * 37 % 5000) / 100) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, score double")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (event_id BIGINT, user_id BIGINT, score DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    want = dict(con.execute("SELECT event_id, 0.7 * score / 100 + 0.3 * (event_id % 9) / 8.0 FROM t").fetchall())
+    got = {r.event_id: r.v for r in df.select("event_id", scores.dual_path_score(F.col("score"), F.col("event_id") % 9, F.lit(8), full=100).alias("v")).collect()}
+    assert got == want
+    assert {r.best for r in q.m12_dual_path(df).collect()} == {max(want, key=lambda i: (want[i], -i))}
