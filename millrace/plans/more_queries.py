@@ -75,11 +75,12 @@ def s4_tab_labels(t):
 @query("boxes", sql="""
 SELECT concat('f', CAST(frame_id AS VARCHAR), '.jpg') AS filename, 640 AS width, 480 AS height, lower(label) AS label, x1 AS xmin, y1 AS ymin, x2 AS xmax, y2 AS ymax FROM boxes WHERE label IN ('R', 'N')""")
 def s6_voc_boxes(b):
-    """Annotations written as XML, one element a frame, and read back."""
+    """Annotations written as XML, one element a frame, and read back. The files are compressed, as plain XML is many times its table; a compressed file is read by one
+    task, so a file holds a bounded number of frames."""
     box = F.struct(F.col("label").alias("name"), F.struct(F.col("x1").alias("xmin"), F.col("y1").alias("ymin"), F.col("x2").alias("xmax"), F.col("y2").alias("ymax")).alias("bndbox"))
     size = F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(3).alias("depth"))
     frames = b.groupBy("frame_id").agg(F.collect_list(box).alias("object")).select(F.concat(F.lit("f"), F.col("frame_id").cast("string"), F.lit(".jpg")).alias("filename"), size.alias("size"), "object")
-    return readers.voc_boxes(b.sparkSession, _written(frames, "xml", rootTag="annotations", rowTag="annotation"), ["r", "n"])
+    return readers.voc_boxes(b.sparkSession, _written(frames, "xml", rootTag="annotations", rowTag="annotation", compression="gzip", maxRecordsPerFile=100_000), ["r", "n"])
 
 
 @on_table("events", "SELECT CAST(event_id AS VARCHAR) AS ts, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, event_type AS logger, props AS msg, CASE WHEN event_type = 'error' THEN concat('Error ', CAST(user_id AS VARCHAR)) END AS exc FROM events")

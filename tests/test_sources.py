@@ -86,3 +86,13 @@ def test_masks_by_their_pixels(spark):
     masks = spark.createDataFrame([("/a/x_label.bmp", bytearray(bitmap(bytes(16)))), ("/a/y_label.bmp", bytearray(bitmap(bytes(15) + b"\x01")))], "path string, content binary")
     got = {r.path: r.defect for r in readers.paired(images, masks).collect()}
     assert got == {"/a/x.jpg": False, "/a/y.jpg": True, "/a/z.jpg": None}
+
+
+def test_written_xml_is_compressed_and_bounded(spark):
+    from millrace.plans import more_queries as q
+
+    boxes = spark.range(250_000).selectExpr("id AS frame_id", "'R' AS label", "1.0D AS x1", "2.0D AS y1", "3.0D AS x2", "4.0D AS y2").coalesce(1)
+    back = q.s6_voc_boxes(boxes)
+    files = back.inputFiles()
+    assert len(files) >= 3 and all(f.endswith(".xml.gz") for f in files)
+    assert back.count() == 250_000 and back.filter("filename = 'f7.jpg' and label = 'r' and ymax = 4.0").count() == 1
